@@ -9,9 +9,9 @@ shingles: they are linked where the Jaccard similarity of their sets of shingles
 texts make classes, named by the smallest doc_id.
 
 No bucket is turned into all its pairs at once.  Exact copies are one text.  Then every text of a bucket
-is compared with the bucket's first text, and links are joined into components.  Only pairs of different
-components remain: small buckets give them by a join, large ones by blocks, each compared within a
-task, where agreeing registers decide which few go on to verification.  So no bucket is capped.
+is compared with the bucket's head, and links are joined into components.  Only pairs of different
+components remain: small buckets give them by a join, large ones by blocks, compared within a
+task that gives nothing but links between components.  So no bucket is capped.
 
 Cases: words are runs of non-white-space; a text of one to four words is one shingle; null, empty and
 blank texts have no words and are copies of each other; very long texts are shingled whole; repeated rows are copies; a null doc_id
@@ -145,8 +145,8 @@ def text_key(text: str):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: float, text: str) -> DataFrame:
-    """Of pairs (a, b), a < b, those whose sets of shingles are similar enough."""
+def shingle_sets(docs: DataFrame, texts: DataFrame, tids: DataFrame, text: str) -> DataFrame:
+    """(tid, set): the sorted shingle hashes of the given texts, as bytes."""
 
     @F.arrow_udf("binary")
     def sets(column: pa.Array) -> pa.Array:
@@ -156,24 +156,29 @@ def similar(docs: DataFrame, texts: DataFrame, pairs: DataFrame, similarity: flo
             out += [np.unique(x).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
         return pa.array(out, pa.binary())
 
+    wanted = texts.join(tids.distinct(), "tid").select("tid", F.col("text_key").alias("_key"), F.col("doc_id").alias("_doc"))
+    # one row of each text: its smallest doc_id; rows that repeat it only repeat a set
+    found = docs.join(wanted.hint("shuffle_hash"), (text_key(text) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return stash(found.select("tid", sets(F.coalesce(F.col(text), F.lit(""))).alias("set")))
+
+
+def set_similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays without repeats."""
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()
+    return both / (len(x) + len(y) - both)
+
+
+def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b), a < b, those whose sets of shingles are similar enough."""
+
     @F.arrow_udf("double")
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = np.zeros(len(a))
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) and len(y):
-                both = (x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()
-                out[i] = both / (len(x) + len(y) - both)
-            else:
-                out[i] = float(len(x) == len(y))
-        return pa.array(out)
-
-    needed = pairs.select(F.col("a").alias("tid")).union(pairs.select(F.col("b").alias("tid"))).distinct()
-    wanted = texts.join(needed, "tid").select("tid", F.col("text_key").alias("_key"), F.col("doc_id").alias("_doc"))
-    # one row of each text: its smallest doc_id; repeated rows only repeat a pair
-    found = docs.join(wanted.hint("shuffle_hash"), (text_key(text) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    found = stash(found.select("tid", sets(F.coalesce(F.col(text), F.lit(""))).alias("set")))
-    both = pairs.join(found.select(F.col("tid").alias("a"), F.col("set").alias("sa")), "a").join(found.select(F.col("tid").alias("b"), F.col("set").alias("sb")), "b")
+        views = ((np.frombuffer(v.as_buffer(), np.uint64) for v in pair) for pair in zip(a, b, strict=True))
+        return pa.array([set_similarity(*v) for v in views], pa.float64())
+
+    both = pairs.join(sets.select(F.col("tid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("tid").alias("b"), F.col("set").alias("sb")), "b")
     return both.withColumn("j", jaccard("sa", "sb")).filter(F.col("j") >= similarity).select("a", "b").distinct()
 
 
@@ -213,43 +218,57 @@ def components(links: DataFrame) -> DataFrame:
 def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """(tid, label): components of the texts that are linked."""
     banded = texts.select("tid", F.posexplode("bands").alias("band", "bucket")).select("tid", "bucket")
-    shared = banded.groupBy("bucket").agg(F.min("tid").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = stash(banded.join(shared, "bucket"))
-    stars = members.filter("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b")).distinct()
-    first = checkpoint(similar(docs, texts, checkpoint(agreeing(stars, texts, LEAST)), similarity, text))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stash(banded.join(shared, "bucket"))
+    # A text that others were copied from shares the most buckets with the most texts; it leads its buckets.
+    known = shared.groupBy("tid").agg(F.sum("n").alias("known"))
+    led = stash(shared.join(known, "tid"))
+    heads = led.groupBy("bucket").agg(F.max_by("tid", F.struct("known", -F.col("tid"))).alias("head"))
+    members = stash(led.select("tid", "bucket", "n").join(heads, "bucket"))
+    stars = members.filter("tid <> head").select(F.least("head", "tid").alias("a"), F.greatest("head", "tid").alias("b")).distinct()
+    near = checkpoint(agreeing(stars, texts, LEAST))
+    first = checkpoint(similar(shingle_sets(docs, texts, _ends(near), text), near, similarity))
     labels = components(first)
-    # What a bucket's first text didn't settle: pairs of different components.
+    # What the heads didn't settle: pairs of different components.
     labelled = members.join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
     open_ = checkpoint(labelled.join(mixed, "bucket"))
-    small = open_.filter(F.col("n") <= BLOCK)
+    small, large = open_.filter(F.col("n") <= BLOCK), open_.filter(F.col("n") > BLOCK)
     x = small.select("bucket", "label", F.col("tid").alias("a"))
     y = small.select("bucket", F.col("label").alias("other"), F.col("tid").alias("b"), "head")
-    near = x.join(y, "bucket").filter("a < b AND label <> other AND a <> head").select("a", "b").distinct()
-    pairs = agreeing(near, texts, LEAST).union(_blocks(open_.filter(F.col("n") > BLOCK), texts)).distinct()
-    second = similar(docs, texts, checkpoint(pairs), similarity, text)
+    pairs = x.join(y, "bucket").filter("a < b AND label <> other AND a <> head AND b <> head").select("a", "b").distinct()
+    pairs = checkpoint(agreeing(pairs, texts, LEAST))
+    sets = shingle_sets(docs, texts, _ends(pairs).union(large.select("tid")), text)
+    second = similar(sets, pairs, similarity).union(_blocks(large, texts, sets, similarity))
     return components(first.union(second))
 
 
-def _blocks(large: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different components in large buckets that agree in enough registers; a task compares two blocks."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("tid")).union(pairs.select(F.col("b").alias("tid")))
+
+
+def _blocks(large: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between different components in large buckets.  A task compares two blocks and gives only links that join components."""
     blocks = F.ceil(F.col("n") / (4 * BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("tid"), blocks).cast("int")
-    held = large.join(texts.select("tid", "registers"), "tid").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tid", "label", "registers")
+    held = large.join(texts.select("tid", "registers"), "tid").join(sets.groupBy("tid").agg(F.first("set").alias("set")), "tid").withColumn("blocks", blocks).withColumn("own", own)
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tid", "label", "registers", "set")
 
     def compare(t: pa.Table) -> pa.Table:
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        own, tid, label = (t[c].to_numpy() for c in ("own", "tid", "label"))
+        own, tid, label = t["own"].to_numpy(), t["tid"].to_numpy(), t["label"].to_numpy().copy()
         regs = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(len(tid), -1)
+        of = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out = []
         for r in left:
             rest = right[(label[right] != label[r]) & ((tid[right] > tid[r]) | (i != j))]
-            near = rest[(regs[rest] == regs[r]).mean(1) >= LEAST] if len(rest) else rest
-            out.append(np.stack([np.minimum(tid[r], tid[near]), np.maximum(tid[r], tid[near])], 1))
-        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
+            agree = (regs[rest] == regs[r]).mean(1) if len(rest) else np.zeros(0)
+            for o in rest[np.argsort(-agree, kind="stable")][: (agree >= LEAST).sum()]:
+                if label[o] != label[r] and set_similarity(of[o], of[r]) >= similarity:
+                    out.append((min(tid[r], tid[o]), max(tid[r], tid[o])))
+                    label[label == label[o]] = label[r]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long")
 
