@@ -50,15 +50,14 @@ def _runs(messages: DataFrame) -> DataFrame:
     rooted = keys.join(known, (F.col("tree") == F.col("_t")) & (F.col("parent") == F.col("_n")), "left").select("tree", "node", F.col("_n").alias("parent"))
     replies = rooted.filter("parent IS NOT NULL").groupBy(F.col("tree").alias("_t"), F.col("parent").alias("_p")).agg(F.count("*").alias("replies"))
     single = rooted.join(replies, (F.col("tree") == F.col("_t")) & (F.col("parent") == F.col("_p")), "left").drop("_t", "_p")
-    runs = checkpoint(single.select("tree", "node", "parent", F.when(F.col("replies") == 1, F.col("parent")).otherwise(F.col("node")).alias("head"), F.when(F.col("replies") == 1, 1).otherwise(0).cast("long").alias("depth")))
-    span = 1
-    while True:
-        up = runs.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("head").alias("_h"), F.col("depth").alias("_d"))
-        runs = checkpoint(runs.join(up, (F.col("tree") == F.col("_t")) & (F.col("head") == F.col("_n")), "left").select("tree", "node", "parent", F.col("_h").alias("head"), (F.col("depth") + F.col("_d")).alias("depth")))
-        span *= 2
-        # after this round every message stands up to ``span`` under its head
-        if not runs.filter(F.col("depth") >= span).limit(1).count():
-            return runs
+    single = checkpoint(single.select("tree", "node", "parent", F.when(F.col("replies") == 1, F.col("parent")).otherwise(F.col("node")).alias("head"), F.when(F.col("replies") == 1, 1).otherwise(0).cast("long").alias("depth")))
+    done, open_ = single.filter("depth = 0"), single.filter("depth > 0")
+    while open_.limit(1).count():
+        # a message whose head begins a run is done; any other takes over its head's head, twice as far up
+        up = done.unionByName(open_).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("head").alias("_h"), F.col("depth").alias("_d"))
+        moved = checkpoint(open_.join(up, (F.col("tree") == F.col("_t")) & (F.col("head") == F.col("_n"))).select("tree", "node", "parent", F.col("_h").alias("head"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("_d") == 0).alias("ends")))
+        done, open_ = done.unionByName(moved.filter("ends").drop("ends")), moved.filter("NOT ends").drop("ends")
+    return done
 
 
 def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
