@@ -291,7 +291,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """One row of docs for each class: that of the smallest doc_id; of its repeated rows any one."""
-    named = _classes(docs, similarity, text).filter("kept").select(F.col("text_key").alias("_key"), F.col("doc_id").alias("_doc"))
+    named = _classes(docs.select("doc_id", F.col(text).alias("text")), similarity, "text").filter("kept").select(F.col("text_key").alias("_key"), F.col("doc_id").alias("_doc"))
     kept = docs.join(named.hint("shuffle_hash"), (text_key(text) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     # rows that repeat both doc_id and text
     again = kept.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_key").alias("_again"))
