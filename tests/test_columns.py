@@ -1,0 +1,49 @@
+from pyspark.sql import functions as F
+
+from transcriptlab.functions import columns as C
+from transcriptlab.sources import io
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first()[0]
+
+
+def test_word_error_rate(spark):
+    words = lambda s: F.array(*map(F.lit, s.split())) if s else F.array().cast("array<string>")
+    assert value(spark, C.word_error_rate(words("a b c d"), words("a x c"))) == 0.5
+    assert value(spark, C.word_error_rate(words(""), words("a"))) == 1.0
+    assert value(spark, C.word_error_rate(words(""), words(""))) == 0.0
+    assert value(spark, C.word_error_rate(words("a"), words("b c d"))) == 3.0
+
+
+def test_repeats(spark):
+    words = F.array(*map(F.lit, "x a b a b a b y z w".split()))
+    assert value(spark, C.repeated_ngram_score(words)) == 0.6
+    assert value(spark, C.repeated_ngram_score(F.array(F.lit("a"), F.lit("a")))) == 0.0
+    assert value(spark, C.adjacent_repeat_ratio(F.array(*map(F.lit, "a a b b".split())))) == 0.5
+
+
+def test_percentiles(spark):
+    rows = spark.createDataFrame([(float(x),) for x in range(1, 7)], "v double")
+    got = rows.agg(*[C.percentile_col(F.col("v"), 0.5, m).alias(m) for m in ("linear", "half_even", "floor", "half_up")]).first().asDict()
+    assert got == {"linear": 3.5, "half_even": 3.0, "floor": 3.0, "half_up": 4.0}
+
+
+def test_readers(spark, tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_text('{"run_id": "1", "status": "failed"}\nnot json\n{"run_id": "2"}\n')
+    assert sorted(r.run_id for r in io.read_attempts(spark, str(path)).collect()) == ["1", "2"]
+
+
+def test_upsert(spark):
+    schema = "id string, gold string, benchmarks map<string,string>"
+    base = spark.createDataFrame([("a", "old", {"x": "1", "y": "2"}), ("b", "kept", None)], schema)
+    delta = spark.createDataFrame([("a", None, {"y": "3"}), ("c", "new", None)], schema)
+    got = {r.id: (r.gold, r.benchmarks) for r in io.upsert_clips(base, delta).collect()}
+    assert got == {"a": ("old", {"x": "1", "y": "3"}), "b": ("kept", {}), "c": ("new", {})}
+
+
+def test_dictionary(spark):
+    words = spark.createDataFrame([("MCP", ["mcp", "em see pee"])], "canonical string, aliases array<string>")
+    memory = spark.createDataFrame([("Mcp", ["mcp"], True, "approved"), ("Z", ["z"], False, "auto")], "canonical string, aliases array<string>, enabled boolean, status string")
+    assert {r.alias: r.canonical for r in io.load_dictionary(words, memory).collect()} == {"mcp": "Mcp", "em see pee": "MCP"}
