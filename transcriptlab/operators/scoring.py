@@ -25,6 +25,11 @@ def score_runs(runs: DataFrame) -> DataFrame:
     return rows.withColumn("useful_score", F.round("_useful", 3)).withColumn("usable", (F.col("_useful") >= 0.75) & (F.col("seconds") <= 2.5) & clean).withColumn("fast", F.col("seconds") <= 1.5).withColumn("hang_risk", (F.col("seconds") > 6) | ~clean).drop("_useful")
 
 
+def mean(c: str) -> Column:
+    """To 4 digits.  Means of 3-digit scores can lie on a half, where the order of summing would decide; they go up."""
+    return F.round(F.avg(c) + 1e-9, 4)
+
+
 def rate(flag: str) -> Column:
     return F.round(F.avg(F.col(flag).cast("int")), 4)
 
@@ -32,19 +37,19 @@ def rate(flag: str) -> Column:
 def leaderboard(scored: DataFrame) -> DataFrame:
     """One row for each backend; a partial aggregate leaves little to shuffle."""
     return scored.groupBy("backend").agg(
-        F.count("*").alias("clips"), F.round(F.avg("useful_score"), 4).alias("avg_useful"), F.round(F.percentile("useful_score", F.lit(0.5)), 4).alias("median_useful"), F.round(F.avg("wer"), 4).alias("avg_wer"), F.round(F.avg("meaning_coverage"), 4).alias("avg_coverage"),
+        F.count("*").alias("clips"), mean("useful_score").alias("avg_useful"), F.round(F.percentile("useful_score", F.lit(0.5)), 4).alias("median_useful"), mean("wer").alias("avg_wer"), mean("meaning_coverage").alias("avg_coverage"),
         F.round(F.percentile("seconds", F.lit(0.5)), 4).alias("p50_seconds"), F.round(C.percentile_col(F.col("seconds"), 0.95, "half_even"), 4).alias("p95_seconds"), rate("usable").alias("usable_rate"), rate("fast").alias("fast_rate"), rate("hang_risk").alias("hang_risk_rate"),
     ).orderBy(F.col("avg_useful").desc(), "p50_seconds")
 
 
 def category_summary(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("category", "backend").agg(F.count("*").alias("n"), F.round(F.avg("wer"), 4).alias("wer"), F.round(F.avg(1 - F.col("meaning_coverage")), 4).alias("meaning_loss"), F.round(F.avg("seconds"), 4).alias("seconds"))
+    return scored.groupBy("category", "backend").agg(F.count("*").alias("n"), mean("wer").alias("wer"), F.round(F.avg(1 - F.col("meaning_coverage")), 4).alias("meaning_loss"), F.round(F.avg("seconds"), 4).alias("seconds"))
 
 
 def bucket_rollup(scored: DataFrame) -> DataFrame:
     """For each backend its categories and all of them, from one aggregate over grouping sets."""
     sets = scored.groupingSets([[F.col("backend"), F.col("category")], [F.col("backend")]], F.col("backend"), F.col("category"))
-    return sets.agg(F.count("*").alias("n"), F.round(F.avg("useful_score"), 4).alias("useful"), F.round(F.avg("wer"), 4).alias("wer")).select("backend", F.coalesce("category", F.lit("all")).alias("bucket"), "n", "useful", "wer")
+    return sets.agg(F.count("*").alias("n"), mean("useful_score").alias("useful"), mean("wer").alias("wer")).select("backend", F.coalesce("category", F.lit("all")).alias("bucket"), "n", "useful", "wer")
 
 
 def paired_delta(scored: DataFrame, a: str, b: str) -> DataFrame:
@@ -58,7 +63,7 @@ def paired_delta(scored: DataFrame, a: str, b: str) -> DataFrame:
     pairs = scored.filter(F.col("backend").isin(a, b)).groupBy("id", "category").agg(*[(of(a, c) - of(b, c)).alias(c) for c in ("useful_score", "wer", "seconds")])
     d = F.col("useful_score")
     half = 1.96 * F.stddev_samp(d) / F.sqrt(F.count(d))
-    return pairs.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg(d), 4).alias("useful_delta"), F.round(F.avg("wer"), 4).alias("wer_delta"), F.round(F.avg("seconds"), 4).alias("seconds_delta"), F.round(F.avg(d) - half, 4).alias("low"), F.round(F.avg(d) + half, 4).alias("high"))
+    return pairs.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg(d), 4).alias("useful_delta"), mean("wer").alias("wer_delta"), F.round(F.avg("seconds"), 4).alias("seconds_delta"), F.round(F.avg(d) - half, 4).alias("low"), F.round(F.avg(d) + half, 4).alias("high"))
 
 
 def quality_gate(scored: DataFrame, limits: dict[str, float]) -> DataFrame:

@@ -72,11 +72,11 @@ _INDEX = "CAST({} AS BIGINT)"
 
 SQL = {
     "leaderboard": _SCORED
-    + """SELECT backend, count(*) AS clips, round(avg(useful_score), 4) AS avg_useful, round(quantile_cont(useful_score, 0.5), 4) AS median_useful, round(avg(wer), 4) AS avg_wer, round(avg(meaning_coverage), 4) AS avg_coverage,
+    + """SELECT backend, count(*) AS clips, round(avg(useful_score) + 1e-9, 4) AS avg_useful, round(quantile_cont(useful_score, 0.5), 4) AS median_useful, round(avg(wer) + 1e-9, 4) AS avg_wer, round(avg(meaning_coverage) + 1e-9, 4) AS avg_coverage,
   round(quantile_cont(seconds::DOUBLE, 0.5), 4) AS p50_seconds, round(list_sort(list(seconds::DOUBLE))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1], 4) AS p95_seconds,
   round(avg(usable::INT), 4) AS usable_rate, round(avg(fast::INT), 4) AS fast_rate, round(avg(hang_risk::INT), 4) AS hang_risk_rate FROM scored GROUP BY backend""",
-    "category_backend_summary": _SCORED + "SELECT category, backend, count(*) AS n, round(avg(wer), 4) AS wer, round(avg(1 - meaning_coverage), 4) AS meaning_loss, round(avg(seconds::DOUBLE), 4) AS seconds FROM scored GROUP BY ALL",
-    "bucket_rollup_with_all": _SCORED + "SELECT backend, coalesce(category, 'all') AS bucket, count(*) AS n, round(avg(useful_score), 4) AS useful, round(avg(wer), 4) AS wer FROM scored GROUP BY GROUPING SETS ((backend, category), (backend))",
+    "category_backend_summary": _SCORED + "SELECT category, backend, count(*) AS n, round(avg(wer) + 1e-9, 4) AS wer, round(avg(1 - meaning_coverage), 4) AS meaning_loss, round(avg(seconds::DOUBLE), 4) AS seconds FROM scored GROUP BY ALL",
+    "bucket_rollup_with_all": _SCORED + "SELECT backend, coalesce(category, 'all') AS bucket, count(*) AS n, round(avg(useful_score) + 1e-9, 4) AS useful, round(avg(wer) + 1e-9, 4) AS wer FROM scored GROUP BY GROUPING SETS ((backend, category), (backend))",
     "paired_delta_ci": _SCORED
     + """, d AS (SELECT a.category, a.useful_score - b.useful_score AS u, a.wer - b.wer AS w, a.seconds::DOUBLE - b.seconds::DOUBLE AS s FROM scored a JOIN scored b ON a.id = b.id AND a.backend = 'accurate' AND b.backend = 'fast')
 SELECT category, count(*) AS n, round(avg(u), 4) AS useful_delta, round(avg(w), 4) AS wer_delta, round(avg(s), 4) AS seconds_delta, round(avg(u) - 1.96 * stddev_samp(u) / sqrt(count(u)), 4) AS low, round(avg(u) + 1.96 * stddev_samp(u) / sqrt(count(u)), 4) AS high FROM d GROUP BY category""",
