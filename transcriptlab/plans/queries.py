@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.columns import STOP_WORDS
 from ..operators import corpus, history, scoring
 from ..sources import views as v
+from . import review
 
 LIMITS = {"p95_seconds": 8.0, "max_seconds": 9.0, "useful": 0.6, "usable_rate": 0.1}
 
@@ -138,3 +139,6 @@ SELECT conv_id, turn, p[2] AS "right", p[1] AS wrong, about FROM a WHERE correct
 t AS (SELECT tool, round(sum(rating * (length(axis) % 5 + 1)) / sum(length(axis) % 5 + 1), 4) AS score FROM r GROUP BY 1)
 SELECT tool, score, rank() OVER (ORDER BY score DESC)::INT AS rank FROM t""",
 }
+
+QUERIES |= review.QUERIES
+SQL |= review.SQL
