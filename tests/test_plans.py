@@ -29,7 +29,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
     got = QUERIES[name](spark, DATA).toPandas()
     con.execute(SQL[name])

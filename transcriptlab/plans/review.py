@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus, review
+from ..operators import consensus, corpus, review
 from ..sources import views as v
 
 BUCKETS = (("failed", "error IS NOT NULL", 10), ("slow", "seconds >= 6", 6), ("short", "size(hyp) < 20", 12))
@@ -35,7 +35,21 @@ def _merged(s, d):
     return out.select("canonical", "status", "count", F.array_join("aliases", ",").alias("aliases"), F.coalesce(F.col("source_counts")["history"], F.lit(0)).alias("from_history"))
 
 
+#: Systems in their order, with the weight of each one's voice.
+WEIGHTS = {"accurate": 1.4, "tiny": 1.1, "fast": 0.7}
+
+
+def _candidates(s, d):
+    return v.runs(s, d).select("id", F.col("backend").alias("name"), F.col("actual").alias("text"), "error")
+
+
+def _crosscheck(s, d):
+    return consensus.crosscheck(v.clips(s, d), _candidates(s, d).filter("name <> 'fast'"))
+
+
 QUERIES = {
+    "draft_gold": lambda s, d: consensus.draft_gold(_candidates(s, d), WEIGHTS, ("accurate",)),
+    "crosscheck": _crosscheck,
     "term_coverage": _terms,
     "ordered_checks": _ordered,
     "quota_sample": _quota,
