@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ TOKEN = r"[\p{L}\p{N}_]+"
 STOP_WORDS = ("about", "after", "again", "because", "before", "could", "should", "their", "there", "these", "thing", "things", "think", "those", "where", "which", "while", "would")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once for each row however often it is used, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column, pattern: str = TOKEN, lower: bool = True) -> Column:
     text = F.coalesce(text, F.lit(""))
     return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(pattern), F.lit(0))
@@ -22,13 +29,12 @@ def word_errors(ref: Column, hyp: Column) -> Column:
 
     Each distinct token of the pair becomes one character, so that the built-in string distance counts tokens.
     """
-    known = F.array_distinct(F.concat(ref, hyp))
 
-    def coded(words: Column) -> Column:
+    def coded(words: Column, known: Column) -> Column:
         # code points from U+3400 on: clear of surrogates for some 20,000 distinct tokens in a pair
         return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 13312), 4, "0")), "UTF-16BE")), "")
 
-    return F.levenshtein(coded(ref), coded(hyp))
+    return let(F.array_distinct(F.concat(ref, hyp)), lambda known: F.levenshtein(coded(ref, known), coded(hyp, known)))
 
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
