@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history, review, selection
+from . import history, mining, review, selection
 
-QUERIES = history.QUERIES | review.QUERIES | selection.QUERIES
-SQL = history.SQL | review.SQL | selection.SQL
+QUERIES = history.QUERIES | review.QUERIES | selection.QUERIES | mining.QUERIES
+SQL = history.SQL | review.SQL | selection.SQL | mining.SQL
