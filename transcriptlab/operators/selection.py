@@ -167,3 +167,27 @@ def audit_claims(claims: DataFrame, evidence: DataFrame, tolerance: float = 0.00
     close = F.coalesce(F.abs(F.col("value") - F.col("expected")) <= tolerance, F.lit(False))
     verdict = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").when(close, "ok").otherwise("off")
     return claims.join(facts, ["selector", "metric"], "left").select("claim_id", "metric", verdict.alias("verdict"))
+
+
+def best_or_unclear(candidates: DataFrame, least: float = 0.25, most_repeat: float = 0.3) -> DataFrame:
+    """(id, name, score) of the best candidate (id, name, score, repeat) of each id; "unclear" if it scores low or repeats itself."""
+    best = candidates.groupBy("id").agg(F.max_by(F.struct("name", "score", "repeat"), F.struct("score", F.col("name"))).alias("x"))
+    unclear = F.coalesce((F.col("x.score") < least) | (F.col("x.repeat") >= most_repeat), F.lit(True))
+    return best.select("id", F.when(unclear, "unclear").otherwise(F.col("x.name")).alias("name"), F.col("x.score").alias("score"))
+
+
+def review_candidates(attempts: DataFrame, least_seconds: float, n: int) -> DataFrame:
+    """The newest n successful attempts without an error that took long enough, one for each recording (its newest)."""
+    good = attempts.filter(F.col("paste_success") & (F.col("release_to_paste") >= least_seconds))
+    one = good.groupBy("audio_path").agg(F.max_by(F.struct("run_id", "ordinal"), "ordinal").alias("x"))
+    return one.select("audio_path", "x.run_id", "x.ordinal").orderBy(F.col("ordinal").desc()).limit(n).drop("ordinal")
+
+
+def caption_choice(captions: DataFrame, starts: tuple[float, ...], length: float, least_words: int) -> DataFrame:
+    """(conv_id, start, words): of each recording the first of the given starts whose window, ends included, has enough words, else the wordiest, the first of equals."""
+    met = F.filter(F.array(*[F.lit(float(s)) for s in starts]), lambda s: (F.col("stop") >= s) & (F.col("start") <= s + length))
+    rows = captions.select("conv_id", F.size(X.split_words(F.col("text"))).alias("n"), F.explode(met).alias("at"))
+    windows = rows.groupBy("conv_id", "at").agg(F.sum("n").alias("words"))
+    row = F.struct("at", "words")
+    best = windows.groupBy("conv_id").agg(F.min_by(row, F.when(F.col("words") >= least_words, F.col("at"))).alias("first"), F.min_by(row, F.struct(-F.col("words"), "at")).alias("most"))
+    return best.select("conv_id", F.coalesce("first", "most").alias("x")).select("conv_id", F.col("x.at").alias("start"), "x.words")

@@ -13,6 +13,7 @@ from .history import _SCORED, _STOP
 from .review import SQL as REVIEW_SQL
 from .review import _plain
 
+STARTS = (0.0, 6.0, 12.0, 18.0, 24.0)
 PLACES = {"accurate": 0, "tiny": 1, "fast": 2}
 
 
@@ -148,6 +149,9 @@ QUERIES = {
     "stitched": _stitched,
     "labelled_sources": _labelled,
     "claims_audit": _claims,
+    "best_or_unclear": lambda s, d: selection.best_or_unclear(_scored(s, d).select("id", F.col("backend").alias("name"), F.col("useful_score").alias("score"), "repeat"), 0.7),
+    "review_candidates": lambda s, d: selection.review_candidates(v.attempts(s, d), 0.5, 500),
+    "caption_choice": lambda s, d: selection.caption_choice(v.captions(s, d), STARTS, 12.0, 60),
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -268,4 +272,11 @@ SELECT conv_id AS run, max(k)::INT AS chunks, array_to_string(arg_max(said, k),
     "labelled_sources": """SELECT conv_id AS run, string_agg('[' || role || ']' || chr(10) || x, chr(10) || chr(10) ORDER BY role) AS text FROM (SELECT conv_id, role, regexp_replace(arg_min("text", turn), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS x FROM conversations GROUP BY 1, 2) WHERE x <> '' GROUP BY 1""",
     "claims_audit": """WITH v AS (SELECT p_brand AS b, avg(p_size) AS a FROM part GROUP BY 1)
 SELECT b AS claim_id, 'size' AS metric, CASE WHEN abs(a - round(a, 1)) <= 0.0005 THEN 'ok' ELSE 'off' END AS verdict FROM v UNION ALL SELECT 'x' || b, 'price', 'missing' FROM v""",
+    "best_or_unclear": _SCORED.replace("SELECT doc_id, id, category, backend, wer,", "SELECT doc_id, repeat, id, category, backend, wer,")
+    + """SELECT id, CASE WHEN useful_score < 0.7 OR repeat >= 0.3 THEN 'unclear' ELSE backend END AS name, useful_score AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY useful_score DESC, backend DESC) AS k FROM scored) WHERE k = 1""",
+    "review_candidates": v.with_views("attempts")
+    + "SELECT audio_path, run_id FROM (SELECT audio_path, arg_max(run_id, ordinal) AS run_id, max(ordinal) AS o FROM attempts WHERE paste_success AND release_to_paste >= 0.5 GROUP BY 1) ORDER BY o DESC LIMIT 500",
+    "caption_choice": v.with_views("captions")
+    + f""", w AS (SELECT conv_id, s.a AS began, sum(len(regexp_extract_all("text", '{_WORD}')))::BIGINT AS words FROM captions, (VALUES {', '.join(f'({x})' for x in STARTS)}) s(a) WHERE stop >= s.a AND start <= s.a + 12 GROUP BY 1, 2)
+SELECT conv_id, began::DOUBLE AS start, words FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY words < 60, CASE WHEN words >= 60 THEN began END, words DESC, began) AS k FROM w) WHERE k = 1""",
 }
