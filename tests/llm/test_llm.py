@@ -188,6 +188,14 @@ def test_line_dedup(spark):
     assert large == small and linedup.drop_boilerplate(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_takes_a_template_line_from_every_host(spark):
+    # by host, the pages of 500 that hold a licence line, as chance spreads a tenth; a line on 4 % of the pages is the host's own
+    held = {"a": 43, "b": 50, "c": 66}
+    rows = [(i, f"own {i}\n" + "licence\n" * (i % 500 < held[s]) + "twentieth\n" * (480 <= i % 500), s) for s in held for i in range(500)]
+    out = linedup.drop_boilerplate(docs(spark, rows)).groupBy("source").agg(F.sum(F.col("text").contains("licence").cast("int")).alias("kept"), F.sum(F.col("text").contains("twentieth").cast("int")).alias("clean")).collect()
+    assert {r.source: (r.kept, r.clean) for r in out} == dict.fromkeys(held, (0, 20))
+
+
 def vector_table(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(0, 0.3, 8).astype(float).tolist()) for i in range(600)]

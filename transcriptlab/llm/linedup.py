@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 
-RATIO, MIN_PAGES = 0.1, 3
+#: A line that a template puts on a tenth of a site's pages is boilerplate.  The cut is half of that, so that a host on which
+#: chance lowers the line's share still loses it; the same for all sizes.
+RATIO, MIN_PAGES = 0.05, 3
 #: Up to so many (host, line) pairs, 16 bytes each, are broadcast; beyond that they are joined by line.
 BROADCAST_PAIRS = 200_000
 
