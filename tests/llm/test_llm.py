@@ -154,6 +154,30 @@ def test_near_dedup(spark):
     assert neardup.classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_near_dedup_of_texts_that_differ_in_how_often_a_passage_repeats(spark):
+    rows = []
+    for g in range(12):
+        single, passage = " ".join(f"s{g}-{i}" for i in range(60)), " ".join(f"p{g}-{i}" for i in range(14))
+        # the passage follows itself in both, so that the sets of shingles are the same
+        rows += [(2 * g, f"{single} {passage} {passage}", "a"), (2 * g + 1, f"{single} " + " ".join([passage] * 500), "a")]
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs(spark, rows)).collect()}
+    assert all(jaccard(rows[2 * g][1], rows[2 * g + 1][1]) == 1.0 for g in range(12)) and got == {i: i // 2 * 2 for i in range(24)}
+
+
+def test_near_dedup_blocks_compare_every_pair(spark):
+    rng = np.random.default_rng(4)
+    of = [np.unique(rng.integers(0, 9, 12) + 9 * (i % 4)).astype(np.uint64) for i in range(40)] + [np.zeros(0, np.uint64)] * 2
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(of)], "tid long, set binary")
+    large = spark.createDataFrame([(7, i, 600, i) for i in range(len(of))], "bucket long, tid long, n long, label long")
+    got = {r.tid: r.label for r in neardup.components(neardup._blocks(large, sets, 0.8)).collect()}
+    label = list(range(len(of)))
+    for i in range(len(of)):
+        for j in range(i):
+            if label[i] != label[j] and neardup.set_similarity(of[i], of[j]) >= 0.8:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert {i: got.get(i, i) for i in range(len(of))} == dict(enumerate(label))
+
+
 def test_signatures_estimate_similarity():
     import pyarrow as pa
 

@@ -1,16 +1,16 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-Shingles of five words, weighted by 1 + ln(count), arrive at a text's registers as Poisson processes: a
-shingle's rate is its weight, each arrival falls into a random register, and a register keeps the
+Shingles of five words, each once however often it repeats, arrive at a text's registers as Poisson
+processes of rate 1: each arrival falls into a random register, and a register keeps the
 shingle of its first arrival.  A shingle stops as soon as its next arrival comes later than every
-register's first.  Two texts agree in a register with a chance that is their probability Jaccard
-similarity.  Bands of registers make buckets; texts that share one are compared and verified on their
-shingles: they are linked where the Jaccard similarity of their sets of shingles is 0.8 or more.  Linked
-texts make classes, named by the smallest doc_id.
+register's first.  Two texts agree in a register with a chance that is the Jaccard similarity of their
+sets of shingles.  Bands of registers make buckets; every two texts that share one are verified on their
+shingles: they are linked where that similarity is 0.8 or more.  Only pairs whose numbers of different
+shingles rule it out aren't compared.  Linked texts make classes, named by the smallest doc_id.
 
 No bucket is turned into all its pairs at once.  Exact copies are one text.  Then every text of a bucket
 is compared with the bucket's head, and links are joined into components.  Only pairs of different
-components remain: small buckets give them by a join, large ones by blocks, compared within a
+components remain: small buckets give them by a join, large ones by blocks, compared whole within a
 task that gives nothing but links between components.  So no bucket is capped.
 
 Cases: words are runs of non-white-space; a text of one to four words is one shingle; null, empty and
@@ -23,17 +23,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, checkpoint, mix, slices, stash, table, unit, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Pairs that agree in fewer registers go no further: 4 standard deviations under the similarity.
-LEAST = 0.65
-#: Buckets of more texts than this are compared in blocks of this size.
-BLOCK = 64
+#: Buckets of more texts than PAIRS are compared in blocks of up to some 4 x BLOCK texts.
+PAIRS, BLOCK = 8, 64
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -53,14 +51,15 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 def signatures(texts: pa.Array, registers: int, words: int = WORDS) -> np.ndarray:
     """For each text, the shingle that each register keeps: texts x registers; 0 for texts without words."""
-    h, n = shingles(texts, words)
+    return _signed(*shingles(texts, words), registers)
+
+
+def _signed(h: np.ndarray, n: np.ndarray, registers: int) -> np.ndarray:
     rows = np.repeat(np.arange(len(n), dtype=np.uint64), n)
     bits = np.uint64(max(1, int(len(n) - 1).bit_length()))
     key = np.sort((rows << (np.uint64(64) - bits)) | (h >> bits))
     new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    weight = 1 + np.log(np.diff(np.append(at, len(key))))
-    key = key[at]
+    key = key[new]
     row = (key >> (np.uint64(64) - bits)).astype(np.int64)
     shingle = key & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1))
     # the same width whatever the batch, or equal texts would differ
@@ -71,7 +70,7 @@ def signatures(texts: pa.Array, registers: int, words: int = WORDS) -> np.ndarra
     with np.errstate(over="ignore"):
         seed = mix(shingle + GOLDEN)
     alive, k = np.arange(len(key)), 0
-    total = np.bincount(row, weight, minlength=len(n))
+    total = np.bincount(row, minlength=len(n))
     # By this time all registers of nearly every text are taken; later arrivals wait until that is known.
     horizon = registers * (np.log(registers) + 4) / np.maximum(total, 1e-12)
     waiting = []
@@ -79,7 +78,7 @@ def signatures(texts: pa.Array, registers: int, words: int = WORDS) -> np.ndarra
         with np.errstate(over="ignore"):
             draw = mix(seed[alive] + np.uint64(2 * k + 1) * GOLDEN)
             slot = mix(draw ^ GOLDEN) % np.uint64(registers)
-        time[alive] += -np.log(unit(draw)) / weight[alive]
+        time[alive] += -np.log(unit(draw))
         soon = time[alive] <= horizon[row[alive]]
         if not soon.all():
             waiting.append((alive[~soon], slot[~soon], np.full((~soon).sum(), k)))
@@ -91,7 +90,7 @@ def signatures(texts: pa.Array, registers: int, words: int = WORDS) -> np.ndarra
         k += 1
     worst = best.reshape(len(n), registers).max(1)
     if waiting and not np.isfinite(worst[n > 0]).all():
-        _rest(best, kept, waiting, time, row, weight, shingle, seed, registers)
+        _rest(best, kept, waiting, time, row, shingle, seed, registers)
     return kept.reshape(len(n), registers)
 
 
@@ -101,7 +100,7 @@ def _arrive(best: np.ndarray, kept: np.ndarray, where: np.ndarray, time: np.ndar
     kept[where[first]] = shingle[first] + np.uint64(1)
 
 
-def _rest(best, kept, waiting, time, row, weight, shingle, seed, registers) -> None:
+def _rest(best, kept, waiting, time, row, shingle, seed, registers) -> None:
     """Arrivals behind the horizon, of texts that still have empty registers."""
     alive, slot, k = (np.concatenate(x) for x in zip(*waiting, strict=True))
     open_ = ~np.isfinite(best.reshape(-1, registers).max(1))
@@ -114,31 +113,32 @@ def _rest(best, kept, waiting, time, row, weight, shingle, seed, registers) -> N
         with np.errstate(over="ignore"):
             draw = mix(seed[alive] + (np.uint64(2) * k + np.uint64(1)) * GOLDEN)
             slot = mix(draw ^ GOLDEN) % np.uint64(registers)
-        time[alive] += -np.log(unit(draw)) / weight[alive]
+        time[alive] += -np.log(unit(draw))
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(tid, text_key, doc_id, bands, registers): each different text once, with its smallest doc_id."""
+    """(tid, text_key, doc_id, bands, size): each different text once, with its smallest doc_id; size counts its different shingles."""
     registers = bands * rows
 
-    @F.arrow_udf("struct<bands: array<long>, registers: binary>")
+    @F.arrow_udf("struct<bands: array<long>, size: long>")
     def sketch(texts: pa.Array) -> pa.Array:
-        keys, sigs = [], []
+        keys, sizes = [], []
         for part in slices(texts):
-            sig = signatures(part, registers)
+            h, n = shingles(part)
+            sig = _signed(h, n, registers)
+            sizes += [len(np.unique(x)) for x in np.split(h, np.cumsum(n)[:-1])]
             with np.errstate(over="ignore"):
                 own = np.zeros((len(part), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
                 for o in range(rows):
                     own = mix(own * GOLDEN + sig.reshape(len(part), bands, rows)[:, :, o])
             keys.append(own)
-            sigs += [x.tobytes() for x in (sig % np.uint64(65521)).astype(np.uint16)]
         keys = np.concatenate(keys) if keys else np.zeros((0, bands), np.uint64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
-        return pa.StructArray.from_arrays([lists, pa.array(sigs, pa.binary())], ["bands", "registers"])
+        return pa.StructArray.from_arrays([lists, pa.array(sizes, pa.int64())], ["bands", "size"])
 
     keyed = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), sketch(F.coalesce(F.col(text), F.lit(""))).alias("s"))
     once = keyed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s"))
-    return stash(once.select(F.monotonically_increasing_id().alias("tid"), "text_key", "doc_id", "s.bands", "s.registers"))
+    return stash(once.select(F.monotonically_increasing_id().alias("tid"), "text_key", "doc_id", "s.bands", "s.size"))
 
 
 def text_key(text: str):
@@ -182,19 +182,9 @@ def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     return both.withColumn("j", jaccard("sa", "sb")).filter(F.col("j") >= similarity).select("a", "b").distinct()
 
 
-def agreeing(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b), those that agree in enough registers."""
-
-    @F.arrow_udf("double")
-    def share(a: pa.Array, b: pa.Array) -> pa.Array:
-        if not len(a):
-            return pa.array([], pa.float64())
-        x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint16).reshape(len(v), -1) for v in (a, b))
-        return pa.array((x == y).mean(1))
-
-    regs = texts.select("tid", "registers")
-    both = pairs.join(regs.select(F.col("tid").alias("a"), F.col("registers").alias("ra")), "a").join(regs.select(F.col("tid").alias("b"), F.col("registers").alias("rb")), "b")
-    return both.withColumn("e", share("ra", "rb")).filter(F.col("e") >= least).select("a", "b")
+def fits(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of so many shingles can be similar enough: the smaller has at least that share of the larger."""
+    return F.least(a, b) + 1e-6 >= similarity * F.greatest(a, b)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,29 +207,28 @@ def components(links: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """(tid, label): components of the texts that are linked."""
-    banded = texts.select("tid", F.posexplode("bands").alias("band", "bucket")).select("tid", "bucket")
+    banded = texts.select("tid", "size", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stash(banded.join(shared, "bucket"))
     # A text that others were copied from shares the most buckets with the most texts; it leads its buckets.
     known = shared.groupBy("tid").agg(F.sum("n").alias("known"))
     led = stash(shared.join(known, "tid"))
-    heads = led.groupBy("bucket").agg(F.max_by("tid", F.struct("known", -F.col("tid"))).alias("head"))
-    members = stash(led.select("tid", "bucket", "n").join(heads, "bucket"))
-    stars = members.filter("tid <> head").select(F.least("head", "tid").alias("a"), F.greatest("head", "tid").alias("b")).distinct()
-    near = checkpoint(agreeing(stars, texts, LEAST))
+    heads = led.groupBy("bucket").agg(F.max_by(F.struct("tid", "size"), F.struct("known", -F.col("tid"))).alias("h")).select("bucket", F.col("h.tid").alias("head"), F.col("h.size").alias("head_size"))
+    members = stash(led.select("tid", "size", "bucket", "n").join(heads, "bucket"))
+    stars = members.filter("tid <> head").filter(fits("size", "head_size", similarity)).select(F.least("head", "tid").alias("a"), F.greatest("head", "tid").alias("b")).distinct()
+    near = checkpoint(stars)
     first = checkpoint(similar(shingle_sets(docs, texts, _ends(near), text), near, similarity))
     labels = components(first)
     # What the heads didn't settle: pairs of different components.
     labelled = members.join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
     open_ = checkpoint(labelled.join(mixed, "bucket"))
-    small, large = open_.filter(F.col("n") <= BLOCK), open_.filter(F.col("n") > BLOCK)
-    x = small.select("bucket", "label", F.col("tid").alias("a"))
-    y = small.select("bucket", F.col("label").alias("other"), F.col("tid").alias("b"), "head")
-    pairs = x.join(y, "bucket").filter("a < b AND label <> other AND a <> head AND b <> head").select("a", "b").distinct()
-    pairs = checkpoint(agreeing(pairs, texts, LEAST))
+    small, large = open_.filter(F.col("n") <= PAIRS), open_.filter(F.col("n") > PAIRS)
+    x = small.select("bucket", "label", F.col("tid").alias("a"), F.col("size").alias("size_a"))
+    y = small.select("bucket", F.col("label").alias("other"), F.col("tid").alias("b"), F.col("size").alias("size_b"), "head")
+    pairs = checkpoint(x.join(y, "bucket").filter("a < b AND label <> other AND a <> head AND b <> head").filter(fits("size_a", "size_b", similarity)).select("a", "b").distinct())
     sets = shingle_sets(docs, texts, _ends(pairs).union(large.select("tid")), text)
-    second = similar(sets, pairs, similarity).union(_blocks(large, texts, sets, similarity))
+    second = similar(sets, pairs, similarity).union(_blocks(large, sets, similarity))
     return components(first.union(second))
 
 
@@ -247,25 +236,36 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("tid")).union(pairs.select(F.col("b").alias("tid")))
 
 
-def _blocks(large: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _blocks(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links between different components in large buckets.  A task compares two blocks and gives only links that join components."""
     blocks = F.ceil(F.col("n") / (4 * BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("tid"), blocks).cast("int")
-    held = large.join(texts.select("tid", "registers"), "tid").join(sets.groupBy("tid").agg(F.first("set").alias("set")), "tid").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tid", "label", "registers", "set")
+    held = large.join(sets.groupBy("tid").agg(F.first("set").alias("set")), "tid").withColumn("blocks", blocks).withColumn("own", own)
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tid", "label", "set")
 
     def compare(t: pa.Table) -> pa.Table:
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         own, tid, label = t["own"].to_numpy(), t["tid"].to_numpy(), t["label"].to_numpy().copy()
-        regs = np.frombuffer(b"".join(t["registers"].to_pylist()), np.uint16).reshape(len(tid), -1)
-        of = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        sizes = np.array([len(x.as_buffer()) // 8 for x in t["set"]], np.int64)
+        known, codes = np.unique(np.frombuffer(b"".join(x.as_buffer() for x in t["set"]), np.uint64), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        held = np.zeros(len(known) + 1, np.int32)
+        # each set's codes, and one that no set has: so that a set without shingles has a sum too
+        padded = np.insert(codes, starts, len(known))
+        starts = starts + np.arange(len(sizes))
+        left, right = np.flatnonzero(own == i), own == j
         out = []
         for r in left:
-            rest = right[(label[right] != label[r]) & ((tid[right] > tid[r]) | (i != j))]
-            agree = (regs[rest] == regs[r]).mean(1) if len(rest) else np.zeros(0)
-            for o in rest[np.argsort(-agree, kind="stable")][: (agree >= LEAST).sum()]:
-                if label[o] != label[r] and set_similarity(of[o], of[r]) >= similarity:
+            rest = right & (label != label[r]) & ((tid > tid[r]) | (i != j)) & (np.minimum(sizes, sizes[r]) + 1e-6 >= similarity * np.maximum(sizes, sizes[r]))
+            if not rest.any():
+                continue
+            mine = codes[starts[r] - r : starts[r] - r + sizes[r]]
+            held[mine] = 1
+            both = np.add.reduceat(held[padded], starts)
+            held[mine] = 0
+            all_ = sizes + sizes[r] - both
+            for o in np.flatnonzero(rest & (np.where(all_ > 0, both / np.maximum(all_, 1), 1.0) >= similarity)):
+                if label[o] != label[r]:
                     out.append((min(tid[r], tid[o]), max(tid[r], tid[o])))
                     label[label == label[o]] = label[r]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
