@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history, mining, review, selection
+from . import history, mining, review, selection, whole
 
-QUERIES = history.QUERIES | review.QUERIES | selection.QUERIES | mining.QUERIES
+QUERIES = history.QUERIES | review.QUERIES | selection.QUERIES | mining.QUERIES | whole.QUERIES
 SQL = history.SQL | review.SQL | selection.SQL | mining.SQL

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import TOKEN, tokens
 
+#: Tokens of a document in its clip, as in the SQL below; None within ``whole``.
+MOST: ContextVar[int | None] = ContextVar("most", default=40)
 BACKENDS = ((0, "fast"), (1, "accurate"), (2, "tiny"))
 
 
@@ -14,9 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def whole() -> Iterator[None]:
+    """Views built here have all tokens of each document, and the last of its drafts all of them too."""
+    before = MOST.set(None)
+    try:
+        yield
+    finally:
+        MOST.reset(before)
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    words = F.slice(tokens(F.col("text"), lower=False), F.lit(1), F.lit(40))
+    words = tokens(F.col("text"), lower=False)
+    words = words if MOST.get() is None else F.slice(words, F.lit(1), F.lit(MOST.get()))
     trust = F.when(F.col("quality") == 1, "gold").when(F.col("quality") == 0, "silver").otherwise("needs_human_review")
     return docs.select("doc_id", "lang", "source", "n_chars", words.alias("toks")).join(labels, "doc_id", "left").select("doc_id", F.concat(F.lit("clip_"), "doc_id").alias("id"), F.col("lang").alias("category"), "source", "toks", F.array_join("toks", " ").alias("gold"), (F.col("n_chars") / 15.0).alias("audio_seconds"), trust.alias("trust"))
 
@@ -50,7 +67,8 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clips(spark, sf_dir).select("doc_id", "toks", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("k"))
-    words = F.slice("toks", F.lit(1), (F.col("k") * 5).cast("int"))
+    step = F.lit(5) if MOST.get() is not None else F.greatest(F.lit(5), F.ceil(F.size("toks") / 8))
+    words = F.slice("toks", F.lit(1), (F.col("k") * step).cast("int"))
     changed = F.when(((F.col("doc_id") + F.col("k")) % 3 == 0) & (F.size(words) > 0), F.concat(F.slice(words, F.lit(1), F.size(words) - 1), F.array(F.lit("zz")))).otherwise(words)
     return rows.select("doc_id", "k", (F.col("k") * 1500).alias("t_ms"), changed.alias("words"))
 
