@@ -287,6 +287,26 @@ def test_toxicity(spark):
     assert toxicity.score(data.limit(0), untrained).count() == 0
 
 
+def test_toxicity_trains_once_on_repeated_rows_and_within_its_words(spark, monkeypatch):
+    rows = [(i, f"w{i % 7} w{i % 5} " + ("nasty" if i % 3 == 0 else "kind"), "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    again = next(i for i, in docs(spark, rows).filter(~toxicity.held_out(F.col("doc_id"))).select("doc_id").orderBy("doc_id").collect())
+    data = docs(spark, [*rows, *[rows[again]] * 500]).drop("rank")
+    seen, agreement = [], toxicity.agreement
+
+    def spy(ids, toxic, size):
+        seen.append([len(x) for x in ids])
+        return agreement(ids, toxic, size)
+
+    monkeypatch.setattr(toxicity, "agreement", spy)
+    one, repeated = (toxicity.train(d, labels, toxicity.Config(steps=1)) for d in (docs(spark, rows), data))
+    assert len(seen[0]) == len(seen[1]) <= 200 and np.array_equal(one.embedding, repeated.embedding)
+    # a doc_id whose different texts alone pass the bound leaves room for the others
+    wide = docs(spark, [*rows, *[(again, f"x{i} y z", "a") for i in range(300)]])
+    toxicity.train(wide, labels, toxicity.Config(steps=1, sample_words=800))
+    assert len(seen[2]) == len(seen[0]) - 1 and sum(seen[2]) <= 800
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
