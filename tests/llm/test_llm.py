@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from transcriptlab.llm import ann, chat, html, linedup, mixing, neardup, packing, queries, secrets, topk, toxicity
+from transcriptlab.llm import ann, chat, html, linedup, mixing, neardup, packing, queries, secrets, topk, toxicity, vectors
 from transcriptlab.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -221,37 +221,100 @@ def test_line_dedup_takes_a_template_line_from_every_host(spark):
 
 
 def vector_table(spark):
+    """Rows (place, vec_id, vector or None) and the table; equal vectors, repeated ids and vectors of another length among them."""
     rng = np.random.default_rng(5)
-    rows = [(i, rng.normal(0, 0.3, 8).astype(float).tolist()) for i in range(600)]
-    rows += [(i, [0.5] * 8) for i in range(600, 660)] + [(700, None), (701, [0.1, None] + [0.0] * 6), (702, [float("nan")] * 8), (703, [0.0] * 8), (None, [1.0] * 8), (704, []), (650, [0.5] * 8)]
-    return spark.createDataFrame([(i, v, "extra") for i, v in rows], "vec_id long, embedding array<float>, score string"), {i: np.array(v, np.float32).astype(float) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
+    rows = [(i, rng.normal(0, 0.3, 8).astype(np.float32).tolist()) for i in range(600)]
+    rows += [(i, [0.5] * 8) for i in range(600, 660)] + [(700, None), (701, [0.1, None] + [0.0] * 6), (702, [float("nan")] * 8), (703, [0.0] * 8), (None, [1.0] * 8), (704, []), (650, [0.5] * 8), (650, [0.25] * 8)]
+    rows += [(800 + i, [0.25 * i, 1.0, -0.5]) for i in range(3)]
+    table = spark.createDataFrame([(i, v, "extra", 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score string, rid int, pivot int")
+    known = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    return table, known
 
 
-def test_top_k(spark):
-    rows, known = vector_table(spark)
-    whole = topk.vectors(rows, zero=True).select("vec_id", F.transform("v", lambda c: F.floor(c.cast("double") * 256)).alias("v"))
+def best_of(known, every, k, score):
+    """For each query row its (vec_id, score) list by brute force; rows that repeat a query's id give lists of their own."""
     out = defaultdict(list)
-    for r in topk.top_k(whole.filter("vec_id % 50 = 0"), whole, 5, block_rows=5, shard_rows=100).orderBy("rank").collect():
-        out[r.query_id].append((r.vec_id, r.score))
-    ints = {i: np.floor(v * 256).astype(int) for i, v in known.items()}
-    want = {q: [(i, int(ints[q] @ ints[i])) for i in sorted((i for i in ints if i != q), key=lambda i: (-(ints[q] @ ints[i]), i))[:5]] for q in ints if q % 50 == 0}
-    assert out == want
-    assert topk.top_k(whole.limit(0), whole, 5).count() == 0
+    for a, (q, x) in enumerate(known):
+        if q % every == 0:
+            found = [(-score(x, y), i, b) for b, (i, y) in enumerate(known) if b != a and len(y) == len(x)]
+            out[q].append([(i, -s) for s, i, _ in sorted(found)[:k]])
+    return {q: sorted(v) for q, v in out.items()}
+
+
+def ranked(rows):
+    """The same of an answer, where lists of one id can't be told apart but by their ranks."""
+    out = defaultdict(lambda: defaultdict(list))
+    for r in rows:
+        out[r.query_id][r["rank"]].append((r.vec_id, r.score))
+    return out
+
+
+def test_top_k(spark):
+    table, known = vector_table(spark)
+    known = [(i, np.floor(v * 256)) for i, v in known]
+    whole = vectors.vectors(table, zero=True).select("rid", "vec_id", F.transform("v", lambda c: F.floor(c * 256).cast("double")).alias("v"))
+    want = best_of(known, 50, 5, lambda x, y: int(x @ y))
+    for block_rows, shard_rows in ((5, 100), (2048, 8192)):
+        got = ranked(topk.top_k(whole.filter("vec_id % 50 = 0"), whole, 5, block_rows, shard_rows).collect())
+        assert got.keys() == want.keys() and 800 in got and len(want[650]) == 3
+        for q, lists in want.items():
+            for rank in range(max(map(len, lists))):
+                assert sorted(got[q][rank + 1]) == sorted(x[rank] for x in lists if rank < len(x))
+    assert topk.top_k(whole.limit(0), whole, 5).count() == 0 and topk.top_k(whole, whole.limit(0), 5).count() == 0
 
 
 def test_neighbours(spark):
-    rows, known = vector_table(spark)
-    data = ann.vectors(rows, zero=False)
-    known = {i: v for i, v in known.items() if v.any()}
+    table, known = vector_table(spark)
+    known = [(i, v) for i, v in known if v.any()]
+    data = vectors.vectors(table, zero=False)
+    distance = lambda x, y: float(np.sqrt(((x - y) ** 2).sum()))
+    want = best_of(known, 100, 10, lambda x, y: -distance(x, y))
+    of = defaultdict(list)
+    for i, v in known:
+        of[i].append(v)
     for factor, least in ((1.0, 1.0), (ann.FACTOR, 0.9)):
-        out = defaultdict(list)
-        for r in ann.neighbours(data.filter("vec_id % 100 = 0"), data, 10, factor, block_rows=5, shard_rows=200).orderBy("rank").collect():
-            out[r.query_id].append(r.vec_id)
+        got = ranked(ann.neighbours(data.filter("vec_id % 100 = 0"), data, 10, factor, block_rows=5, shard_rows=200).collect())
+        assert got.keys() == want.keys()
         hits = 0
-        for q in out:
-            far = {i: np.sqrt(((known[q] - v) ** 2).sum()) for i, v in known.items() if i != q}
-            hits += len(set(sorted(far, key=lambda i: (far[i], i))[:10]) & set(out[q]))
-        assert set(out) == {i for i in known if i % 100 == 0} and hits >= least * 10 * len(out)
+        for q, (x,) in ((q, of[q]) for q in want):
+            mine = [got[q][r + 1][0] for r in range(len(got[q]))]
+            # scores are exactly the measure, best first, ties to smaller ids
+            assert all(any(abs(s - distance(x, y)) < 1e-12 for y in of[i]) for i, s in mine) and mine == sorted(mine, key=lambda m: (m[1], m[0]))
+            hits += len({i for i, _ in mine} & {i for i, _ in want[q][0]})
+            assert factor > 1 or [i for i, _ in mine] == [i for i, _ in want[q][0]]
+        assert hits >= least * sum(len(v[0]) for v in want.values())
+
+
+def clustered(n, seed=0):
+    rng = np.random.default_rng(seed)
+    return np.floor((rng.normal(0, 1, (20, 16))[rng.integers(0, 20, n)] + rng.normal(0, 0.1, (n, 16))) * 64)
+
+
+@pytest.mark.parametrize("n", [500, 2000, 6000])
+def test_cover_trees_prune(n):
+    x, ids = clustered(n), np.arange(n)
+    tree, own, seen = topk.cover_tree(x), np.arange(0, n, 50), []
+    topk.dual_search(tree, x, ids, ids, x[own], own, 5, np.full(len(own), -np.inf), seen)
+    assert seen[0] < 0.35 * len(own) * n
+    # the covering rule: every node holds its points, and centres of siblings are apart by more than its radius / BASE
+    for i in range(len(tree.radius)):
+        points = tree.order[tree.start[i] : tree.stop[i]]
+        assert (np.linalg.norm(x[points] - tree.centre[i], axis=1) <= tree.radius[i]).all()
+        kids = tree.centre[tree.kids[i] : tree.last[i]]
+        if len(kids) > 1:
+            apart = np.linalg.norm(kids[:, None] - kids[None], axis=2)[np.triu_indices(len(kids), 1)]
+            assert apart.min() >= np.linalg.norm(x[points] - tree.centre[i], axis=1).max() / topk.BASE - 1e-6
+
+
+@pytest.mark.parametrize("n", [500, 2000, 6000])
+def test_vantage_trees_prune_and_the_factor_prunes_more(n):
+    x, ids = clustered(n), np.arange(n)
+    tree, own, shares = ann.vantage_tree(x), np.arange(0, n, 50), []
+    for factor in (1.0, 2.0, ann.FACTOR, 20.0):
+        seen = []
+        ann.tree_search(tree, x, ids, ids, x[own], own, 10, np.full(len(own), -np.inf), factor, seen)
+        shares.append(seen[0] / len(own) / n)
+    assert shares[0] < 0.6 and shares == sorted(shares, reverse=True) and shares[3] < 0.7 * shares[0]
 
 
 def test_html(spark):
