@@ -290,7 +290,7 @@ def clustered(n, seed=0):
     return np.floor((rng.normal(0, 1, (20, 16))[rng.integers(0, 20, n)] + rng.normal(0, 0.1, (n, 16))) * 64)
 
 
-@pytest.mark.parametrize("n", [500, 2000, 6000])
+@pytest.mark.parametrize("n", [1000, 2000, 6000])
 def test_cover_trees_prune(n):
     x, ids = clustered(n), np.arange(n)
     tree, own, seen = topk.cover_tree(x), np.arange(0, n, 50), []
@@ -306,7 +306,7 @@ def test_cover_trees_prune(n):
             assert apart.min() >= np.linalg.norm(x[points] - tree.centre[i], axis=1).max() / topk.BASE - 1e-6
 
 
-@pytest.mark.parametrize("n", [500, 2000, 6000])
+@pytest.mark.parametrize("n", [1000, 2000, 6000])
 def test_vantage_trees_prune_and_the_factor_prunes_more(n):
     x, ids = clustered(n), np.arange(n)
     tree, own, shares = ann.vantage_tree(x), np.arange(0, n, 50), []

@@ -29,7 +29,7 @@ from .vectors import Method, gaps, merge, search, vectors
 BASE = 1.15
 LEAF, QUERY_LEAF = 8, 16
 #: Points that a leaf of queries is compared with at once.
-CHUNK = 512
+CHUNK = 128
 
 
 @dataclass
