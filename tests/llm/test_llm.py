@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -327,6 +329,50 @@ def test_html(spark):
     assert [r.text for r in got if r.page_id == 1] == ["Head & line\nIt was the best of times é.\nShort.\nThe end of it all was not the end."] * 2
     assert {r.page_id: r.text for r in got}[2] == "" and {r.page_id: r.text for r in got}[3] == "" and len({r.page_id: r.text for r in got}[4]) == 15 * 40_000 - 1
     assert html.extract(rows.limit(0)).count() == 0 and html.extract(rows).columns == [*rows.columns, "text"]
+    # a column of the new one's name is replaced
+    clash = rows.withColumn("text", F.lit("old")).withColumn("n", F.lit(1))
+    assert html.extract(clash).columns == clash.columns and html.extract(clash).filter("text = 'old'").count() == 0
+
+
+ENGLISH, OTHER = "it is the text of that and this and so on " * 8, "bu bir metin olarak uzun uzun yazilmis cumle " * 8
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="side-by-side"><p>{ENGLISH}</p><p>The END.</p></div><nav><a href=x>x</a></nav>', f"{ENGLISH.strip()}\nThe END."),
+        (f'<div class="layout sidebar-right"><p>{ENGLISH}</p><p>Short.</p></div><div class="sidebar"><p>{ENGLISH} more {ENGLISH}</p></div>', f"{ENGLISH.strip()}\nShort."),
+        ('<div id="page" class="has-sidebar"><article><h1>Head</h1><p>One.</p></article></div>', "Head\nOne."),
+        (f"<h1>Title</h1><p>{ENGLISH}</p><p>The END.</p><footer>Imprint</footer>", f"Title\n{ENGLISH.strip()}\nThe END."),
+        (f"<h1>Title</h1><article><p>{ENGLISH}</p></article>", f"Title\n{ENGLISH.strip()}"),
+        (f"<p>{OTHER}</p><p>{OTHER[:100]}</p><ul><li><a href=x>Link</a></li></ul>", f"{OTHER.strip()}\n{OTHER[:100].strip()}"),
+        ('<article><header class="entry-header"><h1>Head</h1></header><p><a href=x>All of it a link</a></p><figure><figcaption>Caption</figcaption></figure><fieldset><p>Set</p></fieldset></article>', "Head\nAll of it a link\nCaption\nSet"),
+        (f'<article><p>One.</p><section id="comments"><article class="comment"><p>{ENGLISH}</p></article></section><div class="social-share"><p>Share it</p></div></article>', "One."),
+        (f'<div class="related-posts"><article><h2>Other</h2><p>{ENGLISH}</p></article></div><article><p>{ENGLISH}</p></article>', ENGLISH.strip()),
+        (f'<div class="cookie-notice"><p>{ENGLISH}</p></div><p hidden>{ENGLISH}</p>', ""),
+        (f"<p>{ENGLISH}</i></b></p></div></div><p>a &lt; b</p>", f"{ENGLISH.strip()}\na < b"),
+    ],
+)
+def test_html_marks_are_evidence(page, want):
+    assert html.main_text(page) == want
+
+
+def test_html_of_all_pages(spark):
+    """The article of every page: its markup off, tags parting blocks."""
+    for r in html.extract(table(spark, DATA, "pages")).collect():
+        inner = re.sub("<br>", " ", re.search(r"<article>(.*?)</article>", r.html, re.S)[1])
+        parts = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+        assert r.text == "\n".join(x for x in parts if x)
+
+
+def test_html_time_grows_with_the_page():
+    def took(n):
+        began = time.perf_counter()
+        html.main_text("<b>" * n + "x" + "</i>" * n + "<dt>" + "<b>" * n + "<dt></dt>" * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 40 * max(took(4_000), 0.01)
 
 
 def test_toxicity(spark):

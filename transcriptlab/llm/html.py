@@ -3,20 +3,27 @@
 A page is cut into blocks at block-level tags.  The first pass classifies each block by itself, from the
 share of its words that are stop words, its length and the share of its characters in links: good, bad, near good or
 short.  The second pass gives near-good and short blocks the label of the nearest decided
-neighbours.  Elements that never hold the article (navigation, page headers and footers, asides, forms, scripts,
-styles, and elements whose class, id or role names an advert, a notice, a menu, a sidebar or comments) decide
-their blocks as bad at once; within an article or main element few stop words leave a block undecided, and the
+neighbours.  Headings go with what follows them, and a short paragraph with the good one beside it in the same element.
+Where no block of a page shows the stop words of a known language, length and links alone decide.
+
+Marks of the page are evidence beside the rules.  Elements that never hold the article (navigation, page headers and footers,
+asides, forms, scripts, styles, hidden ones, reader comments), and elements whose class, id or role plainly names an advert, a notice,
+a menu or a sidebar, make their blocks bad.  Names that may as well be those of a layout (``has-sidebar``, ``side-by-side``) do so only
+if the text outside of such elements is longer than that within.  An article or main element starts anew within both.
+Within it few stop words or many links leave a paragraph undecided, and the
 element's edges count as good neighbours, so that headings and short paragraphs stay with it.
 
 Cases: null and empty html give an empty text; text without markup is one block and is judged like others;
-very long pages are read whole; open tags, cut entities and unknown tags are taken as browsers take them; repeated rows are
-extracted each; an empty table gives an empty result; extra columns pass through.
+very long pages are read whole, in a time that grows with their length; open tags, stray end tags, cut entities and unknown tags are
+taken as browsers take them; repeated rows are extracted each; an empty table gives an empty result; extra columns pass through, and the
+new one replaces a column of its name.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,16 +46,20 @@ STOP_WORDS = frozenset(
 )
 # Elements by what they are to a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-NEVER = frozenset("nav footer aside form head title noscript button select fieldset dialog menu iframe object figcaption".split())
+NEVER = frozenset("nav footer aside form head title noscript button select dialog menu iframe object".split())
 RAW = frozenset("script style textarea template svg xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first closes an open element of the second.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCKS - {"body", "head", "html", "li", "td", "tr", "th"}
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice\w*|alert\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|sidebar\w*|side|aside|widget\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|toc|header|masthead|footer|foot|copyright|disclaimer|share|sharing|social|related|recommend\w*|comments?|comment\w*|respond|replies|disqus\w*|form|search\w*|toolbar|skip)(?:$|[\s_-])",
-    re.I,
-)
+PARAGRAPHS = frozenset("p blockquote figcaption dd td h1 h2 h3 h4 h5 h6 pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Words in class names, ids and their compounds.
+COMMENTS = frozenset("comment comments commentlist commenters respond replies disqus".split())
+PLAIN = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr newsletter subscribe subscription nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot copyright popup modal".split())
+DOUBTFUL = frozenset("side sidebar sidebars aside header masthead share sharing social related recommended recommendations widget widgets notice notices alert alerts banner banners promo promos promotion login signup toolbar skip toc disclaimer overlay form search".split())
+LAYOUT = frozenset("has with no without layout by wrapper wrap container page body main content left right results grid column columns single full".split())
+HEADLINES = frozenset("entry article post story section headline".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -60,153 +71,213 @@ LOW, HIGH = 0.20, 0.32
 LINKS = 0.33
 
 
-class Block:
-    __slots__ = ("inside", "links", "noise", "parts", "where")
+CLEAN, SOFT, HARD, NEVERMORE = range(4)  # a name of a layout; a plain name; what an article doesn't undo
 
-    def __init__(self, noise: bool, inside: bool, where: int) -> None:
-        self.parts: list[str] = []
-        self.links = 0
-        self.noise, self.inside, self.where = noise, inside, where
+
+@dataclass(slots=True)
+class Block:
+    #: Of the element it stands in: how noisy, the number of its article, its tag, and its parent element's number.
+    noise: int
+    where: int
+    tag: str
+    group: int
+    parts: list[str] = field(default_factory=list)
+    links: int = 0
 
     def text(self) -> str:
         return SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
 
 
-def noisy(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element never holds the article."""
+def named(value: str) -> int:
+    """How noisy the words of a class or id are."""
+    worst = CLEAN
+    for token in value.split():
+        words = set(re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower().replace("_", "-").split("-"))
+        if words & COMMENTS:
+            level = SOFT if words & {"no", "without", "has", "with"} else NEVERMORE
+        elif words & PLAIN:
+            level = SOFT if words & {"no", "without", "has", "with"} else HARD
+        elif words & DOUBTFUL:
+            level = CLEAN if "header" in words and words & HEADLINES else SOFT if words & LAYOUT else HARD
+        else:
+            level = CLEAN
+        worst = max(worst, level)
+    return worst
+
+
+def noisy(tag: str, attributes: str, inside: bool) -> int:
+    """How surely an element doesn't hold the article."""
     if tag in NEVER or (tag == "header" and not inside):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return NEVERMORE
+    if not attributes or tag in ("html", "body", "main"):
+        return CLEAN
+    worst = CLEAN
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NOISE.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-            return True
-        if name == "role" and value.lower() in NOISE_ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
+        if name in ("class", "id"):
+            level = named(value)
+            # an article may be called anything but a comment
+            worst = max(worst, level if tag != "article" or level == NEVERMORE else CLEAN)
+        elif name == "role" and value.lower() in NOISE_ROLES:
+            worst = max(worst, HARD)
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            return NEVERMORE
+    return worst
+
+
+class Reader:
+    """Reads a page into blocks.  Open elements are found by tag without a search through the stack."""
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, int, int, int]] = []  # tag, noise, article, number
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.blocks: list[int] = []  # places of block-level elements
+        self.articles = self.count = 0
+        self.now = Block(CLEAN, 0, "", 0)
+
+    def cut(self) -> None:
+        if self.now.parts:
+            self.out.append(self.now)
+        _, noise, where, _ = self.stack[-1] if self.stack else ("", CLEAN, 0, 0)
+        tag, group = "", 0
+        if self.blocks:
+            tag = self.stack[self.blocks[-1]][0]
+            group = self.stack[self.blocks[-2]][3] if len(self.blocks) > 1 else 0
+        self.now = Block(noise, where, tag, group)
+
+    def close(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def start(self, tag: str, attributes: str) -> None:
+        ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
+        if ends and self.blocks and self.stack[self.blocks[-1]][0] in ends:
+            self.close(self.blocks[-1])
+        _, noise, where, _ = self.stack[-1] if self.stack else ("", CLEAN, 0, 0)
+        before = noise
+        if tag in ("article", "main") or (tag == "div" and re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I)):
+            if not where:
+                self.articles += 1
+                where = self.articles
+            if noise < NEVERMORE:
+                noise = CLEAN if noise == SOFT or tag != "article" else min(noise, SOFT)
+        noise = max(noise, noisy(tag, attributes, bool(where)))
+        self.count += 1
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, noise, where, self.count))
+        if tag in BLOCKS or noise != before:
+            self.cut()
+
+    def end(self, tag: str) -> None:
+        if self.open.get(tag):
+            self.close(self.open[tag][-1])
+            if tag in BLOCKS:
+                self.cut()
+        elif tag == "p":
+            self.cut()
+
+    def text(self, text: str) -> None:
+        if self.now.parts or text.strip():
+            self.now.parts.append(text)
+            if self.open.get("a"):
+                self.now.links += len(text.strip())
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, noise, inside an article
-    links = articles = 0
-    now = Block(False, False, 0)
-    at, end = 0, len(page)
-
-    def state() -> tuple[bool, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
-
-    def cut() -> None:
-        nonlocal now
-        if now.parts:
-            out.append(now)
-        noise, inside = state()
-        now = Block(noise, inside, articles if inside else 0)
-
-    def close(upto: int) -> None:
-        nonlocal links
-        for tag, _, _ in stack[upto:]:
-            links -= tag == "a"
-        del stack[upto:]
-
+    reader, at, end = Reader(), 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
         at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                if not now.parts and not text.strip():
-                    continue
-                now.parts.append(text)
-                if links:
-                    now.links += len(text.strip())
+        if m[2] is None:
+            if m[0][0] != "<" or m[0] == "<":
+                reader.text(m[0])
             continue
-        tag, closing = tag.lower(), m[1] == "/"
+        tag, closing = m[2].lower(), m[1] == "/"
         if tag in RAW and not closing:
             if not m[3].rstrip().endswith("/") or tag in ("script", "style", "textarea"):
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else end
-            now.parts.append(" ")
-            continue
-        if tag in VOID:
+            reader.now.parts.append(" ")
+        elif tag in VOID:
             if tag == "hr":
-                cut()
+                reader.cut()
             elif tag == "br":
-                now.parts.append(" ")
-            continue
-        if closing:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if i is not None:
-                close(i)
-                cut() if tag in BLOCKS else None
-            elif tag == "p":
-                cut()
-            continue
-        if tag in ENDS_P or tag in CLOSES:
-            ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        noise, inside = state()
-        if tag in ("article", "main") or (tag == "div" and re.search(r"\brole\s*=\s*[\"']?main\b", m[3], re.I)):
-            articles += not inside
-            inside = True
-        stack.append((tag, noise or noisy(tag, m[3], inside), inside))
-        links += tag == "a"
-        if tag in BLOCKS or stack[-1][1] != noise:
-            cut()
-    cut()
-    return out
+                reader.now.parts.append(" ")
+        elif closing:
+            reader.end(tag)
+        else:
+            reader.start(tag, m[3])
+    reader.cut()
+    return reader.out
+
+
+def stop_share(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
 
 
-def first_pass(block: Block, text: str) -> str:
-    if block.noise:
-        return "bad"
-    density = block.links / max(len(text), 1)
-    if density > LINKS and not (block.inside and len(text) >= SHORT):
-        return "bad"
+def first_pass(block: Block, text: str, share: float, known: bool = True) -> str:
+    """The label of a block by itself; known: whether the page is in a language whose stop words are."""
+    if block.links / max(len(text), 1) > LINKS and not (block.where and len(text) >= SHORT):
+        return "short" if block.where and block.tag in PARAGRAPHS else "bad"
     if len(text) < SHORT:
         return "short"
-    words = WORD.findall(text.lower())
-    share = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if share >= HIGH:
+    if share >= HIGH or not known:
         return "good" if len(text) >= LONG else "near"
-    if share >= LOW:
-        return "near"
-    return "near" if block.inside else "bad"
+    return "near" if share >= LOW or block.where else "bad"
 
 
-def nearest(found: list[Block], labels: list[str], order: range) -> dict[int, bool]:
-    """For each block, whether the nearest decided block before it in this order is good.
+def nearest(found: list[Block], labels: list[str], order: range) -> list[tuple[bool, int]]:
+    """For each block, whether the nearest decided block before it in this order is good, and its element's parent.
 
     The edge of an article counts as good, that of the page or of what lies between articles as bad; noise within an article
     doesn't part its blocks.
     """
-    good, where, out = False, 0, {}
+    good, group, where, out = False, -1, 0, [(False, -1)] * len(found)
     for i in order:
         if found[i].where != where:
             where = found[i].where
-            good = bool(where)
-        out[i] = good
-        if labels[i] in ("good", "bad") and not (where and found[i].noise):
-            good = labels[i] == "good"
+            good, group = bool(where), -1
+        out[i] = (good, group)
+        if labels[i] in ("good", "bad") and not (where and labels[i] == "bad" and found[i].noise):
+            good, group = labels[i] == "good", found[i].group
     return out
 
 
 def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     """Whether each block is good; those that the first pass left open inherit from their neighbours."""
-    before, after = nearest(found, labels, range(len(found))), nearest(found, labels, range(len(found) - 1, -1, -1))
+    n = len(found)
+    before, after = nearest(found, labels, range(n)), nearest(found, labels, range(n - 1, -1, -1))
     alone = "good" not in labels  # then near-good blocks are the text
-    open_ = {"near": lambda i: before[i] or after[i] or alone, "short": lambda i: before[i] and after[i]}
-    return [open_[x](i) if x in open_ else x == "good" for i, x in enumerate(labels)]
+    out = []
+    for i, (block, label) in enumerate(zip(found, labels, strict=True)):
+        (over, over_group), (under, under_group) = before[i], after[i]
+        if label == "near":
+            label = "good" if over or under or alone else "bad"
+        elif label == "short":
+            # a paragraph beside a good one in the same element, and a heading over what is good
+            beside = block.tag == "p" and ((over and block.group == over_group) or (under and block.group == under_group))
+            heads = block.tag in HEADINGS and under
+            # the headline that stands over an article without one of its own
+            title = block.tag == "h1" and not block.where and i + 1 < n and found[i + 1].where and found[i + 1].tag not in HEADINGS and not found[i + 1].noise
+            label = "good" if (over and under) or beside or heads or title else "bad"
+        out.append(label == "good")
+    return out
+
+
+def kept(found: list[Block], texts: list[str], noise: int) -> list[bool]:
+    """Whether each block is good, if blocks of this noise or more are bad."""
+    shares = [stop_share(t) for t in texts]
+    known = any(s >= LOW for b, t, s in zip(found, texts, shares, strict=True) if b.noise < noise and len(t) >= SHORT)
+    labels = ["bad" if b.noise >= noise else first_pass(b, t, s, known) for b, t, s in zip(found, texts, shares, strict=True)]
+    return second_pass(found, labels)
 
 
 def main_text(page: str) -> str:
@@ -214,8 +285,14 @@ def main_text(page: str) -> str:
     texts = [b.text() for b in found]
     some = [i for i, t in enumerate(texts) if t]
     found, texts = [found[i] for i in some], [texts[i] for i in some]
-    labels = [first_pass(b, t) for b, t in zip(found, texts, strict=True)]
-    return "\n".join(t for t, good in zip(texts, second_pass(found, labels), strict=True) if good)
+    good = kept(found, texts, SOFT)
+    if any(b.noise == SOFT for b in found):
+        # names of a layout: the longer text is the article
+        wide = kept(found, texts, HARD)
+        inner = sum(len(t) for t, b, w in zip(texts, found, wide, strict=True) if w and b.noise == SOFT)
+        if inner > sum(len(t) for t, g in zip(texts, good, strict=True) if g):
+            good = wide
+    return "\n".join(t for t, g in zip(texts, good, strict=True) if g)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
