@@ -9,7 +9,8 @@ Where no block of a page shows the stop words of a known language, length and li
 Marks of the page are evidence beside the rules.  Elements that never hold the article (navigation, page headers and footers,
 asides, forms, scripts, styles, hidden ones, reader comments), and elements whose class, id or role plainly names an advert, a notice,
 a menu or a sidebar, make their blocks bad.  Names that may as well be those of a layout (``has-sidebar``, ``side-by-side``) do so only
-if the text outside of such elements is longer than that within.  An article or main element starts anew within both.
+if the text outside of such elements is longer than that within.  A main element starts anew within both, an article
+within the latter; within the former it is read only if the page has no other text.
 Within it few stop words or many links leave a paragraph undecided, and the
 element's edges count as good neighbours, so that headings and short paragraphs stay with it.
 
@@ -164,7 +165,7 @@ class Reader:
                 self.articles += 1
                 where = self.articles
             if noise < NEVERMORE:
-                noise = CLEAN if noise == SOFT or tag != "article" else min(noise, SOFT)
+                noise = CLEAN if noise == SOFT or tag != "article" else noise
         noise = max(noise, noisy(tag, attributes, bool(where)))
         self.count += 1
         self.open.setdefault(tag, []).append(len(self.stack))
@@ -292,6 +293,8 @@ def main_text(page: str) -> str:
         inner = sum(len(t) for t, b, w in zip(texts, found, wide, strict=True) if w and b.noise == SOFT)
         if inner > sum(len(t) for t, g in zip(texts, good, strict=True) if g):
             good = wide
+    if not any(good):  # an article within a plainly named element, where there is no other text
+        good = [g and b.where > 0 for g, b in zip(kept(found, texts, NEVERMORE), found, strict=True)]
     return "\n".join(t for t, g in zip(texts, good, strict=True) if g)
 
 
