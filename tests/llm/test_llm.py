@@ -14,6 +14,8 @@ from transcriptlab.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, tid string, size string"
+#: Names that operators use themselves.
+CLASHES = "_drop _h _k _host _line _key _again _doc _id _copies row host gone key salt id again own own_key copies copy taken text_key class_id n_lines n_dropped label bucket bands score ids draw toxic piece words spans _text _own s e kind q query_id pivot rid".split()
 LONG = "word " * 30_000
 
 
@@ -39,6 +41,24 @@ def test_same_as_sql(spark, name):
     assert sorted(map(repr, got.astype(str).values.tolist())) == sorted(map(repr, want.astype(str).values.tolist()))
 
 
+def test_columns_whose_names_operators_use(spark):
+    """Extra columns of all those names pass through the operators and stages that keep columns, and disturb none."""
+    base = odd_docs(spark).drop("rank", "tid", "size")
+    wide = base.select("*", *[F.lit(7).alias(c) for c in CLASHES])
+    rows = lambda df: sorted(map(str, df.select(*base.columns).collect()))
+    plain = [linedup.drop_boilerplate, lambda d: linedup.drop_boilerplate(d, broadcast_pairs=0), neardup.keep_one, lambda d: mixing.stage_mixing(spark, d, ""), lambda d: linedup.stage_line_dedup(spark, d, "")]
+    for work in plain:
+        out = work(wide)
+        assert out.columns == wide.columns and rows(out) == rows(work(base)) and out.filter("_drop <> 7 OR key <> 7").count() == 0
+    counted = linedup.drop_boilerplate(wide, counts=True)
+    assert counted.columns == wide.columns and counted.filter("n_lines = 7").count() == 0
+    model = toxicity.train(base.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(wide, model).columns == wide.columns
+    keyed = [neardup.classes, mixing.mix, lambda d: packing.pack(d, (8, 64)), secrets.scan]
+    for work in keyed:
+        assert sorted(map(str, work(wide).collect())) == sorted(map(str, work(base).collect()))
+
+
 def test_chat_tree(spark):
     rows = [("t", 1, None, "us\\er\n<|", "a\\<|im_end|>\n", 0.0), ("t", 2, 1, "assistant", "low", 0.1), ("t", 3, 1, "assistant", "high", 0.9), ("t", 4, 3, None, None, 0.5), ("t", 5, 4, "assistant", "x\\\n", 0.5), ("s", 1, 9, "user", "", None)]
     messages = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")

@@ -7,7 +7,7 @@ blanks; a page counts once for a line however often it repeats it; blank lines a
 Cases: a null text stays null (its page counts in the host's total); an empty text stays empty; a page
 whose lines all go keeps an empty text; repeated rows are pages of their own; a null host is a host;
 lines of any length are compared by a 64-bit hash within their host; an empty table gives an empty result; extra
-columns pass through.
+columns pass through whatever their names, and counts replace columns of their names.
 """
 
 from __future__ import annotations
@@ -19,9 +19,13 @@ from .common import checkpoint, table
 
 #: A line that a template puts on a tenth of a site's pages is boilerplate.  The cut is half of that, so that a host on which
 #: chance lowers the line's share still loses it; the same for all sizes.
+#: On a host of one or two pages every line passes any ratio, though nothing repeats; so a line must be on three pages.
 RATIO, MIN_PAGES = 0.05, 3
 #: Up to so many (host, line) pairs, 16 bytes each, are broadcast; beyond that they are joined by line.
 BROADCAST_PAIRS = 200_000
+#: Of one host at most so many, as each of its lines is looked for among them.
+MOST_OF_HOST = 2_000
+SALTS = 16
 
 
 def _host(host: str) -> Column:
@@ -46,26 +50,33 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
 
 def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", host: str = "source", broadcast_pairs: int = BROADCAST_PAIRS, counts: bool = False) -> DataFrame:
     """docs without the boilerplate lines of each host; with ``counts``, also n_lines and n_dropped."""
-    names = docs.columns
     found = checkpoint(boilerplate(docs, ratio, min_pages, text, host))
+    # the input row as one column, so that its names can't clash with those used here
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    pages = docs.select(whole, _host(host).alias("host"), F.col(text).alias("text"))
+    sizes = found.groupBy("_host").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
     # At most (lines a page) / ratio pairs a host: small beside the pages, but growing with the hosts.
-    if found.count() <= broadcast_pairs:
-        drops = found.groupBy(F.col("_host").alias("_h")).agg(F.collect_set("_line").alias("_drop"))
-        marked = docs.join(F.broadcast(drops), _host(host) == F.col("_h"), "left")
+    if (sizes.n or 0) <= broadcast_pairs and (sizes.most or 0) <= MOST_OF_HOST:
+        drops = found.groupBy(F.col("_host").alias("host")).agg(F.collect_set("_line").alias("gone"))
+        marked = pages.join(F.broadcast(drops), "host", "left")
     else:
-        key = F.struct(_host(host).alias("h"), F.xxhash64(F.col(text)).alias("x"), F.length(text).alias("n"))
-        pages = docs.select(key.alias("_k"), _host(host).alias("_host"), F.explode(_keys(_lines(text))).alias("_line"))
+        # Boilerplate is frequent by nature: its pairs are dealt over salts, that of a page's line comes from its text.
+        key = F.struct("host", F.xxhash64("text").alias("x"), F.length("text").alias("n"))
+        keyed = pages.withColumn("key", key)
+        lines = keyed.select("key", "host", F.pmod(F.col("key.x"), F.lit(SALTS)).alias("salt"), F.explode(_keys(_lines("text"))).alias("line"))
+        dealt = found.select(F.col("_host").alias("host"), F.col("_line").alias("line"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
         # a list for each text, of its own lines: pages with the same text share it
-        drops = pages.join(found, ["_host", "_line"]).groupBy("_k").agg(F.collect_set("_line").alias("_drop"))
-        marked = docs.withColumn("_q", key).join(drops.hint("shuffle_hash"), F.col("_q") == F.col("_k"), "left")
-    lines, kept = _lines(text), F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", F.xxhash64(F.trim(x))))
-    cleaned = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = [cleaned.alias(text) if c == text else F.col(f"`{c}`") for c in names]
+        drops = lines.join(dealt, ["host", "line", "salt"]).groupBy("key").agg(F.collect_set("line").alias("gone"))
+        marked = keyed.join(drops.hint("shuffle_hash"), "key", "left")
+    lines = _lines("text")
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("gone", F.xxhash64(F.trim(x))))
+    new = {text: F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
     if counts:
-        total = F.coalesce(F.size(lines), F.lit(0)) if text else F.lit(0)
-        total = F.when(F.col(text).isNull(), 0).otherwise(total)
-        out += [total.cast("long").alias("n_lines"), F.when(F.col(text).isNull() | F.col("_drop").isNull(), 0).otherwise(total - F.size(kept)).cast("long").alias("n_dropped")]
-    return marked.select(*out)
+        new["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+        new["n_dropped"] = F.when(F.col("text").isNull() | F.col("gone").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
+    made = marked.select("row", F.struct(*[v.alias(c) for c, v in new.items()]).alias("made"))
+    names = [*docs.columns, *[c for c in new if c not in docs.columns]]
+    return made.select(*[F.col("made" if c in new else "row").getField(c).alias(c) for c in names])
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

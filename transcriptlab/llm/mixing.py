@@ -12,7 +12,8 @@ before it), so that a source with a third of all rows is spread over many tasks.
 Cases: null and empty texts have size 0, are no part of any block and have taken 0; a very long text spans
 many blocks; repeated rows are documents of their own; ties of the shuffle are settled by doc_id and text
 hash; a null source is a source, after all others; a null doc_id is an id like others; an empty table, or
-one of empty texts alone, takes nothing (target 0); of extra columns none are kept by ``mix``.
+one of empty texts alone, takes nothing (target 0); of extra columns none are kept by ``mix``, all by the stage, whatever their names.  What is known of sources is a row for
+each; these are ordered in one task, a million of them in a few seconds.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ MOST = 3
 BLOCK = 128
 #: Slots in a chunk, documents in a hash range.
 CHUNK, GROUP = 1 << 16, 20_000
-#: Cells that the unit interval is cut into for the lookup of points.
+#: Cells that the unit interval is cut into for the lookup of points, at least; more where there are many sources.
 CELLS = 1024
 #: Fractional part of the golden ratio.
 PHI = 0.6180339887498949
@@ -59,11 +60,13 @@ def schedule(plan: DataFrame, slots: int, chunk: int = CHUNK) -> DataFrame:
     plan: sid, low, high, the half-open interval of [0, 1) that is the source's share.
     """
     spark = plan.sparkSession
+    # a point meets the sources of its cell: some four, if they were equal
+    count = max(CELLS, plan.count() // 4)
     low_bits, high_bits = F.col("slot").bitwiseAND(F.lit((1 << 20) - 1)), F.shiftright("slot", 20)
     # in two parts, so that the product keeps its digits for any number of slots
     point = ((low_bits * F.lit(PHI)) % 1.0 + (high_bits * F.lit((1 << 20) * PHI % 1.0)) % 1.0 + 0.5) % 1.0
-    points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
-    cells = plan.filter("high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS).cast("int"), F.least(F.lit(CELLS - 1), F.floor(F.col("high") * CELLS).cast("int")))))
+    points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", F.floor(F.col("point") * count).cast("int"))
+    cells = plan.filter("high > low").withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * count).cast("int"), F.least(F.lit(count - 1), F.floor(F.col("high") * count).cast("int")))))
     placed = points.join(cells, "cell").filter("point >= low AND point < high").select("slot", "sid", F.floor(F.col("slot") / chunk).alias("chunk"))
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("sid", "chunk").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -120,8 +123,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole number; only one document of a source is cut."""
-    took = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    copies = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size"))).otherwise(0).cast("int")
-    often = took.withColumn("_copies", copies).filter("_copies > 0").select("_id", "_key", "_copies")
-    joined = docs.join(often.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    took = mix(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    often = took.withColumn("copies", copies).filter("copies > 0").select("id", "key", "copies")
+    # the input row as one column, so that its names can't clash with those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own"), F.xxhash64("text").alias("own_key"))
+    joined = rows.join(often.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

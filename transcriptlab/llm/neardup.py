@@ -292,12 +292,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """One row of docs for each class: that of the smallest doc_id; of its repeated rows any one."""
     named = _classes(docs.select("doc_id", F.col(text).alias("text")), similarity, "text").filter("kept").select(F.col("text_key").alias("_key"), F.col("doc_id").alias("_doc"))
-    kept = docs.join(named.hint("shuffle_hash"), (text_key(text) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    # the input row as one column, so that its names can't clash with those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(text).alias("key"), F.col("doc_id").alias("id"))
+    kept = rows.join(named.hint("shuffle_hash"), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_doc"))).select("row", "key")
     # rows that repeat both doc_id and text
-    again = kept.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_key").alias("_again"))
-    held = kept.join(again, F.col("_key") == F.col("_again"), "left")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return held.filter("_again IS NULL").select(*columns).unionByName(held.filter("_again IS NOT NULL").dropDuplicates(["_key"]).select(*columns))
+    again = kept.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("again"))
+    held = kept.join(again, F.col("key") == F.col("again"), "left")
+    one = held.filter("again IS NULL").select("row").unionByName(held.filter("again IS NOT NULL").dropDuplicates(["key"]).select("row"))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
