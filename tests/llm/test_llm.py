@@ -224,6 +224,24 @@ def test_secrets(spark):
     assert [x.kind for x in out[1].spans] == ["assign", "access"] and out[5].spans == []
     assert secrets.scan(docs(spark, texts).limit(0)).count() == 0
     assert secrets.trigram_query(secrets.HEX) == []
+    # beyond the bound of what is broadcast
+    far = secrets.scan(docs(spark, texts), keep=("rank",), broadcast_keys=0).collect()
+    assert sorted(map(str, far)) == sorted(map(str, out.values()))
+    twice = docs(spark, [*texts, texts[0]])
+    assert sorted(map(str, secrets.scan(twice).collect())) == sorted(map(str, secrets.scan(twice, broadcast_keys=0).collect()))
+
+
+def test_trigram_queries():
+    assert secrets.trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
+    assert {*secrets.trigram_query("ab(c|de)?f")[0]} == {frozenset({"abc", "bcf"}), frozenset({"abd", "bde", "def"}), frozenset({"abf"})}
+    assert secrets.trigram_query("gh[pousr]_[A-Z]{3}xyz") == [sorted([frozenset({f"gh{c}", f"h{c}_"}) for c in "pousr"], key=sorted), [frozenset({"xyz"})]]
+    assert secrets.trigram_query("abc|x") == [] and secrets.trigram_query("(?:abc|abd)e*") == [[frozenset({"abc"}), frozenset({"abd"})]]
+    # every match holds what the query asks for
+    for rule in secrets.RULES:
+        query = secrets.trigram_query(rule.regex)
+        for text in ("Api_Key: 'abcdef'", "passwd=x", "xx AKIA0123", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 40, "xoxb-" + "1" * 12, "AIza" + "b" * 35, "eyJ" + "c" * 9 + ".eyJ" + "d" * 9 + "." + "e" * 9):
+            for m in re.finditer(rule.regex, text):
+                assert all(any(all(t in m[0].lower() for t in s) for s in clause) for clause in query)
 
 
 def test_line_dedup(spark):

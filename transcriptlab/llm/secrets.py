@@ -3,10 +3,14 @@
 Each rule is a regex.  A Boolean query over trigrams of the lower-cased text is derived from it: every match
 must contain the trigrams of at least one of the strings that the regex spells out, for each stretch that
 it spells out.  The inverted index has a posting for each trigram of these queries and each text that
-contains it; postings of a text are intersected into its candidate rules; candidates are verified with the
-regex itself over the whole text.  A rule that spells out no three characters (runs of hex digits)
+contains it.  The postings of a query are intersected where it asks for all trigrams of a string, and united where any of
+several strings will do; what is left are the rule's candidates, which the
+regex itself verifies over the whole text.  A rule that spells out no three characters (runs of hex digits)
 has no query and scans every text.
 
+Candidates are few beside the texts: their keys go to where the texts are read as long as they are so many at most
+(``BROADCAST_KEYS``).  Beyond that they are joined by key, and only the spans found come back to the other rows.
+
 Positions count code points, ends are exclusive.  Within a kind matches are leftmost and don't overlap; of
 matches that fail the kind's length they are dropped after matching, as they still take up their text.
 
@@ -24,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpoint, table
 
 # Patterns of secrets, base kinds first.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -59,6 +63,59 @@ RULES = (
 )
 
 Query = list[list[frozenset[str]]]  # all of: any of: all trigrams of
+#: Up to so many (doc_id, text, rules) keys, some 30 bytes each, are broadcast.
+BROADCAST_KEYS = 200_000
+
+#: What an element of a regex may be: characters (None: any of many), or the alternatives of a group; and how often.
+Element = tuple[set[str] | None, list | None, int, int | None]
+
+
+def parsed(regex: str) -> list[list[Element]]:
+    """The alternatives of a regex, each a list of elements.
+
+    Knows what rules are written in: characters, escapes, sets, groups, ``(?i:``, alternatives and quantifiers.
+    """
+    alternatives, at = _alternatives(regex, 0)
+    if at != len(regex):
+        raise ValueError(f"not understood from {regex[at:]!r}")
+    return alternatives
+
+
+def _alternatives(regex: str, at: int) -> tuple[list[list[Element]], int]:
+    out: list[list[Element]] = [[]]
+    while at < len(regex) and regex[at] != ")":
+        if regex[at] == "|":
+            out.append([])
+            at += 1
+            continue
+        chars, group = None, None
+        if regex[at] == "(":
+            head = re.match(r"\((?:\?i?:)?", regex[at:])[0]
+            group, at = _alternatives(regex, at + len(head))
+            at += 1
+        elif regex[at] == "[":
+            inner = re.match(r"\[(\^?)((?:\\x[0-9A-Fa-f]{2}|\\.|[^\]\\])+)\]", regex[at:])
+            at += len(inner[0])
+            # ranges and negated sets are many characters
+            if not inner[1] and not re.search(r".-.", inner[2]):
+                chars = set(re.sub(r"\\x([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), inner[2]).replace("\\", ""))
+        else:
+            one = re.match(r"\\x([0-9A-Fa-f]{2})|\\(\W)|([^\\.^$*+?{}])", regex[at:])
+            if one is None:
+                raise ValueError(f"not understood from {regex[at:]!r}")
+            chars = {chr(int(one[1], 16)) if one[1] else one[2] or one[3]}
+            at += len(one[0])
+        many = re.match(r"([?*+])|\{(\d+)(,?)(\d*)\}", regex[at:])
+        least, most = 1, 1
+        if many:
+            at += len(many[0])
+            if many[1]:
+                least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}[many[1]]
+            else:
+                least = int(many[2])
+                most = int(many[4]) if many[4] else None if many[3] else least
+        out[-1].append((chars, group, least, most))
+    return out, at
 
 
 def trigram_query(regex: str, most: int = 64) -> Query:
@@ -71,35 +128,33 @@ def trigram_query(regex: str, most: int = 64) -> Query:
             least = [s for s in sets if not any(t < s for t in sets)]
             clauses.append(sorted(least, key=sorted))
 
-    def spelled(item: tuple) -> set[str] | None:
+    def spelled(element: Element) -> set[str] | None:
         """All strings that an element can be, if they are few."""
-        op, arg = str(item[0]), item[1]
-        if op == "LITERAL":
-            return {chr(arg).lower()}
-        if op == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
-            return {chr(a).lower() for _, a in arg}
-        if op == "SUBPATTERN":
-            return joined(arg[-1])
-        if op == "BRANCH":
-            parts = [joined(x) for x in arg[1]]
-            return None if None in parts else set().union(*parts)
-        if op == "MAX_REPEAT" and tuple(arg[:2]) == (0, 1):
-            inner = joined(arg[2])
-            return None if inner is None else inner | {""}
-        return None
-
-    def joined(seq) -> set[str] | None:
+        chars, group, least, top = element
+        if (least, top) not in ((0, 1), (1, 1)):
+            return None
+        if group is not None:
+            parts = [joined(x) for x in group]
+            found = None if None in parts else set().union(*parts)
+        else:
+            found = None if chars is None else {c.lower() for c in chars}
+        return found if found is None or least else found | {""}
+
+    def joined(elements: list[Element]) -> set[str] | None:
         out = {""}
-        for item in seq:
-            part = spelled(item)
+        for element in elements:
+            part = spelled(element)
             if part is None or len(out) * len(part) > most:
                 return None
             out = {a + b for a in out for b in part}
         return out
 
+    alternatives = parsed(regex)
+    if len(alternatives) > 1:
+        alternatives = [[(None, alternatives, 1, 1)]]
     strings: set[str] = {""}
-    for item in re._parser.parse(regex):
-        part = spelled(item)
+    for element in alternatives[0]:
+        part = spelled(element)
         if part is None or len(strings) * len(part) > most:
             flush(strings)
             strings = {""} if part is None else part
@@ -109,33 +164,33 @@ def trigram_query(regex: str, most: int = 64) -> Query:
     return clauses
 
 
-def trigram_index(docs: DataFrame, trigrams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_key, trigram): the postings of the given trigrams; trigram is its place in the list."""
-    low = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.lower(F.col(text)).alias("_low"))
-    present = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return low.select("doc_id", "text_key", F.explode(present).alias("trigram"))
+def keyed(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, key, text, kept): the text whole and its hash."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(0)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), kept.alias("kept"))
+
 
+def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """(trigram, doc_id, key): the postings of the given trigrams, out of (doc_id, key, text)."""
+    low = docs.select("doc_id", "key", F.lower("text").alias("low"))
+    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    return low.select(F.explode(present).alias("trigram"), "doc_id", "key")
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_key, one boolean for each rule with a query): texts whose postings satisfy a rule."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
-    trigrams = sorted({t for q in queries.values() for clause in q for s in clause for t in s})
-    place = {t: i for i, t in enumerate(trigrams)}
-    width = 60
-    words = range(-(-len(trigrams) // width))
-    bits = [F.bit_or(F.when(F.floor(F.col("trigram") / width) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("trigram") % width).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"_m{w}") for w in words]
-    masks = trigram_index(docs, trigrams, doc_id, text).groupBy("doc_id", "text_key").agg(*bits)
 
-    def has(grams: frozenset[str]) -> Column:
-        tests = []
-        for w in words:
-            mask = sum(1 << (place[t] % width) for t in grams if place[t] // width == w)
-            if mask:
-                tests.append(F.col(f"_m{w}").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
-        return reduce(Column.__and__, tests)
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, key, rules): texts whose postings satisfy the query of a rule; rules has a bit for each by its place."""
+    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.regex))}
+    # a text's postings together: at most all trigrams of the queries
+    texts = postings.groupBy("doc_id", "key").agg(F.collect_set("trigram").alias("has"))
 
-    found = {kind: reduce(Column.__and__, [reduce(Column.__or__, [has(s) for s in clause]) for clause in q]) for kind, q in queries.items()}
-    return masks.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), *[c.alias(f"_{k}") for k, c in found.items()]).filter(reduce(Column.__or__, [F.col(f"_{k}") for k in found]))
+    def every(grams: frozenset[str]) -> Column:
+        return F.size(F.array_except(F.array(*map(F.lit, sorted(grams))), "has")) == 0
+
+    def satisfied(query: Query) -> Column:
+        return reduce(Column.__and__, [reduce(Column.__or__, [every(s) for s in clause]) for clause in query])
+
+    bits = reduce(Column.__add__, [F.when(satisfied(q), F.lit(1 << i)).otherwise(F.lit(0)) for i, q in queries.items()])
+    return texts.select("doc_id", "key", bits.alias("rules")).filter("rules > 0")
 
 
 def spans(text: Column, rule: Rule, number: int) -> Column:
@@ -157,16 +212,32 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(empty)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+SPANS = "array<struct<s:bigint,k:int,e:bigint,kind:string>>"
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc_id, *keep, spans): all matches of all rules, by start and then by kind."""
-    found = candidates(docs, rules, doc_id, text)
-    named = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(text).alias("_own"))
-    joined = named.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
-    kinds = []
-    for i, rule in enumerate(rules):
-        every = spans(F.col("_text"), rule, i)
-        kinds.append(F.when(F.coalesce(F.col(f"_{rule.kind}"), F.lit(False)), every).otherwise(F.array().cast("array<struct<s:bigint,k:int,e:bigint,kind:string>>")) if trigram_query(rule.regex) else every)
-    return joined.select("doc_id", *[F.col(f"`{c}`") for c in keep], F.array_sort(F.concat(*kinds)).alias("spans"))
+    texts = keyed(docs, doc_id, text, keep)
+    asked = {i for i, r in enumerate(rules) if trigram_query(r.regex)}
+    free = [spans(F.col("text"), r, i) for i, r in enumerate(rules) if i not in asked]
+    none = F.array().cast(SPANS)
+    verified = [F.when(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, spans(F.col("text"), rules[i], i)).otherwise(none) for i in sorted(asked)]
+    trigrams = sorted({t for i in asked for clause in trigram_query(rules[i].regex) for s in clause for t in s})
+    found = checkpoint(candidates(trigram_index(texts, trigrams), rules)) if asked else None
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key"))
+    if found is None:
+        every = texts.select("doc_id", "kept", F.concat(*free).alias("spans"))
+    elif found.count() <= broadcast_keys:
+        few = found.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "rules")
+        every = texts.join(F.broadcast(few), same, "left").select("doc_id", "kept", F.concat(*free, *verified).alias("spans"))
+    else:
+        many = found.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "rules")
+        read = texts.join(many.hint("shuffle_hash"), same)
+        hits = read.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), F.concat(*verified).alias("hits")).filter(F.size("hits") > 0)
+        hits = hits.groupBy("own_id", "own_key").agg(F.first("hits").alias("hits"))  # of rows that repeat a doc_id and text
+        scanned = texts.select("doc_id", "key", "kept", (F.concat(*free) if free else none).alias("own"))
+        every = scanned.join(hits, same, "left").select("doc_id", "kept", F.concat("own", F.coalesce("hits", none)).alias("spans"))
+    return every.select("doc_id", *[F.col("kept").getField(c).alias(c) for c in keep], F.array_sort("spans").alias("spans"))
 
 
 def written(found: Column) -> Column:
