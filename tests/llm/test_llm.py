@@ -71,6 +71,52 @@ def test_chat_tree(spark):
     assert chat.format_paths(messages.limit(0), chat.reply_paths(messages.limit(0))).count() == 0
 
 
+def test_chat_paths_of_random_trees(spark):
+    """Every root-to-leaf path, ranked by mean score, against an enumeration one by one; repeated rows, lost parents and rings among them."""
+    rng = np.random.default_rng(8)
+    rows, parent, score = [], {}, {}
+    for t in range(12):
+        n = int(rng.integers(1, 25))
+        for i in range(1, n + 1):
+            p = None if i == 1 else 99 if rng.random() < 0.1 else int(rng.integers(1, i)) if rng.random() < 0.5 else i - 1
+            parent[f"t{t}", i], score[f"t{t}", i] = p, round(float(rng.random()), 3)
+            rows += [(f"t{t}", i, p, "user" if i % 2 else "assistant", f"text {i}", score[f"t{t}", i], 1, 2)] * (2 if rng.random() < 0.2 else 1)
+        rows += [(f"t{t}", 201, 203, "user", "ring", 0.0, 1, 2), (f"t{t}", 202, 201, "user", "ring", 0.0, 1, 2), (f"t{t}", 203, 202, "user", "ring", 0.0, 1, 2)]
+    messages = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double, head int, rank int")
+    want = {}
+    for t in {t for t, _ in parent}:
+        nodes = [i for u, i in parent if u == t]
+        up = lambda i: parent[t, i] if parent[t, i] in nodes else None  # noqa: E731, B023
+        paths = []
+        for leaf in nodes:
+            if not any(up(i) == leaf for i in nodes):
+                path, at = [], leaf
+                while at is not None:
+                    path.insert(0, at)
+                    at = up(at)
+                paths.append((-sum(score[t, i] for i in path) / len(path), leaf, path))
+        want[t] = [p for _, _, p in sorted(paths)]
+    for top in (None, 1, 3):
+        got = defaultdict(dict)
+        for r in chat.reply_paths(messages, top).orderBy("position").collect():
+            got[r.tree].setdefault(r["rank"], []).append(r.node)
+        assert {t: [v[k] for k in sorted(v)] for t, v in got.items()} == {t: v[:top] for t, v in want.items()}
+    formatted = chat.format_paths(messages, chat.reply_paths(messages, 1)).select("tree", chat.read_back(F.col("formatted")).alias("turns")).collect()
+    assert {r.tree: [x.text for x in r.turns] for r in formatted} == {t: [f"text {i}" for i in v[0]] for t, v in want.items()}
+
+
+def test_chat_of_odd_conversations(spark, tmp_path):
+    rows = [(None, 0, "user", "no id"), (5, 1, None, None), (5, 1, None, None), (5, None, "assistant", "last"), (5, 0, "assistant", "b"), (5, 0, "assistant", "a"), (6, 0, "assistant", LONG)]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.op1_chat(spark, str(tmp_path)).collect()}
+    said = "".join(f"{role}\n{text}\n" for role, text in (("assistant", "a"), ("assistant", "b"), ("", ""), ("", ""), ("assistant", "last")))
+    assert got.keys() == {None, 5, 6, -1} and got[5].n_turns == 5 and got[5].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert got[5].loss_sha256 == hashlib.sha256(b"ablast").hexdigest() and got[6].loss_chars == len(LONG) and got[-1].n_turns == 2
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/conversations.parquet")
+    assert [r.conv_id for r in chat.op1_chat(spark, f"{tmp_path}/empty").collect()] == [-1]
+
+
 def test_packing(spark):
     def check(rows, lengths):
         for _, bin_rows in rows.items():

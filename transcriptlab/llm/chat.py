@@ -13,7 +13,8 @@ formatted string: the escaped text of each assistant turn.
 Cases: null text and null role are empty; very long texts are kept whole; turns that tie are ordered by
 role, then text; repeated rows are turns of their own; a null conv_id is a conversation; messages whose
 parent isn't in their tree are roots; cycles have no root and give no path; branches that tie are ordered by their leaf's
-id; an empty table gives an empty result; of extra columns none are kept.
+id; rows that repeat a message's tree and node are one message, with a root's parent if one has that, else the least, the least score, and
+of their roles and texts the least; an empty table gives an empty result; of extra columns none are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, stash, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -43,19 +44,30 @@ def unescaped_role(role: Column) -> Column:
     return F.array_join(F.transform(F.split(role, r"\\\\", -1), lambda x: F.replace(F.replace(x, F.lit("\\n"), F.lit("\n")), F.lit("<\\|"), F.lit("<|"))), "\\")
 
 
+def _keys(messages: DataFrame) -> DataFrame:
+    """(tree, node, parent, score): each message once; of rows that repeat one a root, else the least parent and score."""
+    rows = messages.select("tree", "node", F.struct("parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).alias("x"))
+    return rows.groupBy("tree", "node").agg(F.min("x").alias("x")).select("tree", "node", "x.parent", "x.score")
+
+
 def _runs(messages: DataFrame) -> DataFrame:
-    """messages (tree, node, parent) with head, the first message of its run without siblings, and depth in the run."""
-    keys = messages.select("tree", "node", "parent")
-    known = keys.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
-    rooted = keys.join(known, (F.col("tree") == F.col("_t")) & (F.col("parent") == F.col("_n")), "left").select("tree", "node", F.col("_n").alias("parent"))
-    replies = rooted.filter("parent IS NOT NULL").groupBy(F.col("tree").alias("_t"), F.col("parent").alias("_p")).agg(F.count("*").alias("replies"))
-    single = rooted.join(replies, (F.col("tree") == F.col("_t")) & (F.col("parent") == F.col("_p")), "left").drop("_t", "_p")
-    single = checkpoint(single.select("tree", "node", "parent", F.when(F.col("replies") == 1, F.col("parent")).otherwise(F.col("node")).alias("head"), F.when(F.col("replies") == 1, 1).otherwise(0).cast("long").alias("depth")))
+    """(tree, node, parent, score) with head, the first message of its run without siblings, and depth in the run."""
+    keys = _keys(messages)
+    # of every message that is there or is replied to: whether it is there, and its replies
+    own = keys.select("tree", "node", F.lit(1).alias("there"), F.lit(0).alias("reply"))
+    replies = keys.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node"), F.lit(0).alias("there"), F.lit(1).alias("reply"))
+    known = own.unionByName(replies).groupBy(F.col("tree").alias("_t"), F.col("node").alias("_n")).agg(F.max("there").alias("there"), F.sum("reply").alias("replies")).filter("there = 1")
+    rooted = keys.join(known, (F.col("tree") == F.col("_t")) & (F.col("parent") == F.col("_n")), "left")
+    alone = F.coalesce(F.col("replies") == 1, F.lit(False))
+    single = checkpoint(rooted.select("tree", "node", F.col("_n").alias("parent"), "score", F.when(alone, F.col("parent")).otherwise(F.col("node")).alias("head"), alone.cast("long").alias("depth")))
     done, open_ = single.filter("depth = 0"), single.filter("depth > 0")
-    while open_.limit(1).count():
+    # rounds that the longest run can need; what is open then is a ring of single replies, which has no root
+    for _ in range(open_.count().bit_length() + 1):
+        if not open_.limit(1).count():
+            break
         # a message whose head begins a run is done; any other takes over its head's head, twice as far up
         up = done.unionByName(open_).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("head").alias("_h"), F.col("depth").alias("_d"))
-        moved = checkpoint(open_.join(up, (F.col("tree") == F.col("_t")) & (F.col("head") == F.col("_n"))).select("tree", "node", "parent", F.col("_h").alias("head"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("_d") == 0).alias("ends")))
+        moved = checkpoint(open_.join(up, (F.col("tree") == F.col("_t")) & (F.col("head") == F.col("_n"))).select("tree", "node", "parent", "score", F.col("_h").alias("head"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("_d") == 0).alias("ends")))
         done, open_ = done.unionByName(moved.filter("ends").drop("ends")), moved.filter("NOT ends").drop("ends")
     return done
 
@@ -63,25 +75,26 @@ def _runs(messages: DataFrame) -> DataFrame:
 def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     """(tree, leaf, rank, position, node) of the chosen root-to-leaf paths; position orders a path's messages.
 
-    messages: tree (not null), node (unique in its tree), parent (null for roots), score.  top: paths for each tree.
+    messages: tree (not null), node, parent (null for roots), score.  top: paths for each tree.
     """
     runs = _runs(messages)
-    scored = runs.join(messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), ["tree", "node"])
-    steps = scored.groupBy("tree", "head").agg(F.sum("score").alias("sum"), F.count("*").alias("n"), F.max_by("node", "depth").alias("tail"))
-    above = runs.filter("node = head").select("tree", "head", F.col("parent").alias("over"))
-    owner = runs.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("head").alias("_h"))
-    tree = checkpoint(steps.join(above, ["tree", "head"]).join(owner, (F.col("tree") == F.col("_t")) & (F.col("over") == F.col("_n")), "left").select("tree", "head", "sum", "n", "tail", F.col("_h").alias("above")))
-    inner = tree.filter("above IS NOT NULL").select("tree", F.col("above").alias("head")).distinct().withColumn("inner", F.lit(True))
-    tree = checkpoint(tree.join(inner, ["tree", "head"], "left"))
-    grown = tree.filter("above IS NULL").select("tree", "head", F.array("head").alias("path"), "sum", "n", "tail", "inner")
-    leaves = grown.filter("inner IS NULL")
-    front = checkpoint(grown.filter("inner"))
-    below = tree.filter("above IS NOT NULL").select(F.col("tree").alias("_t"), F.col("above").alias("_a"), F.col("head").alias("_h"), F.col("sum").alias("_s"), F.col("n").alias("_c"), F.col("tail").alias("_l"), F.col("inner").alias("_i"))
-    while front.limit(1).count():
-        grown = front.join(below, (F.col("tree") == F.col("_t")) & (F.col("head") == F.col("_a"))).select("tree", F.col("_h").alias("head"), F.concat("path", F.array("_h")).alias("path"), (F.col("sum") + F.col("_s")).alias("sum"), (F.col("n") + F.col("_c")).alias("n"), F.col("_l").alias("tail"), F.col("_i").alias("inner"))
-        grown = checkpoint(grown)
-        leaves = leaves.unionByName(grown.filter("inner IS NULL"))
-        front = grown.filter("inner")
+    steps = runs.groupBy("tree", "head").agg(F.sum("score").alias("sum"), F.count("*").alias("n"), F.max_by("node", "depth").alias("tail"), F.max(F.when(F.col("node") == F.col("head"), F.col("parent"))).alias("over"))
+    steps = checkpoint(steps)
+    grown = steps.filter("over IS NULL").select("tree", "head", F.array("head").alias("path"), "sum", "n", "tail")
+    leaves = grown
+    if steps.filter("over IS NOT NULL").limit(1).count():  # trees that branch
+        owner = runs.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("head").alias("_a"))
+        below = checkpoint(steps.filter("over IS NOT NULL").join(owner, (F.col("tree") == F.col("_t")) & (F.col("over") == F.col("_n"))).select("_t", "_a", F.col("head").alias("_h"), F.col("sum").alias("_s"), F.col("n").alias("_c"), F.col("tail").alias("_l")))
+        inner = below.select(F.col("_t").alias("tree"), F.col("_a").alias("head")).distinct().withColumn("inner", F.lit(True))
+        # what each step leads to, and whether that is a leaf
+        below = checkpoint(below.join(inner.select(F.col("tree").alias("_t"), F.col("head").alias("_h"), "inner"), ["_t", "_h"], "left"))
+        grown = checkpoint(grown.join(inner, ["tree", "head"], "left"))
+        leaves, front = grown.filter("inner IS NULL").drop("inner"), grown.filter("inner")
+        while front.limit(1).count():
+            longer = front.drop("inner").join(below, (F.col("tree") == F.col("_t")) & (F.col("head") == F.col("_a")))
+            grown = checkpoint(longer.select("tree", F.col("_h").alias("head"), F.concat("path", F.array("_h")).alias("path"), (F.col("sum") + F.col("_s")).alias("sum"), (F.col("n") + F.col("_c")).alias("n"), F.col("_l").alias("tail"), "inner"))
+            leaves = leaves.unionByName(grown.filter("inner IS NULL").drop("inner"))
+            front = grown.filter("inner")
     order = [(F.col("sum") / F.col("n")).desc(), F.col("tail")]
     if top is not None:
         # the best of parts first, so that no task ranks all branches of a large tree
@@ -96,7 +109,8 @@ def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
 
 def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     """(tree, leaf, rank, formatted, loss): each path as one string, with the spans under the loss mask."""
-    turns = paths.join(messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), ["tree", "node"])
+    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = paths.join(messages.groupBy("tree", "node").agg(F.min(said).alias("x")), ["tree", "node"]).select(*paths.columns, "x.role", "x.text")
     whole = turns.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("position", "node", "role", "text"))).alias("turns"))
     parts = whole.withColumn("turns", F.transform("turns", lambda x: F.struct(F.concat(F.lit(START), escaped_role(x["role"]), F.lit("\n")).alias("head"), escaped(x["text"]).alias("body"), (x["role"] == "assistant").alias("learn"))))
     tail = END + "\n"
@@ -134,7 +148,8 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    messages = conversation_messages(rows.unionByName(extra))
+    # numbered once; the joins that follow read keys only
+    messages = stash(conversation_messages(rows.unionByName(extra)))
     out = format_paths(messages, reply_paths(messages, top=1))
     turns = read_back(F.col("formatted"))
     learnt = F.array_join(F.transform("loss", lambda x: unescaped(F.substring(F.col("formatted"), (x["start"] + 1).cast("int"), x["length"].cast("int")))), "")
