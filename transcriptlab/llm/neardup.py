@@ -32,6 +32,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Buckets of more texts than PAIRS are compared in blocks of up to some 4 x BLOCK texts.
 PAIRS, BLOCK = 8, 64
+SALTS = 8
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -192,10 +193,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round each tid takes the smallest label among its neighbours' and its own, and then its label's label.
     """
-    edges = checkpoint(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    edges = checkpoint(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct().withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")))
     labels = checkpoint(edges.groupBy(F.col("a").alias("tid")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        lead = edges.join(labels.withColumnRenamed("tid", "b"), "b").groupBy(F.col("a").alias("tid")).agg(F.min("label").alias("near"))
+        # a tid with very many neighbours is dealt over salts
+        far = labels.select(F.col("tid").alias("b"), "label", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        lead = edges.join(far, ["b", "salt"]).groupBy(F.col("a").alias("tid")).agg(F.min("label").alias("near"))
         step = labels.join(lead, "tid").select("tid", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("tid").alias("new"), F.col("label").alias("far"))
         after = checkpoint(step.join(jump, "new", "left").select("tid", F.least("new", F.coalesce("far", "new")).alias("new"), "label"))
