@@ -1,19 +1,18 @@
-"""Column builders over transcripts.  Everything stays in JVM expressions."""
+"""Column builders over transcripts.  All are JVM expressions but edit distances and repeated runs, which go by Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words as Unicode letters, digits and underscore (combining marks end a word).
 TOKEN = r"[\p{L}\p{N}_]+"
 
-# Words that carry no meaning of their own.
-STOP_WORDS = ("about", "after", "again", "because", "before", "could", "should", "their", "there", "these", "thing", "things", "think", "those", "where", "which", "while", "would")
-
-
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once for each row however often it is used, also inside lambdas."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -24,17 +23,82 @@ def tokens(text: Column, pattern: str = TOKEN, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(pattern), F.lit(0))
 
 
+def _coded(*lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each column of lists a number for every item, the same for equal items, and the lists' sizes."""
+    flat = [x.flatten() for x in lists]
+    codes = pa.concat_arrays([f.cast(pa.string()) for f in flat]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = np.split(codes, np.cumsum([len(f) for f in flat])[:-1])
+    return [(c, pc.fill_null(x.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)) for c, x in zip(parts, lists, strict=True)]
+
+
+def _padded(codes: np.ndarray, sizes: np.ndarray, rows: np.ndarray, fill: int) -> np.ndarray:
+    """The items of some lists, one list a row, filled up at the end."""
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(max(1, int(sizes[rows].max(initial=0))))
+    inside = at < sizes[rows][:, None]
+    return np.where(inside, codes[np.minimum(starts[rows][:, None] + at, max(len(codes) - 1, 0))] if len(codes) else fill, fill)
+
+
+def _distances(ref: pa.Array, hyp: pa.Array, cells: int = 4_000_000) -> np.ndarray:
+    """Edit distances of lists, for lists of like sizes together, a row of the table for all of them at a time."""
+    (a, m), (b, n) = _coded(ref, hyp)
+    out = np.zeros(len(ref), np.int64)
+    order = np.argsort(np.maximum(m, n), kind="stable")
+    start = 0
+    while start < len(order):
+        # so many that their tables' rows fit
+        stop = start + 1
+        while stop < len(order) and (stop + 1 - start) * (max(m[order[stop]], n[order[stop]]) + 1) <= cells // 16:
+            stop += 1
+        rows = order[start:stop]
+        x, y = _padded(a, m, rows, -1), _padded(b, n, rows, -2)
+        place = np.arange(y.shape[1] + 1)
+        row = np.broadcast_to(place, (len(rows), len(place))).copy()
+        out[rows] = np.where(m[rows] == 0, n[rows], 0)
+        for i in range(int(m[rows].max(initial=0))):
+            best = row + 1
+            best[:, 1:] = np.minimum(best[:, 1:], row[:, :-1] + (y != x[:, [i]]))
+            # an item more of the second list costs one: the least from any place before
+            row = np.minimum.accumulate(best - place, axis=1) + place
+            done = m[rows] == i + 1
+            out[rows[done]] = row[done, n[rows[done]]]
+        start = stop
+    return out
+
+
 def word_errors(ref: Column, hyp: Column) -> Column:
-    """Edit distance between token arrays.
+    """Edit distance between token arrays of any length; null counts as empty."""
 
-    Each distinct token of the pair becomes one character, so that the built-in string distance counts tokens.
-    """
+    @F.arrow_udf("int")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(_distances(a, b).astype(np.int32))
 
-    def coded(words: Column, known: Column) -> Column:
-        # code points from U+3400 on: clear of surrogates for some 20,000 distinct tokens in a pair
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 13312), 4, "0")), "UTF-16BE")), "")
+    empty = F.array().cast("array<string>")
+    return distance(F.coalesce(ref, empty), F.coalesce(hyp, empty))
 
-    return let(F.array_distinct(F.concat(ref, hyp)), lambda known: F.levenshtein(coded(ref, known), coded(hyp, known)))
+
+def longest_copies(codes: np.ndarray, sizes: np.ndarray, widths: range) -> np.ndarray:
+    """For each list the most items in three or more copies of a run of so many items that follow each other.
+
+    Copies are found as they stand from the left, as many as there are, and what they take isn't looked at again.
+    """
+    out = np.zeros(len(sizes), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    for z in widths:
+        if len(codes) <= z:
+            break
+        same = (codes[:-z] == codes[z:]) & (row[:-z] == row[z:])
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+        begin, end = edge[::2], edge[1::2]
+        long = end - begin >= 2 * z
+        taken = 0
+        for s, e in zip(begin[long].tolist(), end[long].tolist(), strict=True):
+            s = max(s, taken)
+            if e - s >= 2 * z:
+                n = z * ((e - s) // z + 1)
+                taken = s + n
+                out[row[s]] = max(out[row[s]], n)
+    return out
 
 
 def word_error_rate(ref: Column, hyp: Column) -> Column:
@@ -42,11 +106,6 @@ def word_error_rate(ref: Column, hyp: Column) -> Column:
     return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.round(word_errors(ref, hyp) / F.size(ref), 3))
 
 
-def concepts(words: Column) -> Column:
-    """Distinct tokens of more than 4 characters that aren't stop words."""
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 4) & ~w.isin(*STOP_WORDS)))
-
-
 def coverage(expected: Column, actual: Column) -> Column:
     """Share of the expected set that the actual one has, to 3 digits; 1 where nothing is expected."""
     return F.when(F.size(expected) == 0, 1.0).otherwise(F.round(F.size(F.array_intersect(expected, actual)) / F.size(expected), 3))
@@ -59,35 +118,46 @@ def adjacent_repeat_ratio(words: Column) -> Column:
     return F.when(n < 2, 0.0).otherwise(F.round(F.aggregate(same, F.lit(0), lambda acc, x: acc + x) / n, 3))
 
 
-def repeated_ngram_score(words: Column, widths: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8)) -> Column:
-    """Largest share of tokens in three or more consecutive copies of a run of 2 to 8 tokens, to 3 digits.
+def repeated_ngram_score(words: Column, widths: range = range(2, 9)) -> Column:
+    """Largest share of tokens in three or more consecutive copies of a run of 2 to 8 tokens, to 3 digits; 0 for under 8 tokens."""
 
-    For each width z the longest stretch of positions with t[i] = t[i+z] is L long; it holds L div z + 1 copies.
-    """
-    n = F.size(words)
+    @F.arrow_udf("int")
+    def copied(lists: pa.Array) -> pa.Array:
+        ((codes, sizes),) = _coded(lists)
+        return pa.array(longest_copies(codes, sizes, widths).astype(np.int32))
 
-    def share(z: int) -> Column:
-        same = F.zip_with(F.slice(words, F.lit(1), F.greatest(n - z, F.lit(0))), F.slice(words, F.lit(z + 1), F.greatest(n - z, F.lit(0))), lambda a, b: a == b)
-        start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
-        longest = F.aggregate(same, start, lambda acc, x: F.struct(F.when(x, acc["run"] + 1).otherwise(0).alias("run"), F.greatest(acc["best"], F.when(x, acc["run"] + 1).otherwise(0)).alias("best")), lambda acc: acc["best"])
-        copies = F.floor(longest / z) + 1
-        return F.when((copies >= 3) & (n >= 3 * z), z * copies / n).otherwise(0.0)
-
-    return F.when(n < 8, 0.0).otherwise(F.round(F.greatest(*map(share, widths)), 3))
+    n = F.size(words)
+    return F.when(n < 8, 0.0).otherwise(F.round(copied(F.coalesce(words, F.array().cast("array<string>"))) / n, 3))
 
 
 def latency_score(seconds: Column) -> Column:
     return F.when(seconds <= 1, 1.0).when(seconds <= 2, 0.85).when(seconds <= 4, 0.65).when(seconds <= 8, 0.35).otherwise(0.0)
 
 
-def percentile_col(value: Column, p: float, method: str = "linear") -> Column:
-    """The p-quantile of a group.  method: linear, or an index into the sorted values: half_even, floor, half_up."""
-    if method == "linear":
-        return F.percentile(value, F.lit(p))
-    ordered = F.sort_array(F.collect_list(value))
-    place = F.lit(p) * (F.size(ordered) - 1)
-    index = {"half_even": F.bround(place, 0), "floor": F.floor(place), "half_up": F.floor(place + 0.5)}[method]
-    return F.get(ordered, index.cast("int"))
+#: Places of quantiles among n sorted values, by definition.
+PLACES = {"half_even": lambda p, n: F.bround(F.lit(p) * (n - 1), 0), "floor": lambda p, n: F.floor(F.lit(p) * (n - 1)), "half_up": lambda p, n: F.floor(F.lit(p) * (n - 1) + 0.5)}
+
+
+def percentiles(rows: DataFrame, by: str, value: str, p: float, methods: tuple[str, ...], ranges: int = 256) -> DataFrame:
+    """(by, a column for each method): the value of each group at the p-quantile's place among its sorted values; nulls don't count.
+
+    Values are counted, counts summed by ranges between the group's least and greatest value, and only the ranges that hold a
+    wanted place are ranked, so that no task holds or sorts a group.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    ends = counted.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
+    wide = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * (ranges - 1))).otherwise(0)
+    placed = counted.join(ends.withColumnRenamed("g", "g2"), F.col("g").eqNullSafe(F.col("g2"))).withColumn("r", wide.cast("int")).select("g", "v", "c", "n", "r")
+    sums = placed.groupBy("g", "n", "r").agg(F.sum("c").alias("s"))
+    upto = Window.partitionBy("g").orderBy("r")  # at most a row for each range
+    sums = sums.withColumn("before", F.sum("s").over(upto) - F.col("s"))
+    wanted = F.array(*[PLACES[m](p, F.col("n")).cast("long") for m in methods])
+    holding = sums.withColumn("wanted", wanted).filter(F.exists("wanted", lambda w: (w >= F.col("before")) & (w < F.col("before") + F.col("s"))))
+    holding = holding.select(F.col("g").alias("g2"), F.col("r").alias("r2"), "before", "wanted")
+    inner = placed.join(holding, F.col("g").eqNullSafe(F.col("g2")) & (F.col("r") == F.col("r2")))
+    inner = inner.withColumn("first", F.col("before") + F.sum("c").over(Window.partitionBy("g", "r").orderBy("v")) - F.col("c"))
+    at = lambda i: F.max(F.when((F.col("wanted")[i] >= F.col("first")) & (F.col("wanted")[i] < F.col("first") + F.col("c")), F.col("v")))
+    return inner.groupBy(F.col("g").alias(by)).agg(*[at(i).alias(m) for i, m in enumerate(methods)])
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -1,14 +1,17 @@
-"""Column builders that clean, classify and compare texts.  Null texts count as empty; everything stays in JVM expressions."""
+"""Column builders that clean, classify and compare texts.  Null texts count as empty; everything but repeated letters stays in JVM expressions."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import TOKEN, let, repeated_ngram_score, tokens
+from .columns import TOKEN, let, longest_copies, repeated_ngram_score, tokens
 
 #: White space that both Java's and other regular expressions know by these codes.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -101,12 +104,15 @@ def no_speech(text: Column) -> Column:
 def repeated_substring_score(text: Column) -> Column:
     """The repeated n-gram score, or the largest share of letters in three or more copies of a block of 3 to 15 letters."""
 
-    def share(letters: Column) -> Column:
-        longest = [F.array_max(F.transform(F.regexp_extract_all(letters, F.lit(rf"([a-z]{{{z}}})\1{{2,}}"), F.lit(0)), F.length)) for z in range(3, 16)]
-        return F.when(F.length(letters) < 24, 0.0).otherwise(F.coalesce(F.greatest(*longest), F.lit(0)) / F.length(letters))
+    @F.arrow_udf("int")
+    def copied(texts: pa.Array) -> pa.Array:
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = np.frombuffer("".join(texts.to_pylist()).encode(), np.uint8)  # a-z: a byte each
+        return pa.array(longest_copies(letters, sizes, range(3, 16)).astype(np.int32))
 
-    ngrams = let(tokens(text), lambda w: repeated_ngram_score(w))
-    return F.round(F.greatest(ngrams, let(F.regexp_replace(F.lower(filled(text)), "[^a-z]+", ""), share)), 3)
+    letters = F.regexp_replace(F.lower(filled(text)), "[^a-z]+", "")
+    share = F.when(F.length(letters) < 24, 0.0).otherwise(copied(letters) / F.length(letters))
+    return F.round(F.greatest(repeated_ngram_score(tokens(text)), share), 3)
 
 
 def degenerate(text: Column, most: float = 0.25) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import percentile_col
+from ..functions.columns import percentiles as percentile_table
 
 #: Rank of an attempt's status: a final text is worth more than a first paste.
 STATUS_RANK = {"finalizer_replaced": 4, "paste_attempted": 3, "copy_fallback": 2, "no_speech": 1, "failed": 0}
@@ -29,7 +29,11 @@ def status_counts(attempts: DataFrame) -> DataFrame:
 
 def percentiles(attempts: DataFrame, p: float = 0.95) -> DataFrame:
     """The same quantile by four definitions."""
-    return attempts.filter("release_to_paste IS NOT NULL").groupBy("status").agg(*[F.round(percentile_col(F.col("release_to_paste"), p, m), 4).alias(m) for m in ("linear", "half_even", "floor", "half_up")])
+    timed = attempts.filter("release_to_paste IS NOT NULL")
+    linear = timed.groupBy("status").agg(F.round(F.percentile("release_to_paste", F.lit(p)), 4).alias("linear"))
+    placed = percentile_table(timed, "status", "release_to_paste", p, ("half_even", "floor", "half_up"))
+    both = linear.join(placed.withColumnRenamed("status", "_status"), F.col("status").eqNullSafe(F.col("_status")))
+    return both.select("status", "linear", *[F.round(m, 4).alias(m) for m in ("half_even", "floor", "half_up")])
 
 
 def rolling_health(attempts: DataFrame, length: str = "1 hour", slide: str | None = None) -> DataFrame:

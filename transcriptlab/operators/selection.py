@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import meaning as M
 from ..functions import texts as X
 from .review import term_coverage
 
@@ -46,8 +47,8 @@ def app_scores(results: DataFrame) -> DataFrame:
     results: facts array<array<string>> (words of each fact), terms, actual, seconds, error, human_pasteable (null: unknown).
     Without terms their part is that of the facts; without facts these count as covered.  A missed term caps the score at 0.5.
     """
-    said = C.concepts(C.tokens(F.col("actual")))
-    parts = F.transform("facts", lambda f: C.coverage(C.concepts(F.transform(f, F.lower)), F.col("_heard")))
+    said = M.concepts(C.tokens(F.col("actual")))
+    parts = F.transform("facts", lambda f: C.coverage(M.concepts(F.transform(f, F.lower)), F.col("_heard")))
     rows = term_coverage(results.withColumn("_heard", said)).withColumn("_parts", parts)
     facts = F.when(F.size("_parts") > 0, F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x) / F.size("_parts")).otherwise(1.0)
     rows = rows.withColumn("_facts", facts).withColumn("critical", F.size("term_misses") > 0)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.columns import STOP_WORDS
 from ..operators import corpus, history, scoring
 from ..sources import views as v
+from . import sqltext as T
 
 LIMITS = {"p95_seconds": 8.0, "max_seconds": 9.0, "useful": 0.6, "usable_rate": 0.1}
 
@@ -47,7 +47,6 @@ QUERIES = {
     "weighted_rank": lambda s, d: corpus.weighted_rank(v.table(s, d, "part")),
 }
 
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 #: Scores in SQL.  Tokens of a pair become characters from code 33 on, so that its bytewise distance counts tokens (at most 94 of them).
 _SHARES = ", ".join(
     f"CASE WHEN n >= {3 * z} AND floor(coalesce(list_max(list_transform(string_split(array_to_string(list_transform(range(1, n - {z} + 1), lambda i: CASE WHEN h[i] = h[i + {z}] THEN '1' ELSE '0' END), ''), '0'), lambda x: length(x))), 0) / {z}) + 1 >= 3"
@@ -56,16 +55,16 @@ _SHARES = ", ".join(
 )
 _SCORED = (
     v.with_views("clips", "runs")
-    + f""", t AS (SELECT *, list_transform(toks, lambda x: lower(x)) AS r, list_transform(hyp, lambda x: lower(x)) AS h FROM runs),
-u AS (SELECT *, list_distinct(list_concat(r, h)) AS k, len(h) AS n,
-  list_distinct(list_filter(r, lambda w: length(w) > 4 AND w NOT IN ({_STOP}))) AS cr, list_distinct(list_filter(h, lambda w: length(w) > 4 AND w NOT IN ({_STOP}))) AS ch FROM t),
+    + f""", t AS (SELECT *, list_transform(toks, lambda x: lower(x)) AS r, list_transform(hyp, lambda x: lower(x)) AS h, ' ' || {T.plain('actual')} || ' ' AS said, lower(actual) AS raw, {T.anchors('gold')} AS terms FROM runs),
+u AS (SELECT *, list_distinct(list_concat(r, h)) AS k, len(h) AS n, {T.concepts('r')} AS cr, {T.concepts('h')} AS ch, len(list_filter(terms, lambda x: {T.hit('x')})) AS heard, {T.critical('actual', 'quality_flags')} AS critical FROM t),
 w AS (SELECT *, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0 END ELSE round(levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(32 + list_position(k, x) AS INTEGER))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(32 + list_position(k, x) AS INTEGER))), ''))::DOUBLE / len(r), 3) END AS wer,
-  CASE WHEN len(cr) = 0 THEN 1.0 ELSE round(len(list_intersect(cr, ch))::DOUBLE / len(cr), 3) END AS meaning_coverage,
+  CASE WHEN len(cr) = 0 THEN 1.0 ELSE round(len(list_intersect(cr, ch))::DOUBLE / len(cr), 3) END AS meaning_coverage, CASE WHEN len(terms) > 0 THEN round(heard::DOUBLE / len(terms), 3) END AS term_coverage,
   CASE WHEN n < 8 THEN 0.0 ELSE round(greatest({_SHARES})::DOUBLE, 3) END AS repeat FROM u),
 x AS (SELECT *, CASE WHEN seconds <= 1 THEN 1.0 WHEN seconds <= 2 THEN 0.85 WHEN seconds <= 4 THEN 0.65 WHEN seconds <= 8 THEN 0.35 ELSE 0.0 END::DOUBLE AS speed,
   CASE WHEN error IS NOT NULL THEN 0.0 ELSE round(greatest(0.0, 1 - least(repeat, 1.0)), 3) END::DOUBLE AS reliable, error IS NULL AND repeat < 0.2 AS clean FROM w),
-y AS (SELECT *, 0.65::DOUBLE * meaning_coverage + 0.15::DOUBLE * greatest(0.0, 1 - least(wer, 1.0)) + 0.10::DOUBLE * speed + 0.10::DOUBLE * reliable AS useful FROM x),
-scored AS (SELECT doc_id, id, category, backend, wer, meaning_coverage, seconds, error, round(useful, 3) AS useful_score, useful >= 0.75 AND seconds <= 2.5 AND clean AS usable, seconds <= 1.5 AS fast, seconds > 6 OR NOT clean AS hang_risk FROM y)
+y AS (SELECT *, 0.45::DOUBLE * meaning_coverage + 0.20::DOUBLE * coalesce(term_coverage, meaning_coverage) + 0.15::DOUBLE * greatest(0.0, 1 - least(wer, 1.0)) + 0.10::DOUBLE * speed + 0.10::DOUBLE * reliable AS raw_score FROM x),
+z AS (SELECT *, CASE WHEN critical THEN least(raw_score, 0.5) ELSE raw_score END AS useful FROM y),
+scored AS (SELECT doc_id, id, category, source, trust, backend, wer, meaning_coverage, term_coverage, critical, seconds, error, round(useful + 1e-9, 3) AS useful_score, repeat, useful >= 0.75 AND seconds <= 2.5 AND clean AND NOT critical AS usable, seconds <= 1.5 AS fast, seconds > 6 OR NOT clean AS hang_risk FROM z)
 """
 )
 _INDEX = "CAST({} AS BIGINT)"

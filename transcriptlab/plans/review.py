@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import consensus, corpus, review
 from ..sources import views as v
+from . import sqltext as T
 
 BUCKETS = (("failed", "error IS NOT NULL", 10), ("slow", "seconds >= 6", 6), ("short", "size(hyp) < 20", 12))
 TOTAL = 40
@@ -59,8 +60,7 @@ QUERIES = {
 }
 
 
-def _plain(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9+# ]+', ' ', 'g'), ' +', ' ', 'g'))"
+_plain = T.plain
 
 
 def _quota_sql() -> str:
@@ -86,12 +86,10 @@ _MINED = """SELECT term, count(*) AS texts FROM (SELECT unnest(list_distinct(lis
 
 SQL = {
     "term_coverage": v.with_views("clips", "runs")
-    + f""", t AS (SELECT doc_id, backend, ' ' || {_plain('actual')} || ' ' AS said, list_filter(toks, lambda w, i: i % 7 = 5) AS terms FROM runs),
-e AS (SELECT doc_id, backend, said, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM t),
-d AS (SELECT doc_id, backend, said, term, min(i) AS i, {_plain('term')} AS a FROM e GROUP BY ALL),
-h AS (SELECT *, a <> '' AND (contains(said, ' ' || a || ' ') OR (NOT contains(a, ' ') AND (
-  (a LIKE '%ies' AND length(a) > 4 AND contains(said, ' ' || left(a, -3) || 'y ')) OR (a LIKE '%es' AND length(a) > 3 AND contains(said, ' ' || left(a, -2) || ' '))
-  OR contains(said, ' ' || CASE WHEN a LIKE '%s' AND length(a) > 3 THEN left(a, -1) ELSE a || 's' END || ' ')))) AS hit FROM d),
+    + f""", t AS (SELECT doc_id, backend, ' ' || {_plain('actual')} || ' ' AS said, lower(actual) AS raw, list_filter(toks, lambda w, i: i % 7 = 5) AS terms FROM runs),
+e AS (SELECT doc_id, backend, said, raw, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM t),
+d AS (SELECT doc_id, backend, said, raw, term, min(i) AS i FROM e GROUP BY ALL),
+h AS (SELECT *, {T.hit('term')} AS hit FROM d),
 g AS (SELECT doc_id, backend, string_agg(term, ',' ORDER BY i) FILTER (WHERE hit) AS hits, string_agg(term, ',' ORDER BY i) FILTER (WHERE NOT hit) AS misses, round(avg(hit::INT), 3) AS c FROM h GROUP BY 1, 2)
 SELECT t.doc_id, t.backend, coalesce(hits, '') AS hits, coalesce(misses, '') AS misses, c AS term_coverage FROM t LEFT JOIN g USING (doc_id, backend)""",
     "ordered_checks": v.with_views("clips", "runs")

@@ -9,7 +9,8 @@ from ..functions import columns as C
 from ..functions import texts as X
 from ..operators import scoring, selection
 from ..sources import views as v
-from .history import _SCORED, _STOP
+from . import sqltext as T
+from .history import _SCORED
 from .review import SQL as REVIEW_SQL
 from .review import _plain
 
@@ -82,8 +83,10 @@ def _results(s, d):
 def _violations(s, d):
     at = {"hotkey_down": F.lit(0.0), "playback_start": F.when(F.col("doc_id") % 7 != 0, 0.5), "speech_end": F.lit(5.0), "hotkey_up": F.when(F.col("doc_id") % 53 == 0, 4.0).otherwise(5.5), "final_visible": 5.5 + F.col("seconds"), "paste_done": 5.6 + F.col("seconds")}
     times = F.struct(*[c.alias(n) for n, c in at.items()])
-    runs = v.runs(s, d).filter("doc_id % 10 <> 3 OR backend = 'fast'")
-    return selection.result_violations(runs.select(F.col("backend").alias("tool"), F.col("id").alias("corpus_id"), times.alias("timestamps")), v.clips(s, d).filter("doc_id % 97 <> 0"), list(PLACES))
+    # a failed run gives no result, a slow one a second one; clips that need review aren't in the corpus
+    runs = v.runs(s, d).filter("error IS NULL").select(F.col("backend").alias("tool"), F.col("id").alias("corpus_id"), times.alias("timestamps"), F.when(F.col("seconds") > 8, 2).otherwise(1).alias("times"))
+    results = runs.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times")))).select("tool", "corpus_id", "timestamps")
+    return selection.result_violations(results, v.clips(s, d).filter("trust <> 'needs_human_review'"), list(PLACES))
 
 
 def _confusion(s, d):
@@ -199,7 +202,7 @@ SELECT id, a AS first_score, CASE WHEN ok THEN b ELSE a END AS score, CASE WHEN
 
 def _app_sql() -> str:
     covered = REVIEW_SQL["term_coverage"].replace("i % 7 = 5", "i % 20 = 5")
-    concept = lambda x: f"list_distinct(list_filter(list_transform({x}, lambda w: lower(w)), lambda w: length(w) > 4 AND w NOT IN ({_STOP})))"
+    concept = lambda x: T.concepts(f"list_transform({x}, lambda w: lower(w))")
     share = lambda x: f"CASE WHEN len({x}) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect({x}, ch))::DOUBLE / len({x}), 3) END"
     return v.with_views("clips", "runs") + f""", c AS ({covered}),
 t AS (SELECT r.*, c.hits, c.misses, c.term_coverage IS NOT NULL AS termed, {concept('r.toks[1:10]')} AS f1, {concept('r.toks[11:20]')} AS f2, {concept('r.hyp')} AS ch,
@@ -223,8 +226,11 @@ q AS (SELECT p.doc_id, p2.tail, d, f, list_transform(d, lambda x: lower(x)) AS d
 r AS (SELECT doc_id, CASE WHEN len(f) = 0 THEN 'empty-final' END AS a, CASE WHEN tail > 8 THEN 'tail>threshold' END AS b, CASE WHEN {_thrice('h')} THEN 'repetition' END AS c,
   {_less('dt', 'h', 'ft')} AS m, CASE WHEN len(dt) > 0 THEN {_less('ft', 'dl', 'dt')} ELSE [] END AS n FROM q)
 SELECT doc_id, concat_ws(';', a, b, c, CASE WHEN len(m) > 0 THEN 'protected-term-missing:' || array_to_string(m[1:5], ',') END, CASE WHEN len(n) > 0 THEN 'protected-term-new:' || array_to_string(n[1:5], ',') END) AS reasons FROM r""",
-    "pool_buckets": """SELECT CASE doc_id % 6 WHEN 0 THEN 'hinglish_code_switch' WHEN 1 THEN 'hindi_public' WHEN 2 THEN CASE WHEN lang = 'en' THEN 'chinese_english_code_switch' ELSE 'chinese_public' END WHEN 3 THEN 'chinese_english_code_switch'
-  WHEN 4 THEN 'english_youtube_' || replace(lower(source), ' ', '_') ELSE 'english_public' END AS bucket, count(*) AS n FROM documents GROUP BY 1""",
+    "pool_buckets": v.with_views("clips")
+    + """, k AS (SELECT lower(['hinglish', 'hindi', 'fleurs_cmn', 'Chinese English', 'youtube', 'talk'][doc_id % 6 + 1]) AS c, lower(category) AS l, lower(source) AS r FROM clips)
+SELECT CASE WHEN (regexp_matches(l, 'zh|cmn|mandarin|chinese') OR regexp_matches(c, 'fleurs_cmn|chinese')) THEN CASE WHEN contains(c, 'english') OR contains(l, 'en') THEN 'chinese_english_code_switch' ELSE 'chinese_public' END
+  WHEN contains(c, 'hinglish') OR contains(l, 'hi-en') OR (contains(c, 'hindi') AND contains(c, 'english')) THEN 'hinglish_code_switch' WHEN contains(c, 'hindi') OR l IN ('hi', 'hi_in', 'hindi') THEN 'hindi_public'
+  WHEN contains(c, 'youtube') AND r <> '' THEN 'english_youtube_' || replace(r, ' ', '_') ELSE 'english_public' END AS bucket, count(*) AS n FROM k GROUP BY 1""",
     "script_classes": """SELECT lang, CASE WHEN i AND l THEN 'mixed' WHEN i THEN 'devanagari' WHEN l THEN 'latin' ELSE 'other' END AS script, count(*) AS n FROM (SELECT lang, regexp_matches("text", '[\\x{0900}-\\x{097F}]') AS i, regexp_matches("text", '[A-Za-z]') AS l FROM documents) GROUP BY 1, 2""",
     "text_quality": v.with_views("clips", "runs")
     + f""", t AS (SELECT doc_id, backend, actual, seconds * 10 AS s, {_LISTS} FROM runs), u AS (SELECT *, length(actual) AS c, len(h) AS w, len(list_distinct(r)) AS a, len(list_distinct(h)) AS b, len(list_intersect(r, h)) AS x, list_filter(r, lambda w: length(w) >= 4) AS l FROM t)
@@ -234,7 +240,8 @@ SELECT doc_id, backend, CASE WHEN len(h) = 0 THEN 0.0 ELSE round(list_max(list_t
   array_to_string(list_filter(r, lambda y: length(y) >= 5 AND NOT list_contains(h, y) AND (length(regexp_replace(y, '[^aeiou]', '', 'g'))::DOUBLE / length(y) < 0.20 OR length(regexp_replace(y, '[^aeiou]', '', 'g'))::DOUBLE / length(y) > 0.76)), ',') AS odd,
   c > 0 AND s >= 18 AND (c < greatest(120, floor(s * 4)) OR w < greatest(20, floor(s * 0.45)) OR (c < floor(s * 8) AND w < 55)) AS cut_short FROM u""",
     "spoken_form": f"""SELECT conv_id, turn, {_said()} AS said FROM (SELECT conv_id, turn, "text" || CASE turn % 3 WHEN 0 THEN ' [MUSIC] They can''t and DON''T' WHEN 1 THEN ' twenty one or thirty, cannot' ELSE ' <v A>is  not</v>' END AS x FROM conversations)""",
-    "blank_texts": "SELECT event_type, event_type <> 'click' AS blank, count(*) AS n FROM events GROUP BY 1, 2",
+    "blank_texts": r"""WITH t AS (SELECT event_type, lower(trim(CASE event_type WHEN 'view' THEN '[BLANK_AUDIO]' WHEN 'click' THEN 'hello there' WHEN 'purchase' THEN ' (No  speech) ' WHEN 'signup' THEN chr(10) WHEN 'error' THEN '<|nospeech|>' END, ' ' || chr(10))) AS x FROM events)
+SELECT event_type, x = '' OR x = '<|nospeech|>' OR trim(regexp_replace(regexp_replace(x, '^[\[\](){}<>._\- ]+|[\[\](){}<>._\- ]+$', '', 'g'), '[_ ]+', ' ', 'g')) IN ('blank', 'blank audio', 'silence', 'silent audio', 'no speech', 'no speech detected', 'inaudible', 'music', 'noise') AS blank, count(*) AS n FROM t GROUP BY 1, 2""",
     "first_usable": v.with_views("clips", "runs")
     + f""", c AS (SELECT doc_id AS id, backend AS name, {_PLACE} AS place, error, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 AND backend = 'accurate' THEN 'so so so' ELSE actual END AS text, {_LISTS} FROM runs),
 e AS (SELECT *, error IS NULL AND text <> '' AND text <> 'so so so' AND NOT ({_thrice('h')}) AS good FROM c),
@@ -249,14 +256,15 @@ SELECT id, coalesce(gn, an, 'none') AS name, coalesce(gt, fallback, '') AS text,
 SELECT tool, count(*) AS clips, round(avg(app_score) + 1e-9, 3) AS avg_score, round(avg(usable::INT), 4) AS usable_rate, round(avg(critical::INT), 4) AS critical_rate, round(avg((error IS NOT NULL)::INT), 4) AS error_rate, round(quantile_cont(seconds::DOUBLE, 0.5), 4) AS p50_seconds,
   (SELECT round(min(m) + 1e-9, 3) FROM y WHERE y.tool = app.tool) AS worst_trap FROM app GROUP BY tool""",
     "result_violations": v.with_views("clips", "runs")
-    + """, r AS (SELECT doc_id, backend AS tool, id AS corpus_id FROM runs WHERE doc_id % 10 <> 3 OR backend = 'fast'), k AS (SELECT id FROM clips WHERE doc_id % 97 <> 0)
-SELECT 'steps_out_of_order' AS rule, tool, corpus_id FROM r WHERE doc_id % 53 = 0 UNION ALL SELECT 'unknown_clip', tool, corpus_id FROM r WHERE corpus_id NOT IN (SELECT id FROM k)
-UNION ALL SELECT 'given_twice', tool, corpus_id FROM r GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'no_result', tool, id FROM k, (SELECT DISTINCT tool FROM r) WHERE (tool, id) NOT IN (SELECT (tool, corpus_id) FROM r)""",
+    + """, r AS (SELECT doc_id, backend AS tool, id AS corpus_id, unnest(range(CASE WHEN seconds > 8 THEN 2 ELSE 1 END)) AS n,
+  doc_id % 53 = 0 AS late FROM runs WHERE error IS NULL), k AS (SELECT id FROM clips WHERE trust <> 'needs_human_review')
+SELECT 'steps_out_of_order' AS rule, tool, corpus_id FROM r WHERE late UNION ALL SELECT 'unknown_clip', tool, corpus_id FROM r WHERE corpus_id NOT IN (SELECT id FROM k)
+UNION ALL SELECT 'given_twice', tool, corpus_id FROM r GROUP BY tool, corpus_id HAVING count(*) > 1 UNION ALL SELECT 'no_result', tool, id FROM (SELECT tool, id FROM k, (SELECT DISTINCT tool FROM r)) k ANTI JOIN r ON k.tool = r.tool AND k.id = r.corpus_id""",
     "routing_confusion": "SELECT lang, count(*) FILTER (WHERE quality = 1 AND n_chars >= 400) AS tp, count(*) FILTER (WHERE quality = 1 AND n_chars < 400) AS fn, count(*) FILTER (WHERE quality <> 1 AND n_chars >= 400) AS fp, count(*) FILTER (WHERE quality <> 1 AND n_chars < 400) AS tn FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY lang",
     "audio_retention": "SELECT CAST(ts AS DATE) AS day, count(*) AS successes, count(*) FILTER (WHERE event_id % 3 <> 0) AS retained, count(*) FILTER (WHERE event_id % 3 = 0) AS missing FROM events WHERE event_type IN ('view', 'click') GROUP BY 1",
     "throttled": "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE ts - b < INTERVAL 1 HOUR) AS throttled FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY 1",
     "prune_list": "SELECT user_id, 'r' || event_id AS run_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, 'r' || event_id DESC) AS k FROM events) WHERE k > 5",
-    "chunk_grid": """SELECT id, chunk, round(chunk * 5.0::DOUBLE, 3) AS start, round(least(chunk * 5.0::DOUBLE + 6, s), 3) AS stop FROM (SELECT 'clip_' || doc_id AS id, n_chars / 15.0::DOUBLE AS s, unnest(range(CAST(ceil(n_chars / 15.0::DOUBLE / 5) AS BIGINT))) AS chunk FROM documents WHERE n_chars > 0)
+    "chunk_grid": v.with_views("clips") + """SELECT id, chunk, round(chunk * 5.0::DOUBLE, 3) AS start, round(least(chunk * 5.0::DOUBLE + 6, s), 3) AS stop FROM (SELECT id, audio_seconds::DOUBLE AS s, unnest(range(CAST(ceil(audio_seconds::DOUBLE / 5) AS BIGINT))) AS chunk FROM clips WHERE audio_seconds > 0)
 WHERE chunk = 0 OR least(chunk * 5.0::DOUBLE + 6, s) - chunk * 5.0::DOUBLE >= 1""",
     "field_scorecard": v.with_views("clips", "runs")
     + f""", t AS (SELECT backend AS field, list_transform(toks, lambda x: lower(x)) AS r, CASE WHEN error IS NULL THEN list_transform(hyp, lambda x: lower(x)) ELSE [] END AS h FROM runs), u AS (SELECT *, {_wer()} AS wer FROM t)
@@ -272,7 +280,7 @@ SELECT conv_id AS run, max(k)::INT AS chunks, array_to_string(arg_max(said, k),
     "labelled_sources": """SELECT conv_id AS run, string_agg('[' || role || ']' || chr(10) || x, chr(10) || chr(10) ORDER BY role) AS text FROM (SELECT conv_id, role, regexp_replace(arg_min("text", turn), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS x FROM conversations GROUP BY 1, 2) WHERE x <> '' GROUP BY 1""",
     "claims_audit": """WITH v AS (SELECT p_brand AS b, avg(p_size) AS a FROM part GROUP BY 1)
 SELECT b AS claim_id, 'size' AS metric, CASE WHEN abs(a - round(a, 1)) <= 0.0005 THEN 'ok' ELSE 'off' END AS verdict FROM v UNION ALL SELECT 'x' || b, 'price', 'missing' FROM v""",
-    "best_or_unclear": _SCORED.replace("SELECT doc_id, id, category, backend, wer,", "SELECT doc_id, repeat, id, category, backend, wer,")
+    "best_or_unclear": _SCORED
     + """SELECT id, CASE WHEN useful_score < 0.7 OR repeat >= 0.3 THEN 'unclear' ELSE backend END AS name, useful_score AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY useful_score DESC, backend DESC) AS k FROM scored) WHERE k = 1""",
     "review_candidates": v.with_views("attempts")
     + "SELECT audio_path, run_id FROM (SELECT audio_path, arg_max(run_id, ordinal) AS run_id, max(ordinal) AS o FROM attempts WHERE paste_success AND release_to_paste >= 0.5 GROUP BY 1) ORDER BY o DESC LIMIT 500",

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TOKEN, tokens
 
-#: Tokens of a document in its clip, as in the SQL below; None within ``whole``.
+#: Tokens of an utterance, as in the SQL below: a document is cut into utterances, all of them kept, and each is a clip.  None within
+#: ``whole``, where a document is one clip.
 MOST: ContextVar[int | None] = ContextVar("most", default=40)
+#: A clip's number is its document's times this, and its place.
+STEP = 1_000_003
 BACKENDS = ((0, "fast"), (1, "accurate"), (2, "tiny"))
 
 
@@ -30,12 +33,25 @@ def whole() -> Iterator[None]:
         MOST.reset(before)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table dealt out to all cores where its files alone give fewer partitions, as a small file does; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    words = tokens(F.col("text"), lower=False)
-    words = words if MOST.get() is None else F.slice(words, F.lit(1), F.lit(MOST.get()))
     trust = F.when(F.col("quality") == 1, "gold").when(F.col("quality") == 0, "silver").otherwise("needs_human_review")
-    return docs.select("doc_id", "lang", "source", "n_chars", words.alias("toks")).join(labels, "doc_id", "left").select("doc_id", F.concat(F.lit("clip_"), "doc_id").alias("id"), F.col("lang").alias("category"), "source", "toks", F.array_join("toks", " ").alias("gold"), (F.col("n_chars") / 15.0).alias("audio_seconds"), trust.alias("trust"))
+    named = spread(docs.select("doc_id", "lang", "source", "text")).join(labels, "doc_id", "left").select("doc_id", F.col("lang").alias("category"), "source", trust.alias("trust"), tokens(F.col("text"), lower=False).alias("words"))
+    most = MOST.get()
+    if most is None:
+        parts = named.withColumn("part", F.lit(0)).withColumn("toks", F.col("words"))
+    else:
+        last = F.greatest(F.lit(1), F.ceil(F.size("words") / most)).cast("int") - 1
+        parts = named.withColumn("part", F.explode(F.sequence(F.lit(0), last))).withColumn("toks", F.slice("words", F.col("part") * most + 1, F.lit(most)))
+    number = F.col("doc_id") * STEP + F.col("part") if most is not None else F.col("doc_id")
+    parts = parts.select(number.alias("doc_id"), "category", "source", "trust", "toks", F.array_join("toks", " ").alias("gold"))
+    return parts.select("doc_id", F.concat(F.lit("clip_"), "doc_id").alias("id"), "category", "source", "toks", "gold", (F.length("gold") / 15.0).alias("audio_seconds"), "trust")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +64,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when((F.col("doc_id") * 7 + place * 5 + F.col("b") * 3) % (9 - 2 * F.col("b")) == 0, F.lit(None)).when((F.col("doc_id") + place * 3 + F.col("b")) % 11 == 0, "zz").otherwise(w)
 
     hyp = F.filter(F.transform("toks", heard), lambda w: w.isNotNull())
-    return rows.withColumn("hyp", hyp).select("doc_id", "id", "category", "source", "backend", "toks", "hyp", "gold", F.array_join("hyp", " ").alias("actual"), (((F.col("doc_id") * 37 + F.col("b") * 113) % 900) / 100.0).alias("seconds"), F.when((F.col("doc_id") + F.col("b")) % 41 == 0, "timeout").alias("error"))
+    flags = F.when((F.col("doc_id") + F.col("b")) % 37 == 0, "minor, negation_flip").when((F.col("doc_id") + F.col("b")) % 31 == 0, "minor")
+    return rows.withColumn("hyp", hyp).select("doc_id", "id", "category", "source", "trust", "backend", "toks", "hyp", "gold", F.array_join("hyp", " ").alias("actual"), (((F.col("doc_id") * 37 + F.col("b") * 113) % 900) / 100.0).alias("seconds"), F.when((F.col("doc_id") + F.col("b")) % 41 == 0, "timeout").alias("error"), flags.alias("quality_flags"))
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +91,13 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "clips": f"""clips AS (SELECT *, array_to_string(toks, ' ') AS gold FROM (SELECT d.doc_id, 'clip_' || d.doc_id AS id, d.lang AS category, d.source, list_slice(regexp_extract_all(d."text", '{TOKEN}'), 1, 40) AS toks,
-      d.n_chars / 15.0 AS audio_seconds, CASE l.quality WHEN 1 THEN 'gold' WHEN 0 THEN 'silver' ELSE 'needs_human_review' END AS trust FROM documents d LEFT JOIN labels l USING (doc_id)))""",
-    "runs": """runs AS (SELECT *, array_to_string(hyp, ' ') AS actual FROM (SELECT c.doc_id, c.id, c.category, c.source, c.toks, c.gold, b.backend,
+    "clips": f"""clips AS (SELECT *, length(gold) / 15.0 AS audio_seconds FROM (SELECT *, 'clip_' || doc_id AS id, array_to_string(toks, ' ') AS gold FROM (
+      SELECT doc_id * {STEP} + part AS doc_id, category, source, trust, list_slice(words, part * 40 + 1, part * 40 + 40) AS toks FROM (SELECT *, unnest(range(greatest(1, (len(words) + 39) // 40))) AS part FROM (
+        SELECT d.doc_id, d.lang AS category, d.source, regexp_extract_all(d."text", '{TOKEN}') AS words, CASE l.quality WHEN 1 THEN 'gold' WHEN 0 THEN 'silver' ELSE 'needs_human_review' END AS trust FROM documents d LEFT JOIN labels l USING (doc_id))))))""",
+    "runs": """runs AS (SELECT *, array_to_string(hyp, ' ') AS actual FROM (SELECT c.doc_id, c.id, c.category, c.source, c.trust, c.toks, c.gold, b.backend,
       list_filter(list_transform(c.toks, lambda x, i: CASE WHEN (c.doc_id * 7 + i * 5 + b.b * 3) % (9 - 2 * b.b) = 0 THEN NULL WHEN (c.doc_id + i * 3 + b.b) % 11 = 0 THEN 'zz' ELSE x END), lambda x: x IS NOT NULL) AS hyp,
-      ((c.doc_id * 37 + b.b * 113) % 900) / 100.0 AS seconds, CASE WHEN (c.doc_id + b.b) % 41 = 0 THEN 'timeout' END AS error
+      ((c.doc_id * 37 + b.b * 113) % 900) / 100.0 AS seconds, CASE WHEN (c.doc_id + b.b) % 41 = 0 THEN 'timeout' END AS error,
+      CASE WHEN (c.doc_id + b.b) % 37 = 0 THEN 'minor, negation_flip' WHEN (c.doc_id + b.b) % 31 = 0 THEN 'minor' END AS quality_flags
       FROM clips c, (VALUES (0, 'fast'), (1, 'accurate'), (2, 'tiny')) b(b, backend)))""",
     "attempts": """attempts AS (SELECT event_id AS ordinal, 'r' || event_id AS run_id, ts AS created_at, user_id,
       CASE event_type WHEN 'view' THEN 'paste_attempted' WHEN 'click' THEN 'finalizer_replaced' WHEN 'purchase' THEN 'copy_fallback' WHEN 'signup' THEN 'no_speech' WHEN 'error' THEN 'failed' END AS status,
