@@ -134,8 +134,19 @@ def latency_score(seconds: Column) -> Column:
     return F.when(seconds <= 1, 1.0).when(seconds <= 2, 0.85).when(seconds <= 4, 0.65).when(seconds <= 8, 0.35).otherwise(0.0)
 
 
-#: Places of quantiles among n sorted values, by definition.
-PLACES = {"half_even": lambda p, n: F.bround(F.lit(p) * (n - 1), 0), "floor": lambda p, n: F.floor(F.lit(p) * (n - 1)), "half_up": lambda p, n: F.floor(F.lit(p) * (n - 1) + 0.5)}
+def _around(p: float, n: Column) -> Column:
+    """The place behind which the quantile of an open range lies, from 1 on."""
+    return F.least(F.greatest(F.floor(F.lit(p) * (n + 1) + 1e-9), F.lit(1)), F.greatest(n - 1, F.lit(1)))
+
+
+#: Places of quantiles among n sorted values, by definition; before and behind: those that the quantile of an open range lies between.
+PLACES = {
+    "before": lambda p, n: _around(p, n) - 1,
+    "behind": lambda p, n: F.least(_around(p, n), n - 1),
+    "half_even": lambda p, n: F.bround(F.lit(p) * (n - 1), 0),
+    "floor": lambda p, n: F.floor(F.lit(p) * (n - 1)),
+    "half_up": lambda p, n: F.floor(F.lit(p) * (n - 1) + 0.5),
+}
 
 
 def percentiles(rows: DataFrame, by: str, value: str, p: float, methods: tuple[str, ...], ranges: int = 256) -> DataFrame:

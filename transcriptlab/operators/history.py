@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import percentiles as percentile_table
+from .reports import exclusive
 
 #: Rank of an attempt's status: a final text is worth more than a first paste.
 STATUS_RANK = {"finalizer_replaced": 4, "paste_attempted": 3, "copy_fallback": 2, "no_speech": 1, "failed": 0}
@@ -28,12 +29,14 @@ def status_counts(attempts: DataFrame) -> DataFrame:
 
 
 def percentiles(attempts: DataFrame, p: float = 0.95) -> DataFrame:
-    """The same quantile by four definitions."""
+    """The same quantile by five definitions."""
     timed = attempts.filter("release_to_paste IS NOT NULL")
     linear = timed.groupBy("status").agg(F.round(F.percentile("release_to_paste", F.lit(p)), 4).alias("linear"))
     placed = percentile_table(timed, "status", "release_to_paste", p, ("half_even", "floor", "half_up"))
+    opened = exclusive(timed, "status", "release_to_paste", p).select(F.col("status").alias("_open"), F.round("value", 4).alias("exclusive"))
+    linear = linear.join(opened, F.col("status").eqNullSafe(F.col("_open"))).drop("_open")
     both = linear.join(placed.withColumnRenamed("status", "_status"), F.col("status").eqNullSafe(F.col("_status")))
-    return both.select("status", "linear", *[F.round(m, 4).alias(m) for m in ("half_even", "floor", "half_up")])
+    return both.select("status", "linear", "exclusive", *[F.round(m, 4).alias(m) for m in ("half_even", "floor", "half_up")])
 
 
 def rolling_health(attempts: DataFrame, length: str = "1 hour", slide: str | None = None) -> DataFrame:

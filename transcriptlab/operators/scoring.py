@@ -11,7 +11,7 @@ from .review import term_coverage
 
 
 def score_runs(runs: DataFrame, mode: str = "meaning", terms: str | None = None) -> DataFrame:
-    """runs with wer, meaning and term coverage, language preservation, repetition and the useful score.
+    """runs with wer, meaning and term coverage, language preservation, repetition, the useful score and that of verbatim mode.
 
     runs: gold, actual, seconds, error; category and quality_flags where there are such; terms names a column of expected terms, without
     which they are the reference's anchors.  Parts are rounded to 3 digits before they are used further, and the score last, where a half goes up; the flags use the unrounded score.
@@ -28,10 +28,10 @@ def score_runs(runs: DataFrame, mode: str = "meaning", terms: str | None = None)
     rows = rows.withColumn("reliability_score", F.when(F.col("error").isNotNull(), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - F.least("repeat", F.lit(1.0))), 3)))
     said = F.coalesce("term_coverage", "meaning_coverage")
     useful = 0.45 * F.col("meaning_coverage") + 0.20 * said + 0.15 * F.greatest(F.lit(0.0), 1 - F.least("wer", F.lit(1.0))) + 0.10 * F.col("speed_score") + 0.10 * F.col("reliability_score")
-    if mode == "verbatim":
-        mixed = M.mixed_language(F.col("category") if "category" in runs.columns else F.lit(None), F.col("gold"))
-        useful = F.when(mixed, useful * (0.65 + 0.35 * F.col("language_score"))).otherwise(useful)
-    rows = rows.withColumn("_useful", F.when(F.col("critical"), F.least(useful, F.lit(0.5))).otherwise(useful))
+    mixed = M.mixed_language(F.col("category") if "category" in runs.columns else F.lit(None), F.col("gold"))
+    verbatim = F.when(mixed, useful * (0.65 + 0.35 * F.col("language_score"))).otherwise(useful)
+    capped = lambda c: F.when(F.col("critical"), F.least(c, F.lit(0.5))).otherwise(c)
+    rows = rows.withColumn("_useful", capped(verbatim if mode == "verbatim" else useful)).withColumn("verbatim_score", F.round(capped(verbatim) + 1e-9, 3))
     clean = F.col("error").isNull() & (F.col("repeat") < 0.2)
     usable = (F.col("_useful") >= 0.75) & (F.col("seconds") <= 2.5) & clean & ~F.col("critical")
     return rows.withColumn("useful_score", F.round(F.col("_useful") + 1e-9, 3)).withColumn("usable", usable).withColumn("fast", F.col("seconds") <= 1.5).withColumn("hang_risk", (F.col("seconds") > 6) | ~clean).drop("_useful")

@@ -63,8 +63,9 @@ w AS (SELECT *, CASE WHEN len(r) = 0 THEN CASE WHEN len(h) = 0 THEN 0.0 ELSE 1.0
 x AS (SELECT *, CASE WHEN seconds <= 1 THEN 1.0 WHEN seconds <= 2 THEN 0.85 WHEN seconds <= 4 THEN 0.65 WHEN seconds <= 8 THEN 0.35 ELSE 0.0 END::DOUBLE AS speed,
   CASE WHEN error IS NOT NULL THEN 0.0 ELSE round(greatest(0.0, 1 - least(repeat, 1.0)), 3) END::DOUBLE AS reliable, error IS NULL AND repeat < 0.2 AS clean FROM w),
 y AS (SELECT *, 0.45::DOUBLE * meaning_coverage + 0.20::DOUBLE * coalesce(term_coverage, meaning_coverage) + 0.15::DOUBLE * greatest(0.0, 1 - least(wer, 1.0)) + 0.10::DOUBLE * speed + 0.10::DOUBLE * reliable AS raw_score FROM x),
-z AS (SELECT *, CASE WHEN critical THEN least(raw_score, 0.5) ELSE raw_score END AS useful FROM y),
-scored AS (SELECT doc_id, id, category, source, trust, backend, wer, meaning_coverage, term_coverage, critical, seconds, error, round(useful + 1e-9, 3) AS useful_score, repeat, useful >= 0.75 AND seconds <= 2.5 AND clean AND NOT critical AS usable, seconds <= 1.5 AS fast, seconds > 6 OR NOT clean AS hang_risk FROM z)
+v AS (SELECT *, CASE WHEN {T.mixed('category', 'gold')} THEN raw_score * (0.65 + 0.35 * {T.language('gold', 'actual')}) ELSE raw_score END AS raw_verbatim FROM y),
+z AS (SELECT *, CASE WHEN critical THEN least(raw_score, 0.5) ELSE raw_score END AS useful, CASE WHEN critical THEN least(raw_verbatim, 0.5) ELSE raw_verbatim END AS verbatim FROM v),
+scored AS (SELECT doc_id, id, category, source, trust, backend, wer, meaning_coverage, term_coverage, critical, seconds, error, round(useful + 1e-9, 3) AS useful_score, round(verbatim + 1e-9, 3) AS verbatim_score, repeat, useful >= 0.75 AND seconds <= 2.5 AND clean AND NOT critical AS usable, seconds <= 1.5 AS fast, seconds > 6 OR NOT clean AS hang_risk FROM z)
 """
 )
 _INDEX = "CAST({} AS BIGINT)"
@@ -88,8 +89,8 @@ SELECT backend, metric, round(value, 4) AS value, threshold, CASE WHEN metric LI
     "attempt_health": v.with_views("attempts") + "SELECT CAST(created_at AS DATE) AS day, count(*) AS n, round(avg(paste_success::INT), 4) AS success_rate, round(avg((status = 'no_speech')::INT), 4) AS blank_rate, round(quantile_cont(release_to_paste, 0.5), 4) AS p50, round(quantile_cont(release_to_paste, 0.95), 4) AS p95 FROM attempts GROUP BY 1",
     "status_counts": v.with_views("attempts") + "SELECT status, count(*) AS n, count(*) FILTER (WHERE release_to_paste IS NULL) AS without_time FROM attempts GROUP BY 1",
     "percentile_family": v.with_views("attempts")
-    + """, a AS (SELECT status, list_sort(list(release_to_paste)) AS x, count(*) AS n, quantile_cont(release_to_paste, 0.95) AS q FROM attempts WHERE release_to_paste IS NOT NULL GROUP BY 1)
-SELECT status, round(q, 4) AS linear, round(x[CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) + 1], 4) AS half_even, round(x[CAST(floor(0.95 * (n - 1)) AS BIGINT) + 1], 4) AS floor, round(x[CAST(floor(0.95 * (n - 1) + 0.5) AS BIGINT) + 1], 4) AS half_up FROM a""",
+    + """, a AS (SELECT status, list_sort(list(release_to_paste)) AS x, count(*) AS n, quantile_cont(release_to_paste, 0.95) AS q, CAST(least(greatest(floor(0.95 * (count(*) + 1) + 1e-9), 1), greatest(count(*) - 1, 1)) AS BIGINT) AS j FROM attempts WHERE release_to_paste IS NOT NULL GROUP BY 1)
+SELECT status, round(q, 4) AS linear, round(CASE WHEN n = 1 THEN x[1] ELSE x[j] * (1 - (0.95 * (n + 1) - j)) + x[j + 1] * (0.95 * (n + 1) - j) END, 4) AS exclusive, round(x[CAST(round_even(0.95 * (n - 1), 0) AS BIGINT) + 1], 4) AS half_even, round(x[CAST(floor(0.95 * (n - 1)) AS BIGINT) + 1], 4) AS floor, round(x[CAST(floor(0.95 * (n - 1) + 0.5) AS BIGINT) + 1], 4) AS half_up FROM a""",
     "rolling_health_tumbling": v.with_views("attempts") + "SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS start, count(*) AS n, count(*) FILTER (WHERE paste_success) AS successes FROM attempts GROUP BY 1",
     "rolling_health_sliding": v.with_views("attempts") + "SELECT time_bucket(INTERVAL 10 MINUTE, created_at) - o * INTERVAL 10 MINUTE AS start, count(*) AS n, count(*) FILTER (WHERE paste_success) AS successes FROM attempts, range(0, 6) r(o) GROUP BY 1",
     "session_funnel": v.with_views("attempts")

@@ -267,11 +267,11 @@ UNION ALL SELECT 'given_twice', tool, corpus_id FROM r GROUP BY tool, corpus_id
     "chunk_grid": v.with_views("clips") + """SELECT id, chunk, round(chunk * 5.0::DOUBLE, 3) AS start, round(least(chunk * 5.0::DOUBLE + 6, s), 3) AS stop FROM (SELECT id, audio_seconds::DOUBLE AS s, unnest(range(CAST(ceil(audio_seconds::DOUBLE / 5) AS BIGINT))) AS chunk FROM clips WHERE audio_seconds > 0)
 WHERE chunk = 0 OR least(chunk * 5.0::DOUBLE + 6, s) - chunk * 5.0::DOUBLE >= 1""",
     "field_scorecard": v.with_views("clips", "runs")
-    + f""", t AS (SELECT backend AS field, list_transform(toks, lambda x: lower(x)) AS r, CASE WHEN error IS NULL THEN list_transform(hyp, lambda x: lower(x)) ELSE [] END AS h FROM runs), u AS (SELECT *, {_wer()} AS wer FROM t)
+    + f""", t AS (SELECT backend AS field, list_transform(toks, lambda x: lower(x)) AS r, CASE WHEN error IS NULL THEN list_transform(hyp, lambda x: lower(x)) ELSE [] END AS h FROM runs), u AS (SELECT *, {_wer('k')} AS wer FROM (SELECT *, list_distinct(list_concat(r, h)) AS k FROM t))
 SELECT field, count(*) AS n, count(*) FILTER (WHERE len(h) = 0) AS blank, count(*) FILTER (WHERE wer = 0) AS perfect, count(*) FILTER (WHERE wer > 0.5) AS poor, count(*) FILTER (WHERE len(list_filter(range(1, len(h)), lambda i: h[i] = h[i + 1])) * 1000.0 / greatest(len(h), 1) >= 0.5) AS repeated FROM u GROUP BY 1""",
     "prefix_quality": v.with_views("clips", "drafts")
     + f""", t AS (SELECT t_ms, list_transform(c.toks[1:len(d.words)], lambda x: lower(x)) AS r, list_transform(d.words, lambda x: lower(x)) AS h FROM drafts d JOIN clips c USING (doc_id))
-SELECT t_ms, count(*) AS n, round(avg({_wer()}) + 1e-9, 4) AS wer FROM t GROUP BY 1""",
+SELECT t_ms, count(*) AS n, round(avg({_wer('k')}) + 1e-9, 4) AS wer FROM (SELECT *, list_distinct(list_concat(r, h)) AS k FROM t) GROUP BY 1""",
     "stitched": f"""WITH RECURSIVE w AS (SELECT conv_id, turn, regexp_extract_all("text", '{_WORD}') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 b AS (SELECT a.conv_id, a.k, CASE WHEN len(p.x) > 0 THEN list_concat(list_slice(p.x, len(p.x) - CAST(least((a.conv_id + a.turn) % 4, len(p.x)) AS BIGINT) + 1, len(p.x)), a.x) ELSE a.x END AS x FROM w a LEFT JOIN w p ON a.conv_id = p.conv_id AND a.k = p.k + 1),
 l AS (SELECT conv_id, k, x AS said FROM b WHERE k = 1 UNION ALL SELECT b.conv_id, b.k, list_concat(l.said, list_slice(b.x, CAST(coalesce(list_max(list_filter(range(1, least(12, len(l.said), len(b.x)) + 1),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import meaning as M
+from ..functions import texts as X
 
 
 def quoted(text: str) -> str:
@@ -58,3 +59,38 @@ def hit(term: str) -> str:
 def critical(actual: str, flags: str) -> str:
     said = f"lower(trim({actual}))"
     return f"({said} LIKE '{M.FAILED_START}%' OR {said} IN ({', '.join(map(quoted, M.FAILED_TEXTS))}) OR list_has_any(regexp_split_to_array(lower(coalesce({flags}, '')), '[,;\\s]+'), {listed(M.CRITICAL_FLAGS)}))"
+
+
+def scripts(text: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({text}, '{p}') THEN '{n}' END" for n, p in M.SCRIPTS.items()) + "], lambda z: z IS NOT NULL)"
+
+
+def language(gold: str, actual: str) -> str:
+    want = scripts(gold)
+    return f"CASE WHEN len({want}) = 0 THEN 1.0 ELSE len(list_intersect({want}, {scripts(actual)}))::DOUBLE / len({want}) END"
+
+
+def mixed(category: str, gold: str) -> str:
+    return f"(regexp_matches(lower({category}), '{'|'.join(M.MIXED_CATEGORIES)}') OR regexp_matches({gold}, '[\\x{{0900}}-\\x{{097F}}\\x{{4E00}}-\\x{{9FFF}}]'))"
+
+
+def spoken(text: str) -> str:
+    """Lower case, short negations written out, number words as digits, everything else than a-z and 0-9 a blank."""
+    text = f"lower({text})"
+    for verb, full in X.NEGATED.items():
+        text = f"regexp_replace({text}, '\\b{verb} *n *[''’]? *t\\b', '{full} not', 'g')"
+    text = f"regexp_replace({text}, '\\bcannot\\b', 'can not', 'g')"
+    for word, digits in X.NUMBERS.items():
+        text = f"replace({text}, '{word}', '{digits}')"
+    return f"trim(regexp_replace({text}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+BLANKS = "[\\x20\\x09-\\x0D]+"
+
+
+def stripped(text: str) -> str:
+    return f"regexp_replace(coalesce({text}, ''), '^{BLANKS}|{BLANKS}$', '', 'g')"
+
+
+def spaced(text: str) -> str:
+    return f"regexp_replace({stripped(text)}, '{BLANKS}', ' ', 'g')"

@@ -28,6 +28,23 @@ def append_attempts(df: DataFrame, path: str) -> None:
     df.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
+def append_events(df: DataFrame, path: str) -> None:
+    """Events (event, run_id, created_at, fields) as JSON lines by day."""
+    df.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").json(path)
+
+
+def write_results(df: DataFrame, path: str, batch: str) -> None:
+    """Results of a batch, all of them or none; a batch that is written again replaces itself, others stay.
+
+    A reader sees a batch only once its files are committed, so that a job which is stopped goes on with the batches that lack.
+    """
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def upsert_clips(base: DataFrame, delta: DataFrame) -> DataFrame:
     """base with delta's values where it has them, and delta's new clips; benchmark texts are merged by name."""
     b, d = base.alias("b"), delta.alias("d")

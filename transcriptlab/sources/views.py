@@ -90,6 +90,21 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "k", (F.col("k") * 1500).alias("t_ms"), changed.alias("words"))
 
 
+#: States of attempts in turn.
+STATES = ("too_short", "paste_attempted", "paste_attempted", "finalizer_replaced", "no_speech", "copy_fallback", "paste_attempted")
+
+
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts with texts: every turn of a conversation, with what was heard, pasted and corrected; two turns share a recording."""
+    rows = table(spark, sf_dir, "conversations").withColumn("ordinal", F.col("conv_id") * 1000 + F.col("turn"))
+    status = F.get(F.array(*map(F.lit, STATES)), ((F.col("conv_id") + F.col("turn")) % 7).cast("int"))
+    pasted = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), "text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" ok")))
+    corrected = F.when(F.col("conv_id") % 4 == 0, "").when(F.col("conv_id") % 4 == 1, F.concat("text", F.lit(" with the API model")))
+    app = F.when(F.col("conv_id") % 3 == 0, "Codex").when(F.col("conv_id") % 3 == 1, "Notes")
+    rows = rows.select("ordinal", F.concat(F.lit("r-"), "conv_id", F.lit("-"), "turn").alias("run_id"), F.concat(F.lit("a"), "conv_id", F.lit("_"), F.floor(F.col("turn") / 2)).alias("audio_path"), status.alias("status"), F.when(F.col("ordinal") % 13 == 0, "blank_or_no_speech").alias("error_type"), F.col("text").alias("raw_text"), pasted.alias("pasted_text"), corrected.alias("corrected_text"), (F.length("text") / 15.0).alias("seconds"), app.alias("app"))
+    return rows.withColumn("paste_success", F.col("status").isin("paste_attempted", "finalizer_replaced", "copy_fallback"))
+
+
 SQL = {
     "clips": f"""clips AS (SELECT *, length(gold) / 15.0 AS audio_seconds FROM (SELECT *, 'clip_' || doc_id AS id, array_to_string(toks, ' ') AS gold FROM (
       SELECT doc_id * {STEP} + part AS doc_id, category, source, trust, list_slice(words, part * 40 + 1, part * 40 + 40) AS toks FROM (SELECT *, unnest(range(greatest(1, (len(words) + 39) // 40))) AS part FROM (
@@ -103,6 +118,10 @@ SQL = {
       CASE event_type WHEN 'view' THEN 'paste_attempted' WHEN 'click' THEN 'finalizer_replaced' WHEN 'purchase' THEN 'copy_fallback' WHEN 'signup' THEN 'no_speech' WHEN 'error' THEN 'failed' END AS status,
       event_type IN ('view', 'click') AS paste_success, CASE WHEN event_type NOT IN ('signup', 'error') THEN value / 50.0 END AS release_to_paste,
       user_id || ':' || strftime(ts, '%Y-%m-%d') AS audio_path FROM events)""",
+    "utterances": f"""utterances AS (SELECT *, status IN ('paste_attempted', 'finalizer_replaced', 'copy_fallback') AS paste_success FROM (SELECT conv_id * 1000 + turn AS ordinal, 'r-' || conv_id || '-' || turn AS run_id, 'a' || conv_id || '_' || (turn // 2) AS audio_path,
+      [{", ".join(f"'{x}'" for x in STATES)}][(conv_id + turn) % 7 + 1] AS status, CASE WHEN (conv_id * 1000 + turn) % 13 = 0 THEN 'blank_or_no_speech' END AS error_type, "text" AS raw_text,
+      CASE turn % 3 WHEN 0 THEN '  ' || "text" WHEN 1 THEN "text" || ' ok' END AS pasted_text, CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN "text" || ' with the API model' END AS corrected_text,
+      length("text") / 15.0 AS seconds, CASE conv_id % 3 WHEN 0 THEN 'Codex' WHEN 1 THEN 'Notes' END AS app FROM conversations))""",
     "segments": """segments AS (SELECT conv_id, turn, duration, compute, sum(duration) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS stop
       FROM (SELECT conv_id, turn, length("text") / 15.0 AS duration, ((conv_id * 17 + turn * 29) % 70) / 10.0 AS compute FROM conversations))""",
     "captions": """captions AS (SELECT conv_id, turn, "text", turn * 6.0 AS start, turn * 6.0 + 4 + conv_id % 5 AS stop FROM conversations)""",
