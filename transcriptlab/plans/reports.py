@@ -133,7 +133,7 @@ def _violations(s, d):
 
 
 def _counts(column):
-    return lambda s, d: v.clips(s, d).select(column.alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    return lambda s, d: v.clips(s, d).select(column().alias("value")).groupBy("value").agg(F.count("*").alias("n"))
 
 
 def _reviews(s, d):
@@ -207,7 +207,10 @@ def _seconds(s, d):
     return v.runs(s, d).groupBy(tool.alias("tool")).agg(F.count(value).alias("n"), F.round(F.avg(value), 4).alias("seconds"))
 
 
-_ORDINAL = F.when(F.col("status") == "finalizer_replaced", 2).when(F.col("status") == "paste_attempted", 1).otherwise(0)
+def _later(s, d):
+    rank = F.when(F.col("status") == "finalizer_replaced", 2).when(F.col("status") == "paste_attempted", 1).otherwise(0)
+    return intake_checks.later_success(v.utterances(s, d), rank)
+
 
 QUERIES = {
     "filled_results": _filled,
@@ -235,14 +238,14 @@ QUERIES = {
     "selection_summary": _selected,
     "corpus_violations": _violations,
     "term_checklist": lambda s, d: reports.term_checklist(v.table(s, d, "documents").select("doc_id", "text"), CHECKS, 3),
-    "two_way_buckets": _counts(R.two_way_bucket(F.col("gold"), F.col("category"), MARKS)),
-    "clip_categories": _counts(R.clip_category(F.when(F.col("doc_id") % 3 == 0, F.col("category")), F.concat("gold", F.when(F.col("doc_id") % 4 == 0, " kaise problem").when(F.col("doc_id") % 4 == 1, " नमस्ते").otherwise("")))),
-    "release_trusted": _counts(R.release_trusted(F.col("doc_id") % 9 == 0, F.col("doc_id") % 7 == 0, F.col("trust"), F.col("gold"))),
+    "two_way_buckets": _counts(lambda: R.two_way_bucket(F.col("gold"), F.col("category"), MARKS)),
+    "clip_categories": _counts(lambda: R.clip_category(F.when(F.col("doc_id") % 3 == 0, F.col("category")), F.concat("gold", F.when(F.col("doc_id") % 4 == 0, " kaise problem").when(F.col("doc_id") % 4 == 1, " नमस्ते").otherwise("")))),
+    "release_trusted": _counts(lambda: R.release_trusted(F.col("doc_id") % 9 == 0, F.col("doc_id") % 7 == 0, F.col("trust"), F.col("gold"))),
     "length_fits": lambda s, d: v.table(s, d, "documents").groupBy("lang", R.length_fits(F.col("text")).alias("fits")).agg(F.count("*").alias("n")),
     "review_statuses": _reviews,
     "gold_candidates": lambda s, d: intake_checks.gold_candidates(v.utterances(s, d), 300).select("audio_path", "ordinal", F.md5("text").alias("text_md5")),
     "work_candidates": _work,
-    "later_success": lambda s, d: intake_checks.later_success(v.utterances(s, d), _ORDINAL),
+    "later_success": _later,
     "learnable_texts": _learnable,
     "safe_ids": lambda s, d: v.table(s, d, "pages").select("page_id", R.safe_id(F.col("url")).alias("safe")),
     "best_safe": _safe,
