@@ -35,14 +35,14 @@ QUERIES = {
     "dup_suffix": lambda s, d: corpus.number_repeats(v.clips(s, d)),
     "first_wins_text": lambda s, d: corpus.first_wins(v.clips(s, d)),
     "even_sample": lambda s, d: corpus.even_sample(v.clips(s, d), 5),
-    "best_match_prompt": lambda s, d: corpus.best_match(v.table(s, d, "documents"), v.table(s, d, "benchmark")),
+    "best_match_prompt": lambda s, d: corpus.best_match(v.spread(v.table(s, d, "documents")), v.table(s, d, "benchmark")),
     "caption_window": lambda s, d: corpus.captions_in_window(v.captions(s, d)),
     "pipeline_tail": lambda s, d: corpus.pipeline_tail(v.segments(s, d)),
     "stable_prefix": lambda s, d: corpus.stable_prefix(v.drafts(s, d)),
     "silence_windows": lambda s, d: corpus.silence(v.table(s, d, "embeddings")),
     "language_mix": lambda s, d: corpus.language_mix(v.table(s, d, "documents")),
-    "mine_terms": lambda s, d: corpus.mine_terms(v.table(s, d, "documents")),
-    "vocabulary": lambda s, d: corpus.vocabulary(v.table(s, d, "documents")),
+    "mine_terms": lambda s, d: corpus.mine_terms(v.spread(v.table(s, d, "documents"))),
+    "vocabulary": lambda s, d: corpus.vocabulary(v.spread(v.table(s, d, "documents"))),
     "correction_context": lambda s, d: corpus.correction_context(v.table(s, d, "conversations")),
     "weighted_rank": lambda s, d: corpus.weighted_rank(v.table(s, d, "part")),
 }

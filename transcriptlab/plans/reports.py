@@ -381,7 +381,7 @@ t AS (SELECT id, backend, h, x.p AS p, x.s AS source, array_to_string(x.w, ' ')
 c AS (SELECT *, list_distinct(list_concat(r, h)) AS k, {T.concepts('r')} AS cr, {T.concepts('h')} AS ch, {T.anchors('gold')} AS terms FROM t),
 m AS (SELECT *, CASE WHEN gold = '' THEN 1.0 ELSE {_wer('k')} END AS wer, CASE WHEN gold = '' THEN 0.0 WHEN len(cr) = 0 THEN 1.0 ELSE round(len(list_intersect(cr, ch))::DOUBLE / len(cr), 3) END AS coverage, CASE WHEN len(terms) > 0 THEN round(len(list_filter(terms, lambda x: {T.hit('x')}))::DOUBLE / len(terms), 3) END AS tc FROM c),
 z AS (SELECT *, 0.70::DOUBLE * coverage + 0.20::DOUBLE * coalesce(tc, coverage) + 0.10::DOUBLE * greatest(0.0, 1 - least(wer, 1.0)) AS score FROM m)
-SELECT id, backend, source, round(score + 1e-9, 3) AS score, coverage, wer FROM (SELECT *, row_number() OVER (PARTITION BY id, backend ORDER BY score DESC, p) AS k FROM z) WHERE k = 1""",
+SELECT id, backend, source, round(score + 1e-9, 3) AS score, coverage, wer FROM (SELECT *, row_number() OVER (PARTITION BY id, backend ORDER BY score DESC, p) AS place FROM z) WHERE place = 1""",
     "merged_corpora": _CLIPS
     + """, c AS (SELECT id, category, 'trusted' AS source_corpus, NULL::VARCHAR AS trust, 0 AS p FROM clips WHERE trust = 'gold' UNION ALL SELECT id, category, 'all', trust, 1 FROM clips)
 SELECT CASE WHEN n > 1 THEN id || '__dup' || n ELSE id END AS id, category, source_corpus, trust FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS n FROM c)""",
