@@ -3,6 +3,7 @@ import re
 import time
 from collections import Counter, defaultdict
 from html import unescape
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transcriptlab.llm import ann, chat, html, linedup, mixing, neardup, packing, queries, secrets, topk, toxicity, vectors
-from transcriptlab.llm.common import table
+from transcriptlab.llm.common import stash, table
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, tid string, size string"
@@ -155,6 +156,24 @@ def test_packing_is_best_fit(spark):
     assert used == sorted(64 - r for r in rooms)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_chooses_the_cheapest_set_of_lengths(seed):
+    rng = np.random.default_rng(seed)
+    lengths = (16, 24, 40, 64)
+    histogram = Counter(rng.integers(1, 65, 300).tolist() if seed % 2 else np.minimum(rng.geometric(0.08, 300), 64).tolist())
+    cost = (lambda n: float(n)) if seed < 2 else packing.default_cost
+    total, slots, bins = packing.best_plan(histogram, lengths, cost)
+    options = []
+    for k in range(len(lengths)):
+        for some in combinations(lengths[:-1], k):
+            _, _, b = packing.plan(histogram, (*some, lengths[-1]), cost)
+            options.append(sum(n * cost(min(x for x in lengths if x >= u)) for u, n in zip(b["used"].tolist(), b["count"].tolist(), strict=True)))
+    assert abs(total - min(options)) < 1e-6 and len(set(options)) > 1
+    # every word has a place, no bin is over its length, and each is as short as its contents allow
+    assert sum(s * n for s, n in histogram.items()) == int((bins["used"] * bins["count"]).sum())
+    assert all(length == min(x for x in lengths if x >= used) for length, used in zip(bins["length"].tolist(), bins["used"].tolist(), strict=True))
+
+
 def test_mixing(spark):
     rows = [(i, " ".join(["w"] * (5 + i % 7)), f"s{i % 4}" if i % 9 else None) for i in range(400)] + [(1000, None, "s0"), (1001, "", "none")]
     data = docs(spark, rows)
@@ -187,6 +206,15 @@ def test_mixing(spark):
     assert mixing.mix(data.limit(0)).count() == 0 and all(r.taken == 0 for r in mixing.mix(data.filter("size = 'y' AND doc_id >= 1000")).collect())
 
 
+def test_mixing_of_odd_rows(spark):
+    """Repeated rows, a null id, null and empty texts and a very long one: each row has its own line of the answer."""
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (None, "d e", "x"), (2, None, "x"), (3, "", "y"), (4, LONG, "y"), (5, "f", None)]
+    out = mixing.mix(docs(spark, rows), block=8).collect()
+    assert len(out) == len(rows) and sum(r["size"] for r in out) == 3 + 3 + 2 + 30_000 + 1
+    assert all(0 <= r.taken <= 3 * r["size"] for r in out) and {r["size"] for r in out if r.doc_id in (2, 3)} == {0}
+    assert len([r for r in out if r.doc_id is None]) == 1 and all(r.target <= 3 * r.source_size + 1e-9 for r in out)
+
+
 def jaccard(a, b):
     cut = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set()
     a, b = cut(a.split()), cut(b.split())
@@ -500,6 +528,40 @@ def test_toxicity_trains_once_on_repeated_rows_and_within_its_words(spark, monke
     assert len(seen[2]) == len(seen[0]) - 1 and sum(seen[2]) <= 800
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage over all rows that the one before kept, held against plain Python."""
+    import corpus_pipeline
+
+    before = table(spark, DATA, "documents")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stash(stage(spark, before, DATA))
+        kept[name] = (before.collect(), after.collect())
+        before = after
+    rows, out = kept["toxicity"]
+    rejected = {r.doc_id for r in toxicity.op10_toxicity(spark, DATA).collect() if r.flagged}
+    assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in rows if r.doc_id not in rejected)
+    rows, out = kept["line dedup"]
+    pages, held = Counter(r.source for r in rows), Counter((r.source, x) for r in rows for x in {y.strip(" ") for y in (r.text or "").split("\n")} if x)
+    drop = {k for k, n in held.items() if n >= linedup.MIN_PAGES and n > linedup.RATIO * pages[k[0]]}
+    want = {r.doc_id: "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" ")) not in drop) for r in rows}
+    assert {r.doc_id: r.text for r in out} == want and all(r.n_chars == len(r.text) for r in out)
+    rows, out = kept["near dedup"]
+    cut = {r.doc_id: frozenset(zip(*[r.text.split()[i:] for i in range(5)], strict=False)) if len(r.text.split()) >= 5 else frozenset([tuple(r.text.split())]) if r.text.split() else frozenset() for r in rows}
+    label = {i: i for i in cut}
+    for i, j in combinations(sorted(cut), 2):
+        a, b = cut[i], cut[j]
+        if label[i] != label[j] and (a == b or (a and b and len(a & b) >= 0.8 * len(a | b))):
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = {k: new if v == old else v for k, v in label.items()}
+    assert sorted(r.doc_id for r in out) == sorted(set(label.values()))
+    rows, out = kept["mixing"]
+    times = {r.doc_id: round(r.taken / r["size"]) if r["size"] else 0 for r in mixing.mix(spark.createDataFrame(rows)).collect()}
+    assert Counter(r.doc_id for r in out) == Counter({i: n for i, n in times.items() if n})
+    rows, out = kept["packing"]
+    assert sum(r["size"] for r in out) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows) and all(r["size"] <= max(packing.LENGTHS) for r in out)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
