@@ -13,13 +13,13 @@ from .review import term_coverage
 def score_runs(runs: DataFrame, mode: str = "meaning", terms: str | None = None) -> DataFrame:
     """runs with wer, meaning and term coverage, language preservation, repetition, the useful score and that of verbatim mode.
 
-    runs: gold, actual, seconds, error; category and quality_flags where there are such; terms names a column of expected terms, without
+    runs: gold, actual, seconds, error; category, quality_flags and the words of both texts (toks, hyp) where there are such; terms names a column of expected terms, without
     which they are the reference's anchors.  Parts are rounded to 3 digits before they are used further, and the score last, where a half goes up; the flags use the unrounded score.
     Where no terms are expected their part is that of meaning.  In verbatim mode texts of mixed languages lose up to 0.35 of
     their score with the scripts that they lack.  A critical error caps the score at 0.5, and such a transcript is never usable.
     """
-    ref, hyp = C.tokens(F.col("gold")), C.tokens(F.col("actual"))
-    rows = runs.withColumn("_ref", ref).withColumn("_hyp", hyp)
+    words = lambda known, text: F.transform(known, F.lower) if known in runs.columns else C.tokens(F.col(text))
+    rows = runs.withColumn("_ref", words("toks", "gold")).withColumn("_hyp", words("hyp", "actual"))
     rows = rows.withColumn("wer", C.word_error_rate(F.col("_ref"), F.col("_hyp"))).withColumn("meaning_coverage", C.coverage(M.concepts(F.col("_ref")), M.concepts(F.col("_hyp")))).withColumn("repeat", C.repeated_ngram_score(F.col("_hyp"))).drop("_ref", "_hyp")
     rows = term_coverage(rows.withColumn("_terms", M.expected_terms(F.col("gold"), F.col(terms) if terms else None)), "_terms").drop("_terms")
     rows = rows.withColumn("language_score", M.language_preservation(F.col("gold"), F.col("actual")))
