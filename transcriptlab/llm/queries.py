@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, html, linedup, mixing, neardup, packing, secrets, topk, toxicity
+from . import ann, chat, html, linedup, mixing, neardup, packing, repeats, secrets, topk, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_line_dedup": linedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op12_repeats": repeats.op12_repeats,
 }
 
 #: The others have no SQL form that runs on whole tables; their tests compare them with brute force.
