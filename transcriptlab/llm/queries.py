@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, html, linedup, mixing, neardup, negatives, packing, repeats, secrets, topk, toxicity
+from . import ann, chat, html, linedup, mixing, neardup, negatives, packing, repeats, secrets, topk, toxicity, variants
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -15,9 +15,10 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_line_dedup": linedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_variants": variants.op11_variants,
     "op12_repeats": repeats.op12_repeats,
     "op13_negatives": negatives.op13_negatives,
 }
 
 #: The others have no SQL form that runs on whole tables; their tests compare them with brute force.
-SQL = {"op1_chat": chat.OP1_SQL, "op2_topk": topk.OP2_SQL, "op4_secrets": secrets.OP4_SQL, "op9_line_dedup": linedup.OP9_SQL, "op13_negatives": negatives.OP13_SQL}
+SQL = {"op1_chat": chat.OP1_SQL, "op2_topk": topk.OP2_SQL, "op4_secrets": secrets.OP4_SQL, "op9_line_dedup": linedup.OP9_SQL, "op11_variants": variants.OP11_SQL, "op13_negatives": negatives.OP13_SQL}
