@@ -1,17 +1,15 @@
 """Reference texts chosen from what several systems heard.
 
 Candidates of a clip meet each other by an equi-join on the clip, so a clip makes as many pairs as the square of its
-number of systems.  Likeness of texts has no built-in form; it is found in batches, inside tasks.
+number of systems.  Likeness of texts comes from an alignment of their letters, in batches inside tasks.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.alignment import likeness
 
 # Words that show that an English clip was heard in another language.
 FOREIGN = ("sieht", "gut", "aus", "nicht", "danke", "bonjour", "gracias")
@@ -21,14 +19,9 @@ def comparable(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
 
 
-@F.arrow_udf(T.DoubleType())
-def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([1.0 if x == y else SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
-
-
 def similarity(a: Column, b: Column) -> Column:
     """Matched characters of the longest matching blocks, as a share of both texts; case and punctuation don't count."""
-    return _ratio(comparable(a), comparable(b))
+    return likeness(comparable(a), comparable(b))
 
 
 def usable(text: Column) -> Column:
