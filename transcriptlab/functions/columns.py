@@ -149,16 +149,17 @@ PLACES = {
 }
 
 
-def percentiles(rows: DataFrame, by: str, value: str, p: float, methods: tuple[str, ...], ranges: int = 256) -> DataFrame:
+def percentiles(rows: DataFrame, by: str, value: str, p: float, methods: tuple[str, ...], ranges: int = 64) -> DataFrame:
     """(by, a column for each method): the value of each group at the p-quantile's place among its sorted values; nulls don't count.
 
-    Values are counted, counts summed by ranges between the group's least and greatest value, and only the ranges that hold a
-    wanted place are ranked, so that no task holds or sorts a group.
+    Values are counted, counts summed by ranges that end at the group's approximate quantiles, and only the ranges that hold a
+    wanted place are ranked, so that no task holds or sorts a group, however its values lie.
     """
     counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ends = counted.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
-    wide = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * (ranges - 1))).otherwise(0)
-    placed = counted.join(ends.withColumnRenamed("g", "g2"), F.col("g").eqNullSafe(F.col("g2"))).withColumn("r", wide.cast("int")).select("g", "v", "c", "n", "r")
+    cuts = F.percentile_approx("v", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges)
+    ends = counted.groupBy("g").agg(F.array_distinct(cuts).alias("cuts"), F.sum("c").alias("n"))
+    below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
+    placed = counted.join(ends.withColumnRenamed("g", "g2"), F.col("g").eqNullSafe(F.col("g2"))).withColumn("r", below).select("g", "v", "c", "n", "r")
     sums = placed.groupBy("g", "n", "r").agg(F.sum("c").alias("s"))
     upto = Window.partitionBy("g").orderBy("r")  # at most a row for each range
     sums = sums.withColumn("before", F.sum("s").over(upto) - F.col("s"))
