@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .vectors import Method, gaps, merge, search, vectors
+from .vectors import Method, exact_gaps, gaps, merge, search, vectors
 
 LEAF, FIRST = 32, 2
 #: Points that may become a node's vantage point, and points that the choice looks at.
@@ -121,7 +121,8 @@ def tree_search(tree: Tree, x: np.ndarray, ids: np.ndarray, rids: np.ndarray, q:
 
 def nearest_in_ball(q: np.ndarray, centres: np.ndarray, radii: np.ndarray, norms: np.ndarray, factor: float) -> np.ndarray:
     """queries x balls: minus the least distance to a ball, times the factor."""
-    return -np.maximum(gaps(q, centres) - radii, 0) * factor + 1e-6
+    away = exact_gaps(q, centres)
+    return -np.maximum(away - radii, 0) * factor + 1e-11 * (away + radii)  # rounding must not prune
 
 
 def method(factor: float) -> Method:

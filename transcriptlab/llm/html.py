@@ -12,7 +12,9 @@ a menu or a sidebar, make their blocks bad.  Names that may as well be those of
 if the text outside of such elements is longer than that within.  A main element starts anew within both, an article
 within the latter; within the former it is read only if the page has no other text.
 Within it few stop words or many links leave a paragraph undecided, and the
-element's edges count as good neighbours, so that headings and short paragraphs stay with it.
+element's edges count as good neighbours, so that headings and short paragraphs stay with it; a long text of sentences there outweighs
+any name but an advert's.  An inline element that is noisier than the paragraph around it is left out, and the paragraph goes on behind it.
+A page of nothing but short blocks is read whole, but for its links and noise.
 
 Cases: null and empty html give an empty text; text without markup is one block and is judged like others;
 very long pages are read whole, in a time that grows with their length; open tags, stray end tags, cut entities and unknown tags are
@@ -46,19 +48,23 @@ STOP_WORDS = frozenset(
     """.split()
 )
 # Elements by what they are to a page.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-NEVER = frozenset("nav footer aside form head title noscript button select dialog menu iframe object".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
+NEVER = frozenset("nav footer aside form head title noscript button select datalist dialog menu iframe object".split())
 RAW = frozenset("script style textarea template svg xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first closes an open element of the second.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = BLOCKS - {"body", "head", "html", "li", "td", "tr", "th"}
 PARAGRAPHS = frozenset("p blockquote figcaption dd td h1 h2 h3 h4 h5 h6 pre".split())
+PARTS = frozenset("li td th dd dt figcaption caption pre blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class names, ids and their compounds.
 COMMENTS = frozenset("comment comments commentlist commenters respond replies disqus".split())
 PLAIN = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr newsletter subscribe subscription nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot copyright popup modal".split())
 DOUBTFUL = frozenset("side sidebar sidebars aside header masthead share sharing social related recommended recommendations widget widgets notice notices alert alerts banner banners promo promos promotion login signup toolbar skip toc disclaimer overlay form search".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors".split())
+#: Words beside a plain one that leave its meaning; others, as in ad-hoc or copyright-law, may give it another.
+BESIDE = frozenset("site slot unit box block bar top bottom item items list link links text inner outer area zone section google primary secondary global mobile desktop sticky fixed global inline center middle small large big new old bg id first last".split())
 LAYOUT = frozenset("has with no without layout by wrapper wrap container page body main content left right results grid column columns single full".split())
 HEADLINES = frozenset("entry article post story section headline".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -72,19 +78,24 @@ LOW, HIGH = 0.20, 0.32
 LINKS = 0.33
 
 
-CLEAN, SOFT, HARD, NEVERMORE = range(4)  # a name of a layout; a plain name; what an article doesn't undo
+#: A name of a layout; a plain name; that of an advert; what an article doesn't undo.
+CLEAN, SOFT, HARD, ADVERT, NEVERMORE = range(5)
 
 
 @dataclass(slots=True)
 class Block:
-    #: Of the element it stands in: how noisy, the number of its article, its tag, and its parent element's number.
+    #: Of the element it stands in: how noisy, the number of its article, its tag, and the numbers of the elements around it, innermost first.
     noise: int
     where: int
     tag: str
-    group: int
+    around: tuple[int, ...] = ()
     parts: list[str] = field(default_factory=list)
     links: int = 0
 
+    @property
+    def group(self) -> int:
+        return self.around[0] if self.around else 0
+
     def text(self) -> str:
         return SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
 
@@ -97,7 +108,8 @@ def named(value: str) -> int:
         if words & COMMENTS:
             level = SOFT if words & {"no", "without", "has", "with"} else NEVERMORE
         elif words & PLAIN:
-            level = SOFT if words & {"no", "without", "has", "with"} else HARD
+            other = {w for w in words - PLAIN - DOUBTFUL - LAYOUT - BESIDE if w and not w.isdigit()}
+            level = SOFT if other or words & {"no", "without", "has", "with"} else ADVERT if words & ADVERTS else HARD
         elif words & DOUBTFUL:
             level = CLEAN if "header" in words and words & HEADLINES else SOFT if words & LAYOUT else HARD
         else:
@@ -135,24 +147,37 @@ class Reader:
         self.open: dict[str, list[int]] = {}  # places in the stack by tag
         self.blocks: list[int] = []  # places of block-level elements
         self.articles = self.count = 0
-        self.now = Block(CLEAN, 0, "", 0)
+        #: Blocks that go on behind an inline element that is noisier than they are, with its place in the stack.
+        self.paused: list[tuple[int, Block]] = []
+        self.now = Block(CLEAN, 0, "")
 
-    def cut(self) -> None:
-        if self.now.parts:
-            self.out.append(self.now)
+    def block(self) -> Block:
+        """An empty block of the innermost open element."""
         _, noise, where, _ = self.stack[-1] if self.stack else ("", CLEAN, 0, 0)
-        tag, group = "", 0
-        if self.blocks:
-            tag = self.stack[self.blocks[-1]][0]
-            group = self.stack[self.blocks[-2]][3] if len(self.blocks) > 1 else 0
-        self.now = Block(noise, where, tag, group)
+        tag = self.stack[self.blocks[-1]][0] if self.blocks else ""
+        return Block(noise, where, tag, tuple(self.stack[b][3] for b in self.blocks[-2:-7:-1]))
+
+    def cut(self) -> None:
+        self.out += [b for b in (*(b for _, b in self.paused), self.now) if b.parts]
+        self.paused.clear()
+        self.now = self.block()
 
     def close(self, upto: int) -> None:
+        """Close elements; behind a noisier inline one the block around it goes on, or a new one begins if the element held blocks."""
+        inner = False
         while len(self.stack) > upto:
-            tag = self.stack.pop()[0]
+            tag, noise, _, _ = self.stack.pop()
             self.open[tag].pop()
             if tag in BLOCKS:
                 self.blocks.pop()
+            elif self.paused and self.paused[-1][0] == len(self.stack):
+                if self.now.parts:
+                    self.out.append(self.now)
+                self.now = self.paused.pop()[1]
+            else:
+                inner = inner or noise > (self.stack[-1][1] if self.stack else CLEAN)
+        if inner:
+            self.cut()
 
     def start(self, tag: str, attributes: str) -> None:
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
@@ -172,8 +197,11 @@ class Reader:
         if tag in BLOCKS:
             self.blocks.append(len(self.stack))
         self.stack.append((tag, noise, where, self.count))
-        if tag in BLOCKS or noise != before:
+        if tag in BLOCKS:
             self.cut()
+        elif noise != before:
+            self.paused.append((len(self.stack) - 1, self.now))
+            self.now = self.block()
 
     def end(self, tag: str) -> None:
         if self.open.get(tag):
@@ -235,6 +263,11 @@ def first_pass(block: Block, text: str, share: float, known: bool = True) -> str
     return "near" if share >= LOW or block.where else "bad"
 
 
+def outweighs(block: Block, text: str, share: float) -> bool:
+    """Whether a long text of sentences within an article is read whatever its element is called, but for the name of an advert."""
+    return bool(block.where) and block.noise <= HARD and len(text) >= LONG and share >= HIGH and block.links <= 0.1 * len(text)
+
+
 def nearest(found: list[Block], labels: list[str], order: range) -> list[tuple[bool, int]]:
     """For each block, whether the nearest decided block before it in this order is good, and its element's parent.
 
@@ -263,8 +296,9 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
         if label == "near":
             label = "good" if over or under or alone else "bad"
         elif label == "short":
-            # a paragraph beside a good one in the same element, and a heading over what is good
-            beside = block.tag == "p" and ((over and block.group == over_group) or (under and block.group == under_group))
+            # a paragraph beside a good one in the same element, a part of a list or table beside one, and a heading over what is good
+            near = (over_group,) * over + (under_group,) * under
+            beside = (block.tag == "p" and block.group in near) or (block.tag in PARTS and any(g in block.around for g in near))
             heads = block.tag in HEADINGS and under
             # the headline that stands over an article without one of its own
             title = block.tag == "h1" and not block.where and i + 1 < n and found[i + 1].where and found[i + 1].tag not in HEADINGS and not found[i + 1].noise
@@ -273,12 +307,12 @@ def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
     return out
 
 
-def kept(found: list[Block], texts: list[str], noise: int) -> list[bool]:
-    """Whether each block is good, if blocks of this noise or more are bad."""
+def kept(found: list[Block], texts: list[str], noise: int, short: bool = False) -> list[bool]:
+    """Whether each block is good, if blocks of this noise or more are bad; short: whether short ones are, whatever stands beside them."""
     shares = [stop_share(t) for t in texts]
     known = any(s >= LOW for b, t, s in zip(found, texts, shares, strict=True) if b.noise < noise and len(t) >= SHORT)
-    labels = ["bad" if b.noise >= noise else first_pass(b, t, s, known) for b, t, s in zip(found, texts, shares, strict=True)]
-    return second_pass(found, labels)
+    labels = ["bad" if b.noise >= noise and not outweighs(b, t, s) else first_pass(b, t, s, known) for b, t, s in zip(found, texts, shares, strict=True)]
+    return [label == "short" for label in labels] if short else second_pass(found, labels)
 
 
 def main_text(page: str) -> str:
@@ -295,6 +329,8 @@ def main_text(page: str) -> str:
             good = wide
     if not any(good):  # an article within a plainly named element, where there is no other text
         good = [g and b.where > 0 for g, b in zip(kept(found, texts, NEVERMORE), found, strict=True)]
+    if not any(good):  # a page of nothing but short blocks
+        good = kept(found, texts, SOFT, short=True)
     return "\n".join(t for t, g in zip(texts, good, strict=True) if g)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, stash
 
-#: Vectors of each length that pivots are chosen from, and pivots of each length, at most: what is broadcast doesn't grow with the data.
+#: Vectors of each length that pivots are chosen from, about, and pivots of each length, at most: what is broadcast doesn't grow with the data.
 SAMPLE, PIVOTS = 4096, 512
 KEY = ("dim", "pivot", "salt")
 
@@ -75,18 +75,26 @@ def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0))
 
 
+def exact_gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances from differences, so that their error is a part in 10**12 of them however large the vectors are."""
+    return np.stack([np.sqrt(((a - y) ** 2).sum(1)) for y in b], 1) if len(b) else np.zeros((len(a), 0))
+
+
 def choose_pivots(rows: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
     """Pivots of each length of vector: far apart, out of a bounded sample that is the same in every run."""
-    sized = rows.select("vec_id", "v", F.size("v").alias("dim"))
-    draw = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("v"), "vec_id"))
-    drawn = sized.withColumn("draw", draw).filter(F.col("draw") <= SAMPLE)
+    sized = rows.select("vec_id", "rid", "v", F.size("v").alias("dim"))
     counts = {r["dim"]: r["n"] for r in sized.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    # a row is drawn by its own hash against its length's share, so that nothing is sorted and equal vectors aren't drawn together
+    share = F.lit(0)
+    for dim, n in counts.items():
+        share = F.when(F.col("dim") == dim, int(min(1.0, SAMPLE / n) * (1 << 30))).otherwise(share)
+    drawn = sized.withColumn("draw", F.pmod(F.xxhash64("vec_id", "rid"), F.lit(1 << 30))).filter(F.col("draw") < share)
     sample: dict[int, list] = {}
-    for r in drawn.orderBy("dim", "draw").collect():
+    for r in sorted(drawn.select("dim", "draw", "vec_id", "rid", "v").collect(), key=lambda r: (r["draw"], r["vec_id"], r["rid"])):
         sample.setdefault(r["dim"], []).append(r["v"])
     out = {}
-    for dim, found in sample.items():
-        x = np.array(found, np.float64)
+    for dim in counts:
+        x = np.array(sample.get(dim) or [sized.filter(F.col("dim") == dim).first()["v"]], np.float64)
         taken = [0]
         far = gaps(x, x[[0]])[:, 0]
         while len(taken) < min(PIVOTS, -(-counts[dim] // shard_rows)) and far.max() > 0:
@@ -124,7 +132,7 @@ def index(data: DataFrame, pivots: dict[int, np.ndarray], method: Method, shard_
         x = matrix(t["v"])[order]
         ids, rids = t["vec_id"].to_numpy()[order], t["rid"].to_numpy()[order]
         key = [t[c][0].as_py() for c in KEY]
-        radius = float(gaps(x, shared.value[key[0]][[key[1]]]).max()) + 1e-6
+        radius = float(exact_gaps(x, shared.value[key[0]][[key[1]]]).max()) * (1 + 1e-12)
         norm = float(np.sqrt((x * x).sum(1)).max())
         tree = pickle.dumps((ids, rids, x, method.build(x)), protocol=5)
         return pa.table({"dim": pa.array([key[0]], pa.int32()), "pivot": pa.array([key[1]], pa.int32()), "salt": pa.array([key[2]], pa.int32()), "rows": [len(x)], "radius": [radius], "norm": [norm], "tree": pa.array([tree], pa.binary())})
