@@ -132,3 +132,42 @@ SQL = {
 
 def with_views(*names: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(SQL[n] for n in names)
+
+
+# Words that second decodings bring in, roman and in Devanagari, and names that drafts hold.
+ROMAN = tuple("karna sakta matlab samajh achcha paega kuchh bhai haan hai chahiye milega".split())
+INDIC = tuple("करना देखा वह सब में और अगर मतलब नहीं हाँ यह ठीक ज़रूर चाहिए दें पर".split())
+NAMES = ("API", "DataFrame", "MCP", "GPU")
+
+
+def second_decodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, draft, candidate, witness, seconds): an utterance's first words, a second decoding of them with every kind of fault, and a third."""
+    rows = clips(spark, sf_dir).filter(F.size("toks") >= 6).select("doc_id", F.transform(F.slice("toks", F.lit(1), (F.col("doc_id") % 17 + 6).cast("int")), F.lower).alias("w"))
+    d = F.col("doc_id")
+    of = lambda words, n: F.get(F.array(*map(F.lit, words)), (n % len(words)).cast("int"))
+    name = F.when(d % 11 < 2, F.array(of(NAMES, d))).otherwise(F.array().cast("array<string>"))
+
+    def heard(w, i):
+        odd = d % 3 + d % 2  # a third of the utterances have hardly any faults
+        near = F.concat(w, F.lit("e"))
+        return (
+            F.when((d + i * 3) % 19 < odd, near)
+            .when((d * 5 + i) % 31 < odd, F.reverse(w))
+            .when((d + i) % 29 == 0, F.lit(None).cast("string"))
+            .when((d % 4 > 0) & ((d + i * 2) % 5 == 0), of(ROMAN, d + i))
+            .otherwise(w)
+        )
+
+    said = F.filter(F.transform("w", heard), lambda w: w.isNotNull())
+    more = F.transform(F.sequence(F.lit(1), (d % 7).cast("int") + 1), lambda i: of(ROMAN, d + i))
+    indic = F.when(d % 5 == 0, F.array(of(INDIC, d), of(INDIC, d * 3 + 1)))
+    parts = F.concat(F.when(d % 13 == 0, F.array().cast("array<string>")).otherwise(name), said, F.coalesce(indic, F.array().cast("array<string>")), F.when(d % 4 > 1, more).otherwise(F.array().cast("array<string>")), F.when(d % 41 == 0, F.array(*[F.lit("ok")] * 6)).otherwise(F.array().cast("array<string>")))
+    candidate = F.when(d % 53 == 0, F.lit("  ")).when(d % 43 == 0, F.concat(F.array_join(parts, " "), F.lit(" �"))).when(d % 23 == 0, F.concat(F.array_join(parts, " "), F.lit(" and"))).otherwise(F.array_join(parts, " "))
+    witness = F.array_join(F.transform("w", lambda w, i: F.when((d + i) % 2 == 0, F.concat(w, F.lit("s"))).when((d * 5 + i) % 31 == 0, F.reverse(w)).otherwise(w)), " ")
+    return rows.select(d.alias("id"), F.array_join(F.concat(name, "w"), " ").alias("draft"), candidate.alias("candidate"), witness.alias("witness"), (d % 37 / 10.0).alias("seconds"))
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, frame, energy): the vectors of each label behind each other as the frames of one recording."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("rec_"), F.col("vec_id") % 64).alias("clip"), F.col("vec_id").alias("v"), F.posexplode("embedding").alias("at", "x"))
+    return rows.select("clip", (F.floor(F.col("v") / 64) * 64 + F.col("at")).alias("frame"), F.abs("x").cast("double").alias("energy"))
