@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import texts as X
 from .alignment import likeness
 from .columns import let
-from .meaning import listed
 from .roman import romanized
+from ..sources.io import settled
 from .rules import OPEN_ENDS
 
 # Words that a later text may bring in, by why.
@@ -66,11 +66,11 @@ def unknown_words(draft: Column, final: Column, strict: bool = True, roman: bool
     if it is roman Hindi, of the glossary or, by ``strict``, one of few or of all common words.
     """
     least = 3 if strict else 4
-    allowed = listed((*(ROMAN if roman else ()), *glossary, *(STRICT if strict else COMMON)))
-    sides = F.struct(long_words(draft, least).alias("d"), F.array_join(words_of(draft), "").alias("joined"), long_words(final, least).alias("f"), allowed.alias("ok"))
+    allowed = (*(ROMAN if roman else ()), *glossary, *(STRICT if strict else COMMON))
+    sides = F.struct(long_words(draft, least).alias("d"), F.array_join(words_of(draft), "").alias("joined"), long_words(final, least).alias("f"))
 
     def judged(s: Column) -> Column:
-        known = lambda w: F.array_contains(s["d"], w) | ((F.length(w) >= 6) & F.contains(s["joined"], w)) | plural_of(w, s["d"]) | F.array_contains(s["ok"], w)
+        known = lambda w: w.isin(*allowed) | F.array_contains(s["d"], w) | ((F.length(w) >= 6) & F.contains(s["joined"], w)) | plural_of(w, s["d"])
         return F.transform(s["f"], lambda w: F.struct(w.alias("word"), (~known(w)).alias("new")))
 
     return let(sides, judged)
@@ -101,9 +101,9 @@ def reject_reasons(draft: Column, final: Column, tail_seconds: Column, most_seco
 
 def new_roman(draft: Column, final: Column) -> Column:
     """New roman Hindi words of a final text that carry something, sorted; its Devanagari counts in Latin letters."""
-    has = lambda t: F.array_intersect(words_of(t), listed(ROMAN))
-    both = F.array_union(has(final), has(romanized(final)))
-    return F.array_sort(F.array_except(F.array_except(both, has(draft)), listed(IDLE)))
+    said = tuple(w for w in ROMAN if w not in IDLE)
+    has = lambda t: F.filter(words_of(t), lambda w: w.isin(*said))
+    return F.array_sort(F.array_except(F.array_union(has(final), has(romanized(final))), has(draft)))
 
 
 def meaning_kept(draft: Column, final: Column) -> Column:
@@ -164,7 +164,7 @@ def witness_verdict(rows, draft: str = "draft", candidate: str = "candidate", wi
     held = rows.withColumn("_s", witness_support(d, c, w)).withColumn("_w", F.array_distinct(long_words(w, 3))).withColumn("_n", named_words(why))
     blocking = F.filter(why, lambda r: ~r.rlike("^(new-english-|no-hindi-value)"))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_n") - 1, F.lit(1))), lambda i: F.concat(F.try_element_at(F.col("_n"), i), F.try_element_at(F.col("_n"), i + 1)))
-    held = held.withColumn("_compounds", F.filter(pairs, lambda x: x.isNotNull() & (F.length(x) >= 8))).withColumn("_blocking", blocking)
+    held = settled(held).withColumn("_compounds", F.filter(pairs, lambda x: x.isNotNull() & (F.length(x) >= 8))).withColumn("_blocking", blocking)
     # 2m / (a + b) can't reach LIKE where the shorter has under LIKE / (2 - LIKE) of the longer's letters
     left = held.select(key, F.explode("_compounds").alias("compound"), F.col("_w").alias("_words"))
     near = left.select(key, "compound", F.explode(F.filter("_words", lambda v: F.length(v) >= 8)).alias("word"))

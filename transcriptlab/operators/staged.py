@@ -15,6 +15,7 @@ from ..functions.alignment import likeness
 from ..functions.columns import let
 from ..functions.roman import one_spelling, romanized
 from ..functions.texts import filled, stripped
+from ..sources.io import settled
 from .merging import plain_word, plain_words
 
 # Words that aren't content, how near a word must be, and after how many new words nothing is repaired.
@@ -126,10 +127,10 @@ def staged(rows: DataFrame, most_seconds: float, glossary: tuple[str, ...] = (),
     draft, no = F.col("draft"), F.array().cast("array<string>")
     reject = lambda text: N.reject_reasons(draft, text, F.col("seconds"), most_seconds, glossary=glossary)
     held = rows.withColumn("_c", one_spelling(stripped(F.col("candidate")))).withColumn("_r", one_spelling(romanized(F.col("_c"))))
-    held = held.withColumn("_why", reject(F.col("_c")))
-    held = held.withColumn("_why", F.when((F.size("_why") == 0) & (F.col("_r") != F.col("_c")), reject(F.col("_r"))).otherwise(F.col("_why")))
+    held = settled(held.withColumn("_why", reject(F.col("_c"))))
+    held = settled(held.withColumn("_why", F.when((F.size("_why") == 0) & (F.col("_r") != F.col("_c")), reject(F.col("_r"))).otherwise(F.col("_why"))))
     judged = lambda text: F.when(F.size(N.new_roman(draft, text)) == 0, F.array(F.lit("no-hindi-value"))).otherwise(N.meaning_kept(draft, text))
-    held = held.withColumn("_why", F.when(F.size("_why") == 0, judged(F.col("_c"))).otherwise(F.col("_why")))
+    held = settled(held.withColumn("_why", F.when(F.size("_why") == 0, judged(F.col("_c"))).otherwise(F.col("_why"))))
     held = held.withColumn("_new", N.named_words(F.col("_why")))
     blocked = lambda why, but: F.exists(why, lambda r: ~r.rlike("^(" + "|".join((*N.NEW, *but)) + ")"))
     kind = (
@@ -137,25 +138,24 @@ def staged(rows: DataFrame, most_seconds: float, glossary: tuple[str, ...] = (),
         .when((F.size("_new") == 0) | blocked(F.col("_why"), ("protected-term-missing:", "protected-term-new:")), "no-removable")
         .when(F.size("_new") > MOST, "too-many")
     )
-    held = held.withColumn("_kind", kind)
-
-    near = near_words(held.filter("_kind IS NULL"), key, "draft", "_new").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("_words"))
-    held = held.join(near, key, "left").withColumn("_words", F.coalesce("_words", F.create_map().cast("map<string,string>")))
-    open_ = F.col("_kind").isNull()
-    held = held.withColumn("_set", F.when(open_, replaced(F.col("_r"), F.col("_words"))))
-    held = held.withColumn("_cut", F.when(open_, without(F.col("_set.text"), F.col("_new"))))
-    held = held.withColumn("_fix", F.when(open_, backed_repairs(draft, F.col("_cut.text"))))
-    held = held.withColumn("_rules", F.concat(F.coalesce("_set.rules", no), F.coalesce("_fix.rules", no))).withColumn("_out", F.coalesce("_cut.removed", no))
-    same = (F.size("_out") == 0) & (F.size("_rules") == 0) & (stripped(F.col("_fix.text")) == stripped(F.col("_r")))
-    held = held.withColumn("_kind", F.when(open_ & same, "unchanged").otherwise(F.col("_kind")))
+    # a row's stages are written between, as each looks at the text of the one before many times
+    held = settled(held.withColumn("_kind", kind))
+
+    open_ = held.filter("_kind IS NULL")
+    near = near_words(open_, key, "draft", "_new").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "word"))).alias("_words"))
+    open_ = open_.join(near, key, "left").withColumn("_set", replaced(F.col("_r"), F.coalesce("_words", F.create_map().cast("map<string,string>"))))
+    open_ = settled(open_.withColumn("_cut", without(F.col("_set.text"), F.col("_new"))).withColumn("_fix", backed_repairs(draft, F.col("_cut.text"))))
+    open_ = open_.withColumn("_rules", F.concat("_set.rules", "_fix.rules")).withColumn("_out", F.col("_cut.removed")).withColumn("_text", F.col("_fix.text"))
+    same = (F.size("_out") == 0) & (F.size("_rules") == 0) & (stripped(F.col("_text")) == stripped(F.col("_r")))
+    open_ = open_.withColumn("_kind", F.when(same, "unchanged"))
     # judged anew, and once more without the words that this brings up
-    held = held.withColumn("_text", F.col("_fix.text")).withColumn("_again", F.when(open_, reject(F.col("_text"))))
-    held = held.withColumn("_more", N.named_words(F.coalesce("_again", no)))
-    tries = open_ & (F.size("_more") > 0) & ~blocked(F.col("_again"), ()) & (F.size("_out") + F.size("_more") <= MOST)
-    held = held.withColumn("_cut", F.when(tries, without(F.col("_text"), F.col("_more"))))
-    other = F.coalesce((F.size("_cut.removed") > 0) & (stripped(F.col("_cut.text")) != stripped(F.col("_text"))), F.lit(False))
-    held = held.withColumn("_other", other).withColumn("_out", F.concat("_out", F.coalesce("_cut.removed", no))).withColumn("_text", F.when(F.col("_other"), F.col("_cut.text")).otherwise(F.col("_text")))
-    held = held.withColumn("_again", F.when(F.col("_other"), reject(F.col("_text"))).otherwise(F.col("_again")))
+    open_ = settled(open_.withColumn("_again", reject(F.col("_text"))))
+    more = N.named_words(F.col("_again"))
+    tries = (F.size("_more") > 0) & ~blocked(F.col("_again"), ()) & (F.size("_out") + F.size("_more") <= MOST)
+    open_ = open_.withColumn("_more", more).withColumn("_cut", F.when(tries, without(F.col("_text"), F.col("_more"))))
+    open_ = settled(open_.withColumn("_other", F.coalesce((F.size("_cut.removed") > 0) & (stripped(F.col("_cut.text")) != stripped(F.col("_text"))), F.lit(False))))
+    open_ = open_.withColumn("_out", F.concat("_out", F.coalesce("_cut.removed", no))).withColumn("_text", F.when(F.col("_other"), F.col("_cut.text")).otherwise(F.col("_text")))
+    open_ = settled(open_.withColumn("_again", F.when(F.col("_other"), reject(F.col("_text"))).otherwise(F.col("_again"))))
     bare = (F.size("_out") >= 3) & ~F.exists("_rules", lambda r: r.rlike("^(draft-backed-|draft-near-match:)"))
     few = ~((F.size("_out") == 0) & (F.size("_rules") > 0)) & (F.size(_content(F.col("_text"))) < 4) & (F.size(F.array_intersect(_content(F.col("_text")), _content(draft))) < 3)
     last = (
@@ -166,11 +166,12 @@ def staged(rows: DataFrame, most_seconds: float, glossary: tuple[str, ...] = (),
         .when(few, F.array(F.lit("over-sanitized-low-content")))
         .otherwise(N.meaning_kept(draft, F.col("_text")))
     )
-    held = held.withColumn("_last", F.when(open_, last))
-    outcome = F.coalesce("_kind", F.when(F.size("_last") == 0, "repaired").otherwise("rejected"))
-    held = held.withColumn("outcome", outcome)
-    good = F.col("outcome").isin("accepted", "repaired")
-    text = F.when(F.col("outcome") == "accepted", F.col("_r")).when(F.col("outcome") == "repaired", F.col("_text")).otherwise("")
+    open_ = settled(open_.withColumn("_last", last)).withColumn("outcome", F.coalesce("_kind", F.when(F.size("_last") == 0, "repaired").otherwise("rejected")))
+
+    good, tried = F.col("outcome").isin("accepted", "repaired"), F.col("outcome").isin("repaired", "rejected")
     why = F.when(good, no).when(F.col("outcome") == "rejected", F.col("_last")).otherwise(F.col("_why"))
-    tried = F.col("outcome").isin("repaired", "rejected")
-    return held.select(*rows.columns, good.alias("accepted"), text.alias("text"), why.alias("reasons"), "outcome", F.when(tried, F.col("_out")).otherwise(no).alias("removed"), F.when(tried, F.col("_rules")).otherwise(no).alias("rules"))
+    text = F.when(F.col("outcome") == "repaired", F.col("_text")).otherwise("")
+    repaired = open_.select(*rows.columns, good.alias("accepted"), text.alias("text"), why.alias("reasons"), "outcome", F.when(tried, F.col("_out")).otherwise(no).alias("removed"), F.when(tried, F.col("_rules")).otherwise(no).alias("rules"))
+    done = held.filter("_kind IS NOT NULL").withColumn("outcome", F.col("_kind"))
+    plain = done.select(*rows.columns, good.alias("accepted"), F.when(good, F.col("_r")).otherwise("").alias("text"), F.col("_why").alias("reasons"), "outcome", no.alias("removed"), no.alias("rules"))
+    return plain.unionByName(repaired)

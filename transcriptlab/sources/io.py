@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,17 @@ ATTEMPT = T.StructType([
 CLIP = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "audio", "gold", "source", "category", "language")] + [T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("benchmarks", T.MapType(T.StringType(), T.StringType()))])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names; in one of our own if that is unset and Spark runs in one process."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def read_attempts(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; lines that aren't objects of this shape are left out."""
     rows = spark.read.schema(T.StructType([*ATTEMPT.fields, T.StructField("_corrupt_record", T.StringType())])).json(path, mode="PERMISSIVE")
