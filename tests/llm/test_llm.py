@@ -263,13 +263,14 @@ def test_near_dedup_of_texts_that_differ_in_how_often_a_passage_repeats(spark):
 def test_near_dedup_blocks_compare_every_pair(spark):
     rng = np.random.default_rng(4)
     of = [np.unique(rng.integers(0, 9, 12) + 9 * (i % 4)).astype(np.uint64) for i in range(40)] + [np.zeros(0, np.uint64)] * 2
-    sets = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(of)], "tid long, set binary")
+    times = [rng.integers(1, 4, len(x)).astype(np.int32) if i % 3 == 0 else np.zeros(0, np.int32) for i, x in enumerate(of)]
+    sets = spark.createDataFrame([(i, bytearray(x.tobytes()), bytearray(c.tobytes())) for i, (x, c) in enumerate(zip(of, times, strict=True))], "tid long, set binary, counts binary")
     large = spark.createDataFrame([(7, i, 600, i) for i in range(len(of))], "bucket long, tid long, n long, label long")
     got = {r.tid: r.label for r in neardup.components(neardup._blocks(large, sets, 0.8)).collect()}
     label = list(range(len(of)))
     for i in range(len(of)):
         for j in range(i):
-            if label[i] != label[j] and neardup.set_similarity(of[i], of[j]) >= 0.8:
+            if label[i] != label[j] and neardup.similarity_of((of[i], times[i]), (of[j], times[j])) >= 0.8:
                 label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
     assert {i: got.get(i, i) for i in range(len(of))} == dict(enumerate(label))
 

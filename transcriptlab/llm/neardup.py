@@ -1,12 +1,14 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-Shingles of five words, each once however often it repeats, arrive at a text's registers as Poisson
-processes of rate 1: each arrival falls into a random register, and a register keeps the
+Shingles of five words arrive at a text's registers as Poisson processes, a shingle's rate being the number of times the
+text has it: each arrival falls into a random register, and a register keeps the
 shingle of its first arrival.  A shingle stops as soon as its next arrival comes later than every
-register's first.  Two texts agree in a register with a chance that is the Jaccard similarity of their
-sets of shingles.  Bands of registers make buckets; every two texts that share one are verified on their
-shingles: they are linked where that similarity is 0.8 or more.  Only pairs whose numbers of different
-shingles rule it out aren't compared.  Linked texts make classes, named by the smallest doc_id.
+register's first.  Two texts agree in a register with a chance that is the probability Jaccard similarity of their
+weighted shingles.  A text with repeated shingles has a second sketch in which each counts once, whose registers agree with the chance
+of the Jaccard similarity of sets; without repeats both are the same.  Bands of registers make buckets, of both sketches alike, so that
+copies which differ in repeats meet too; every two texts that share one are verified on their
+shingles: they are linked where either similarity is 0.8 or more.  Only pairs whose numbers of different
+shingles rule it out, neither having repeats, aren't compared.  Linked texts make classes, named by the smallest doc_id.
 
 No bucket is turned into all its pairs at once.  Exact copies are one text.  Then every text of a bucket
 is compared with the bucket's head, and links are joined into components.  Only pairs of different
@@ -50,16 +52,17 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return out, n
 
 
-def signatures(texts: pa.Array, registers: int, words: int = WORDS) -> np.ndarray:
+def signatures(texts: pa.Array, registers: int, words: int = WORDS, weighted: bool = True) -> np.ndarray:
     """For each text, the shingle that each register keeps: texts x registers; 0 for texts without words."""
-    return _signed(*shingles(texts, words), registers)
+    return _signed(*shingles(texts, words), registers, weighted)
 
 
-def _signed(h: np.ndarray, n: np.ndarray, registers: int) -> np.ndarray:
+def _signed(h: np.ndarray, n: np.ndarray, registers: int, weighted: bool) -> np.ndarray:
     rows = np.repeat(np.arange(len(n), dtype=np.uint64), n)
     bits = np.uint64(max(1, int(len(n) - 1).bit_length()))
     key = np.sort((rows << (np.uint64(64) - bits)) | (h >> bits))
     new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+    rate = np.diff(np.append(np.flatnonzero(new), len(key))).astype(np.float64) if weighted else np.ones(int(new.sum()))
     key = key[new]
     row = (key >> (np.uint64(64) - bits)).astype(np.int64)
     shingle = key & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1))
@@ -71,7 +74,7 @@ def _signed(h: np.ndarray, n: np.ndarray, registers: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         seed = mix(shingle + GOLDEN)
     alive, k = np.arange(len(key)), 0
-    total = np.bincount(row, minlength=len(n))
+    total = np.bincount(row, rate, minlength=len(n))
     # By this time all registers of nearly every text are taken; later arrivals wait until that is known.
     horizon = registers * (np.log(registers) + 4) / np.maximum(total, 1e-12)
     waiting = []
@@ -79,7 +82,7 @@ def _signed(h: np.ndarray, n: np.ndarray, registers: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             draw = mix(seed[alive] + np.uint64(2 * k + 1) * GOLDEN)
             slot = mix(draw ^ GOLDEN) % np.uint64(registers)
-        time[alive] += -np.log(unit(draw))
+        time[alive] += -np.log(unit(draw)) / rate[alive]
         soon = time[alive] <= horizon[row[alive]]
         if not soon.all():
             waiting.append((alive[~soon], slot[~soon], np.full((~soon).sum(), k)))
@@ -91,7 +94,7 @@ def _signed(h: np.ndarray, n: np.ndarray, registers: int) -> np.ndarray:
         k += 1
     worst = best.reshape(len(n), registers).max(1)
     if waiting and not np.isfinite(worst[n > 0]).all():
-        _rest(best, kept, waiting, time, row, shingle, seed, registers)
+        _rest(best, kept, waiting, time, rate, row, shingle, seed, registers)
     return kept.reshape(len(n), registers)
 
 
@@ -101,7 +104,7 @@ def _arrive(best: np.ndarray, kept: np.ndarray, where: np.ndarray, time: np.ndar
     kept[where[first]] = shingle[first] + np.uint64(1)
 
 
-def _rest(best, kept, waiting, time, row, shingle, seed, registers) -> None:
+def _rest(best, kept, waiting, time, rate, row, shingle, seed, registers) -> None:
     """Arrivals behind the horizon, of texts that still have empty registers."""
     alive, slot, k = (np.concatenate(x) for x in zip(*waiting, strict=True))
     open_ = ~np.isfinite(best.reshape(-1, registers).max(1))
@@ -114,32 +117,44 @@ def _rest(best, kept, waiting, time, row, shingle, seed, registers) -> None:
         with np.errstate(over="ignore"):
             draw = mix(seed[alive] + (np.uint64(2) * k + np.uint64(1)) * GOLDEN)
             slot = mix(draw ^ GOLDEN) % np.uint64(registers)
-        time[alive] += -np.log(unit(draw))
+        time[alive] += -np.log(unit(draw)) / rate[alive]
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(tid, text_key, doc_id, bands, size): each different text once, with its smallest doc_id; size counts its different shingles."""
+    """(tid, text_key, doc_id, bands, size, repeats): each different text once, with its smallest doc_id.
+
+    bands: buckets of its sketch, and of the one without weights if it repeats shingles; size counts its different shingles.
+    """
     registers = bands * rows
 
-    @F.arrow_udf("struct<bands: array<long>, size: long>")
+    def buckets(sig: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            own = np.zeros((len(sig), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+            for o in range(rows):
+                own = mix(own * GOLDEN + sig.reshape(len(sig), bands, rows)[:, :, o])
+        return own
+
+    @F.arrow_udf("struct<bands: array<long>, size: long, repeats: boolean>")
     def sketch(texts: pa.Array) -> pa.Array:
-        keys, sizes = [], []
+        keys, sizes, again = [], [], []
         for part in slices(texts):
             h, n = shingles(part)
-            sig = _signed(h, n, registers)
-            sizes += [len(np.unique(x)) for x in np.split(h, np.cumsum(n)[:-1])]
-            with np.errstate(over="ignore"):
-                own = np.zeros((len(part), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-                for o in range(rows):
-                    own = mix(own * GOLDEN + sig.reshape(len(part), bands, rows)[:, :, o])
-            keys.append(own)
-        keys = np.concatenate(keys) if keys else np.zeros((0, bands), np.uint64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64)))
-        return pa.StructArray.from_arrays([lists, pa.array(sizes, pa.int64())], ["bands", "size"])
+            own = np.array([len(np.unique(x)) for x in np.split(h, np.cumsum(n)[:-1])], np.int64)
+            plain, twice = buckets(_signed(h, n, registers, False)), own < n
+            some = np.flatnonzero(twice)
+            weighted = buckets(_signed(h[np.repeat(twice, n)], n[twice], registers, True))
+            place = dict(zip(some.tolist(), range(len(some)), strict=True))
+            keys += [np.union1d(x, weighted[place[i]]) if i in place else x for i, x in enumerate(plain)]
+            sizes.append(own)
+            again.append(twice)
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)))
+        counts = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((sizes, np.int64), (again, bool))]
+        return pa.StructArray.from_arrays([lists, *map(pa.array, counts)], ["bands", "size", "repeats"])
 
     keyed = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("text_key"), sketch(F.coalesce(F.col(text), F.lit(""))).alias("s"))
     once = keyed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s"))
-    return stash(once.select(F.monotonically_increasing_id().alias("tid"), "text_key", "doc_id", "s.bands", "s.size"))
+    return stash(once.select(F.monotonically_increasing_id().alias("tid"), "text_key", "doc_id", "s.bands", "s.size", "s.repeats"))
 
 
 def text_key(text: str):
@@ -147,20 +162,22 @@ def text_key(text: str):
 
 
 def shingle_sets(docs: DataFrame, texts: DataFrame, tids: DataFrame, text: str) -> DataFrame:
-    """(tid, set): the sorted shingle hashes of the given texts, as bytes."""
+    """(tid, set, counts): the sorted shingle hashes of the given texts, as bytes, and how often each occurs; no counts where all do once."""
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<set: binary, counts: binary>")
     def sets(column: pa.Array) -> pa.Array:
         out = []
         for part in slices(column):
             h, n = shingles(part)
-            out += [np.unique(x).tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
-        return pa.array(out, pa.binary())
+            for x in np.split(h, np.cumsum(n)[:-1]):
+                own, times = np.unique(x, return_counts=True)
+                out.append((own.tobytes(), times.astype(np.int32).tobytes() if len(own) < len(x) else b""))
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["set", "counts"])
 
     wanted = texts.join(tids.distinct(), "tid").select("tid", F.col("text_key").alias("_key"), F.col("doc_id").alias("_doc"))
     # one row of each text: its smallest doc_id; rows that repeat it only repeat a set
     found = docs.join(wanted.hint("shuffle_hash"), (text_key(text) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return stash(found.select("tid", sets(F.coalesce(F.col(text), F.lit(""))).alias("set")))
+    return stash(found.select("tid", sets(F.coalesce(F.col(text), F.lit(""))).alias("s")).select("tid", "s.set", "s.counts"))
 
 
 def set_similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -171,21 +188,55 @@ def set_similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def probability_jaccard(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    """Probability Jaccard similarity of sorted arrays x and y without repeats whose items weigh a and b.
+
+    The sum, over common items d, of 1 / sum over all items e of max(a_e / a_d, b_e / b_d).  In the order of a / b those before d
+    count by b and the others by a, so that sums from both ends give all of them.
+    """
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    same = x[at] == y
+    if not same.any():
+        return 0.0
+    u, v = a[at[same]].astype(np.float64), b[same].astype(np.float64)
+    order = np.argsort(u / v, kind="stable")
+    u, v = u[order], v[order]
+    alone_a, alone_b = a.sum() - u.sum(), b.sum() - v.sum()
+    by_a = np.cumsum(u[::-1])[::-1] + alone_a
+    by_b = np.cumsum(v) - v + alone_b
+    return float((1 / (by_a / u + by_b / v)).sum())
+
+
+def similarity_of(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """The larger of both similarities of two texts, each (set, counts)."""
+    plain = set_similarity(x[0], y[0])
+    if not len(x[1]) and not len(y[1]):
+        return plain
+    weights = [c if len(c) else np.ones(len(s), np.int32) for s, c in (x, y)]
+    return max(plain, probability_jaccard(x[0], y[0], *weights))
+
+
+def _views(sets: pa.Array, counts: pa.Array):
+    return ((np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int32)) for s, c in zip(sets, counts, strict=True))
+
+
 def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b), a < b, those whose sets of shingles are similar enough."""
+    """Of pairs (a, b), a < b, those whose shingles are similar enough."""
 
     @F.arrow_udf("double")
-    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-        views = ((np.frombuffer(v.as_buffer(), np.uint64) for v in pair) for pair in zip(a, b, strict=True))
-        return pa.array([set_similarity(*v) for v in views], pa.float64())
+    def jaccard(a: pa.Array, ca: pa.Array, b: pa.Array, cb: pa.Array) -> pa.Array:
+        return pa.array([similarity_of(x, y) for x, y in zip(_views(a, ca), _views(b, cb), strict=True)], pa.float64())
 
-    both = pairs.join(sets.select(F.col("tid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("tid").alias("b"), F.col("set").alias("sb")), "b")
-    return both.withColumn("j", jaccard("sa", "sb")).filter(F.col("j") >= similarity).select("a", "b").distinct()
+    side = lambda t, s, c: sets.select(F.col("tid").alias(t), F.col("set").alias(s), F.col("counts").alias(c))
+    both = pairs.join(side("a", "sa", "ca"), "a").join(side("b", "sb", "cb"), "b")
+    return both.withColumn("j", jaccard("sa", "ca", "sb", "cb")).filter(F.col("j") >= similarity).select("a", "b").distinct()
 
 
-def fits(a: str, b: str, similarity: float) -> Column:
-    """Whether sets of so many shingles can be similar enough: the smaller has at least that share of the larger."""
-    return F.least(a, b) + 1e-6 >= similarity * F.greatest(a, b)
+def fits(a: str, b: str, repeats_a: str, repeats_b: str, similarity: float) -> Column:
+    """Whether texts of so many different shingles can be similar enough: without repeats the smaller has at least that share of the larger."""
+    return F.col(repeats_a) | F.col(repeats_b) | (F.least(a, b) + 1e-6 >= similarity * F.greatest(a, b))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,15 +261,16 @@ def components(links: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
     """(tid, label): components of the texts that are linked."""
-    banded = texts.select("tid", "size", F.explode("bands").alias("bucket"))
+    banded = texts.select("tid", "size", "repeats", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stash(banded.join(shared, "bucket"))
     # A text that others were copied from shares the most buckets with the most texts; it leads its buckets.
     known = shared.groupBy("tid").agg(F.sum("n").alias("known"))
     led = stash(shared.join(known, "tid"))
-    heads = led.groupBy("bucket").agg(F.max_by(F.struct("tid", "size"), F.struct("known", -F.col("tid"))).alias("h")).select("bucket", F.col("h.tid").alias("head"), F.col("h.size").alias("head_size"))
-    members = stash(led.select("tid", "size", "bucket", "n").join(heads, "bucket"))
-    stars = members.filter("tid <> head").filter(fits("size", "head_size", similarity)).select(F.least("head", "tid").alias("a"), F.greatest("head", "tid").alias("b")).distinct()
+    heads = led.groupBy("bucket").agg(F.max_by(F.struct("tid", "size", "repeats"), F.struct("known", -F.col("tid"))).alias("h"))
+    heads = heads.select("bucket", F.col("h.tid").alias("head"), F.col("h.size").alias("head_size"), F.col("h.repeats").alias("head_repeats"))
+    members = stash(led.select("tid", "size", "repeats", "bucket", "n").join(heads, "bucket"))
+    stars = members.filter("tid <> head").filter(fits("size", "head_size", "repeats", "head_repeats", similarity)).select(F.least("head", "tid").alias("a"), F.greatest("head", "tid").alias("b")).distinct()
     near = checkpoint(stars)
     first = checkpoint(similar(shingle_sets(docs, texts, _ends(near), text), near, similarity))
     labels = components(first)
@@ -227,9 +279,9 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, tex
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
     open_ = checkpoint(labelled.join(mixed, "bucket"))
     small, large = open_.filter(F.col("n") <= PAIRS), open_.filter(F.col("n") > PAIRS)
-    x = small.select("bucket", "label", F.col("tid").alias("a"), F.col("size").alias("size_a"))
-    y = small.select("bucket", F.col("label").alias("other"), F.col("tid").alias("b"), F.col("size").alias("size_b"), "head")
-    pairs = checkpoint(x.join(y, "bucket").filter("a < b AND label <> other AND a <> head AND b <> head").filter(fits("size_a", "size_b", similarity)).select("a", "b").distinct())
+    x = small.select("bucket", "label", F.col("tid").alias("a"), F.col("size").alias("size_a"), F.col("repeats").alias("repeats_a"))
+    y = small.select("bucket", F.col("label").alias("other"), F.col("tid").alias("b"), F.col("size").alias("size_b"), F.col("repeats").alias("repeats_b"), "head")
+    pairs = checkpoint(x.join(y, "bucket").filter("a < b AND label <> other AND a <> head AND b <> head").filter(fits("size_a", "size_b", "repeats_a", "repeats_b", similarity)).select("a", "b").distinct())
     sets = shingle_sets(docs, texts, _ends(pairs).union(large.select("tid")), text)
     second = similar(sets, pairs, similarity).union(_blocks(large, sets, similarity))
     return components(first.union(second))
@@ -243,23 +295,28 @@ def _blocks(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Links between different components in large buckets.  A task compares two blocks and gives only links that join components."""
     blocks = F.ceil(F.col("n") / (4 * BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("tid"), blocks).cast("int")
-    held = large.join(sets.groupBy("tid").agg(F.first("set").alias("set")), "tid").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tid", "label", "set")
+    held = large.join(sets.groupBy("tid").agg(F.first(F.struct("set", "counts")).alias("s")).select("tid", "s.set", "s.counts"), "tid").withColumn("blocks", blocks).withColumn("own", own)
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tid", "label", "set", "counts")
 
     def compare(t: pa.Table) -> pa.Table:
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         own, tid, label = t["own"].to_numpy(), t["tid"].to_numpy(), t["label"].to_numpy().copy()
         sizes = np.array([len(x.as_buffer()) // 8 for x in t["set"]], np.int64)
+        repeats = np.array([len(x.as_buffer()) > 0 for x in t["counts"]], bool)
+        times = [np.frombuffer(x.as_buffer(), np.int32) if r else np.ones(m, np.int32) for x, r, m in zip(t["counts"], repeats, sizes, strict=True)]
+        # shares of each text's weight; the chance to agree can't exceed the sum of the lesser shares of common shingles
+        shares = np.insert(np.concatenate([np.zeros(0), *[x / max(x.sum(), 1) for x in times]]), np.cumsum(sizes) - sizes, 0.0)
         known, codes = np.unique(np.frombuffer(b"".join(x.as_buffer() for x in t["set"]), np.uint64), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
-        held = np.zeros(len(known) + 1, np.int32)
+        held, weight = np.zeros(len(known) + 1, np.int32), np.zeros(len(known) + 1)
         # each set's codes, and one that no set has: so that a set without shingles has a sum too
         padded = np.insert(codes, starts, len(known))
         starts = starts + np.arange(len(sizes))
         left, right = np.flatnonzero(own == i), own == j
         out = []
         for r in left:
-            rest = right & (label != label[r]) & ((tid > tid[r]) | (i != j)) & (np.minimum(sizes, sizes[r]) + 1e-6 >= similarity * np.maximum(sizes, sizes[r]))
+            near = np.minimum(sizes, sizes[r]) + 1e-6 >= similarity * np.maximum(sizes, sizes[r])
+            rest = right & (label != label[r]) & ((tid > tid[r]) | (i != j)) & (near | repeats | repeats[r])
             if not rest.any():
                 continue
             mine = codes[starts[r] - r : starts[r] - r + sizes[r]]
@@ -267,8 +324,12 @@ def _blocks(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             both = np.add.reduceat(held[padded], starts)
             held[mine] = 0
             all_ = sizes + sizes[r] - both
-            for o in np.flatnonzero(rest & (np.where(all_ > 0, both / np.maximum(all_, 1), 1.0) >= similarity)):
-                if label[o] != label[r]:
+            alike = np.where(all_ > 0, both / np.maximum(all_, 1), 1.0) >= similarity
+            weight[mine] = shares[starts[r] + 1 : starts[r] + 1 + sizes[r]]
+            may = rest & ~alike & (repeats | repeats[r]) & (np.add.reduceat(np.minimum(weight[padded], shares), starts) + 1e-9 >= similarity)
+            weight[mine] = 0
+            for o in np.flatnonzero(rest & (alike | may)):
+                if label[o] != label[r] and (alike[o] or probability_jaccard(mine, codes[starts[o] - o : starts[o] - o + sizes[o]], times[r], times[o]) >= similarity):
                     out.append((min(tid[r], tid[o]), max(tid[r], tid[o])))
                     label[label == label[o]] = label[r]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
