@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import newwords as N
-from ..functions import roman
+from ..functions import roman, structure
 from ..functions.columns import tokens
-from ..operators import cutting, merging, staged
+from ..operators import agreement, cutting, merging, staged
 from ..sources import views as v
 from .sqltext import listed, quoted
 
@@ -62,7 +62,39 @@ def _quiet_chunks(s, d):
     return cutting.quiet_chunks(frames, frames.groupBy("clip").agg((F.count("*") * 10 + 10).alias("total")), RATE, *SECONDS)
 
 
+SAID = tuple("okay so|yeah yeah|i|like like|and then|but|you know you know|for example|the API|gpt4|, but|so the question is that|um|right. But|readme.md|matlab".split("|"))
+
+
+def _dictated(s, d):
+    """Utterances with what dictation puts between their words."""
+    n = F.col("doc_id")
+    said = F.transform("toks", lambda w, i: F.when((n * 7 + i * i * 3) % 11 < n % 4, F.concat(F.get(F.array(*map(F.lit, SAID)), ((n + i * 5) % len(SAID)).cast("int")), F.lit(" "), F.lower(w))).otherwise(F.lower(w)))
+    return v.clips(s, d).select("doc_id", F.array_join(F.slice(said, F.lit(1), (n % 36 + 4).cast("int")), " ").alias("t")).withColumn("x", structure.structured(F.col("t")))
+
+
+def _structured(s, d):
+    return _dictated(s, d).select("doc_id", "x.text", "x.changed", _text("x.rules").alias("rules"))
+
+
+def _structure_rules(s, d):
+    """How often each rule fired among texts that were rewritten, and how many texts stayed as they were."""
+    rows = _dictated(s, d).select(F.when(F.col("x.changed"), F.col("x.rules")).otherwise(F.array(F.lit("unchanged"))).alias("rules"))
+    return rows.select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _confirmed(s, d):
+    """Three backends as models, whose classes of language mostly agree."""
+    runs = v.runs(s, d).withColumn("place", F.when(F.col("backend") == "fast", 0).when(F.col("backend") == "accurate", 1).otherwise(2)).withColumn("near", F.pmod(F.col("doc_id") * 5 + F.col("place") * 3, F.lit(7)))
+    kind = F.when(F.col("near") == 0, "uncertain").when((F.col("category") == "en") != (F.col("near") == 1), "english_only").otherwise("hindi_english")
+    text = F.when(F.col("doc_id") % 4 == 0, F.col("actual")).otherwise(F.col("gold"))
+    votes = runs.select("id", "place", F.col("backend").alias("model"), F.col("error").isNull().alias("ok"), text.alias("transcript"), kind.alias("language_class"), (F.col("near") / 10).alias("confidence"))
+    return agreement.confirmed(v.clips(s, d).select("id", "gold", F.col("category").alias("bucket")), votes)
+
+
 QUERIES = {
+    "structured_texts": _structured,
+    "structure_rules": _structure_rules,
+    "confirmed_transcripts": _confirmed,
     "romanized_texts": _romanized,
     "new_word_reasons": _new_words,
     "witness_terms": _witness_terms,
