@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import newwords as N
-from ..functions import roman, structure
+from ..functions import policies, roman, spelled, structure
 from ..functions.columns import tokens
-from ..operators import agreement, cutting, merging, staged
+from ..operators import agreement, cutting, merging, staged, stems
 from ..sources import views as v
 from .sqltext import listed, quoted
 
@@ -91,7 +91,52 @@ def _confirmed(s, d):
     return agreement.confirmed(v.clips(s, d).select("id", "gold", F.col("category").alias("bucket")), votes)
 
 
+LANGUAGES = ("hi", "en", "fr", "en", "ur", None)
+
+
+def _detector_risks(s, d):
+    """Chunks of conversations as a detector may have heard them."""
+    n = F.col("conv_id") * 7 + F.col("turn") * 5
+    rows = v.table(s, d, "conversations").select("conv_id", "turn", F.get(F.array(*map(F.lit, LANGUAGES)), (n % len(LANGUAGES)).cast("int")).alias("language"), F.when(n % 13 > 0, n % 11 / 10.0).alias("probability"))
+    return rows.select("conv_id", "turn", policies.detector_reason(F.col("turn"), F.col("language"), F.col("probability"), 0.5, 0.8).alias("reason"))
+
+
+def _update_policies(s, d):
+    a, b = F.col("draft"), F.col("candidate")
+    return v.second_decodings(s, d).select("id", policies.update_policies(a, b).alias("p")).select("id", "p.*")
+
+
+def _replacement_audits(s, d):
+    """How often an audit decides what, and what is kept on the mean."""
+    n = F.col("id")
+    audit = policies.replacement_audit(F.col("draft"), F.col("candidate"), n % 5 != 0, F.when(n % 2 == 0, policies.SURE_ROUTES[0]))
+    rows = v.second_decodings(s, d).select(audit.alias("a"))
+    return rows.groupBy("a.decision", "a.confidence").agg(F.count("*").alias("n"), F.round(F.avg("a.retained"), 4).alias("retained"), F.sum("a.new").alias("new"))
+
+
+def _utterance_files(s, d):
+    """Page addresses as stems of files, some cut or lengthened, for the pages they are of."""
+    pages = v.table(s, d, "pages").select("page_id", F.concat(F.lit("utt-"), "page_id", F.lit("-"), F.regexp_replace("url", "[^a-z0-9]+", "-")).alias("id"))
+    n, whole = F.col("page_id"), F.col("id")
+    stem = F.when(n % 4 == 0, whole).when(n % 4 == 1, F.substring(whole, 3, 9)).when(n % 4 == 2, F.concat(whole, F.lit("-take"), n % 3))
+    return stems.files_of(pages, pages.select(stem.alias("stem"), F.concat(F.lit("/audio/"), n, F.lit(".wav")).alias("path"), n.alias("place"))).select("page_id", "path")
+
+
+def _spelled_terms(s, d):
+    """Utterances with letters spelled out, and second texts that have the terms."""
+    n = F.col("doc_id")
+    of = lambda words, i: F.get(F.array(*map(F.lit, words)), (i % len(words)).cast("int"))
+    said = F.concat_ws(" ", F.slice("toks", F.lit(1), F.lit(4)), of(("A P I", "a, p, i", "G P U A P I", "A S X", "T T S , A S R"), n), F.slice("toks", F.lit(5), F.lit(4)))
+    other = F.concat_ws(" ", of(("API", "GPU and API", "ASR", "TTS ASR", "none"), n * 3 + F.floor(n / 5)), F.slice("toks", F.lit(1), F.lit(3)))
+    return v.clips(s, d).select("doc_id", spelled.spelled_terms(said, other).alias("x")).select("doc_id", "x.text", _text("x.rules").alias("rules"))
+
+
 QUERIES = {
+    "detector_risks": _detector_risks,
+    "update_policies": _update_policies,
+    "replacement_audits": _replacement_audits,
+    "utterance_files": _utterance_files,
+    "spelled_terms": _spelled_terms,
     "structured_texts": _structured,
     "structure_rules": _structure_rules,
     "confirmed_transcripts": _confirmed,
@@ -111,6 +156,15 @@ def _pick(words, n: str) -> str:
 
 
 _NONE = "[]::VARCHAR[]"
+def _content(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[A-Za-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN ({', '.join(map(quoted, policies.CONTENT_STOP))})))"
+
+
+def _terms(x: str) -> str:
+    """Words stand between blanks here."""
+    return f"list_distinct(list_transform(list_filter(string_split({x}, ' '), lambda w: regexp_matches(w, '^([A-Z0-9]*[A-Z][A-Z0-9]+|[A-Z][A-Z0-9]*[0-9]|[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*)$') AND (upper(w) = w OR length(w) >= 4)), lambda w: lower(w)))"
+
+
 _SECOND = f"""second AS (
   SELECT doc_id AS id, array_to_string(list_concat(name, w), ' ') AS draft,
     CASE WHEN doc_id % 53 = 0 THEN '  ' WHEN doc_id % 43 = 0 THEN said || ' �' WHEN doc_id % 23 = 0 THEN said || ' and' ELSE said END AS candidate,
@@ -165,7 +219,10 @@ def _new_of(x: str) -> str:
     return f"list_transform(list_filter({x}, lambda z: z.new), lambda z: z.word)"
 
 
-_ROMAN_OF = f"list_distinct(list_filter(list_concat({_words('candidate')}, {_words('roman')}), lambda w: list_contains({listed(N.ROMAN)}, w) AND NOT list_contains({_words('draft')}, w) AND NOT list_contains({listed(N.IDLE)}, w)))"
+def _roman_of(x: str) -> str:
+    return f"list_distinct(list_filter(list_concat({_words(x)}, {_words('roman')}), lambda w: list_contains({listed(N.ROMAN)}, w) AND NOT list_contains({_words('draft')}, w) AND NOT list_contains({listed(N.IDLE)}, w)))"
+
+
 _BACKED = f"(list_contains(have, w) OR {_plural('have')} OR (length(w) >= 5 AND len(list_filter(have, lambda z: length(z) >= 5 AND (contains(z, w) OR contains(w, z)))) > 0))"
 _TARGET, _LEAST, _GREATEST, _AROUND = (int(x * RATE) for x in SECONDS)
 
@@ -184,7 +241,7 @@ SELECT id, {_romanized_sql("candidate")} AS roman, array_to_string(list_transfor
 runs AS (SELECT *, list_min(list_filter(range(2, len(l) + 1), lambda i: l[i].new AND l[i - 1].new)) AS run FROM judged)
 SELECT id, CASE WHEN len({_new_of("s")}) > 0 THEN {_named(N.NEW[0], _new_of("s"))} END AS strict,
   CASE WHEN run IS NOT NULL THEN {_named(N.NEW[1], _new_of("list_slice(l, 1, run)"))} WHEN len(list_distinct({_new_of("l")})) >= 2 THEN {_named(N.NEW[2], _new_of("l"))} END AS loose,
-  array_to_string(list_sort({_ROMAN_OF}), ',') AS new_roman FROM runs""",
+  array_to_string(list_sort({_roman_of('candidate')}), ',') AS new_roman FROM runs""",
     "witness_terms": f"""{v.with_views("clips")}, {_SECOND}, new AS (
   SELECT id, {_words("witness", 3)} AS have, list_filter(list_transform(list_filter(list_zip(c, range(1, len(c) + 1)), lambda z: list_position(c, z[1]) = z[2]), lambda z: z[1]),
     lambda w: NOT list_contains(d, w) AND NOT {_plural("d")} AND NOT list_contains({listed((*N.WITNESS_STOP, *N.ROMAN))}, w)) AS new
@@ -197,4 +254,21 @@ cuts AS (
   SELECT clip, 0 AS chunk, 0::BIGINT AS start, {_stop("0")} AS stop FROM known c
   UNION ALL SELECT clip, chunk + 1, stop, {_stop("stop")} FROM (SELECT cuts.*, total, middle FROM cuts JOIN known USING (clip) WHERE stop < total) c
 ) SELECT clip, chunk, start, stop FROM cuts""",
+    "detector_risks": f"""SELECT conv_id, turn, CASE WHEN language IN ('hi', 'ur') THEN 'language:' || language WHEN language = 'en' AND probability < 0.5 THEN 'english_low_confidence'
+    WHEN language = 'en' AND turn = 0 AND probability < 0.8 THEN 'english_early_low_confidence' WHEN language <> '' AND probability < 0.5 THEN 'non_english_low_confidence:' || language END AS reason
+  FROM (SELECT conv_id, turn, [{", ".join(quoted(x) if x else "NULL" for x in LANGUAGES)}][(conv_id * 7 + turn * 5) % {len(LANGUAGES)} + 1] AS language,
+    CASE WHEN (conv_id * 7 + turn * 5) % 13 > 0 THEN (conv_id * 7 + turn * 5) % 11 / 10.0 END AS probability FROM conversations)""",
+    "replacement_audits": f"""{v.with_views("clips")}, {_SECOND},
+texts AS (SELECT *, id % 5 <> 0 AS safe, CASE WHEN id % 5 <> 0 THEN candidate ELSE draft END AS text FROM second),
+facts AS (SELECT *, {_content("draft")} AS d, {_content("text")} AS f, len(list_filter({_terms("draft")}, lambda w: NOT list_contains({_terms("text")}, w))) AS lost,
+  len({_roman_of("text")}) AS value FROM (SELECT *, {_romanized_sql("text")} AS roman FROM texts)),
+kept AS (SELECT *, CASE WHEN len(d) = 0 THEN 1.0 ELSE len(list_intersect(d, f)) / len(d) END AS r, list_filter(f, lambda w: NOT list_contains(d, w)) AS fresh FROM facts),
+audit AS (SELECT r, len(fresh) AS new, CASE WHEN NOT safe AND id % 2 = 0 THEN ['keep_fast', 'high'] WHEN NOT safe THEN ['keep_fast', 'medium'] WHEN lost > 0 THEN ['reject_drop', 'high']
+  WHEN r < 0.78 AND r >= 0.65 AND value >= 5 THEN ['replace_candidate', 'medium'] WHEN r < 0.78 THEN ['reject_drop', 'medium'] WHEN len(fresh) = 0 AND r >= 0.95 THEN ['save_alternate', 'high']
+  WHEN len(fresh) <= 2 AND r >= 0.90 AND len(list_filter(fresh, lambda w: length(w) > 4)) = 0 THEN ['save_alternate', 'medium'] WHEN r >= 0.82 THEN ['replace_candidate', 'medium'] ELSE ['needs_review', 'low'] END AS a FROM kept)
+SELECT a[1] AS decision, a[2] AS confidence, count(*) AS n, round(avg(round(r, 3)), 4) AS retained, CAST(sum(new) AS BIGINT) AS new FROM audit GROUP BY ALL""",
+    "utterance_files": """WITH ids AS (SELECT page_id, 'utt-' || page_id || '-' || regexp_replace(url, '[^a-z0-9]+', '-', 'g') AS id FROM pages),
+files AS (SELECT stem, min(page_id) AS place, arg_max(page_id, page_id) AS page FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN id WHEN 1 THEN substr(id, 3, 9) WHEN 2 THEN id || '-take' || page_id % 3 END AS stem FROM ids) WHERE stem <> '' GROUP BY stem),
+held AS (SELECT page_id, arg_min(page, place) AS page FROM ids JOIN files ON contains(id, stem) OR contains(stem, id) GROUP BY page_id)
+SELECT ids.page_id, '/audio/' || coalesce(e.page, h.page) || '.wav' AS path FROM ids LEFT JOIN files e ON e.stem = ids.id LEFT JOIN held h ON h.page_id = ids.page_id""",
 }
