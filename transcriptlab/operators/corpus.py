@@ -109,18 +109,21 @@ def vocabulary(docs: DataFrame, least: int = 5) -> DataFrame:
     return docs.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
 
 
+#: A line that only corrects: the right word and the wrong one.
+CORRECTION = r"^([\p{L}\p{N}_]+) not ([\p{L}\p{N}_]+)$"
+
+
 def correction_context(turns: DataFrame) -> DataFrame:
-    """Corrections ("X not Y") with the last earlier turn of the conversation that is none."""
-    words = tokens(F.col("text"), lower=False)
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    previous = F.lag(F.slice(words, F.lit(1), F.lit(2))).over(order)
-    corrects = (F.col("turn") % 3 == 2) & (F.size(previous) == 2)
-    said = turns.withColumn("p", previous).withColumn("corrects", F.coalesce(corrects, F.lit(False)))
-    line = F.when(F.col("corrects"), F.concat_ws(" not ", F.col("p")[1], F.col("p")[0])).otherwise(F.col("text"))
-    said = said.withColumn("line", line)
-    at = F.last(F.when(~F.col("corrects"), F.col("turn")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    pair = F.split("line", " not ")
-    return said.withColumn("about", at).filter("corrects").select("conv_id", "turn", pair[0].alias("right"), pair[1].alias("wrong"), "about").filter(F.lower("right") != F.lower("wrong"))
+    """(conv_id, turn, right, wrong, about): lines ("X not Y") of turns (conv_id, turn, line) with the last earlier turn that is no such line.
+
+    Lines whose words differ only in case correct nothing and are left out; a null line corrects nothing.
+    """
+    said = turns.withColumn("corrects", F.coalesce(F.col("line").rlike(CORRECTION), F.lit(False)))
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.last(F.when(~F.col("corrects"), F.col("turn")), ignorenulls=True).over(before)
+    pair = lambda i: F.regexp_extract("line", CORRECTION, i)
+    found = said.withColumn("about", at).filter("corrects").select("conv_id", "turn", pair(1).alias("right"), pair(2).alias("wrong"), "about")
+    return found.filter(F.lower("right") != F.lower("wrong"))
 
 
 def weighted_rank(parts: DataFrame) -> DataFrame:
@@ -132,6 +135,7 @@ def weighted_rank(parts: DataFrame) -> DataFrame:
 
 
 def failure_traps(runs: DataFrame) -> DataFrame:
-    """Seconds and errors by failure trap; a run counts in each of its traps, in "unknown" without any."""
-    trap = F.element_at(F.array(F.array(F.lit("noise")), F.array(F.lit("terms"), F.lit("noise")), F.array(F.lit("unknown")), F.array(F.lit("negation"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return runs.select("backend", "seconds", "error", F.explode(trap).alias("trap")).groupBy("backend", "trap").agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 4).alias("seconds"), F.count("error").alias("errors"))
+    """Seconds and errors by failure trap of runs (backend, seconds, error, failure_traps); a run counts in each of its traps, in "unknown" without any."""
+    traps = F.when(F.size("failure_traps") > 0, F.col("failure_traps")).otherwise(F.array(F.lit("unknown")))
+    each = runs.select("backend", "seconds", "error", F.explode(F.array_distinct(traps)).alias("trap"))
+    return each.groupBy("backend", "trap").agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 4).alias("seconds"), F.count("error").alias("errors"))

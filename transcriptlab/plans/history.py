@@ -20,7 +20,7 @@ QUERIES = {
     "paired_delta_ci": lambda s, d: scoring.paired_delta(_scored(s, d), "accurate", "fast"),
     "quality_gate": lambda s, d: scoring.quality_gate(_scored(s, d), LIMITS),
     "worst_k_per_bucket": lambda s, d: scoring.worst_runs(_scored(s, d), 5),
-    "trap_summary": lambda s, d: corpus.failure_traps(v.runs(s, d)),
+    "trap_summary": lambda s, d: corpus.failure_traps(v.trapped_runs(s, d)),
     "attempt_health": lambda s, d: history.health(v.attempts(s, d)),
     "status_counts": lambda s, d: history.status_counts(v.attempts(s, d)),
     "percentile_family": lambda s, d: history.percentiles(v.attempts(s, d)),
@@ -43,7 +43,7 @@ QUERIES = {
     "language_mix": lambda s, d: corpus.language_mix(v.table(s, d, "documents")),
     "mine_terms": lambda s, d: corpus.mine_terms(v.spread(v.table(s, d, "documents"))),
     "vocabulary": lambda s, d: corpus.vocabulary(v.spread(v.table(s, d, "documents"))),
-    "correction_context": lambda s, d: corpus.correction_context(v.table(s, d, "conversations")),
+    "correction_context": lambda s, d: corpus.correction_context(v.corrected_turns(s, d)),
     "weighted_rank": lambda s, d: corpus.weighted_rank(v.table(s, d, "part")),
 }
 

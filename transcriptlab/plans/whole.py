@@ -1,7 +1,7 @@
-"""The queries over clips, runs or drafts again, over all tokens of each document.
+"""The queries over clips, runs or drafts again, with one clip for each document instead of one for each of its utterances.
 
-The SQL of those queries is written for the first 40 tokens (its edit distance codes at most 94), so these have none; tests
-compare them with brute force.
+SQL has no distance between long lists (the codes of the edit distance end at 94 words), so these have none.  Tests compare
+first_wins_text, dedupe_by_trust, dup_suffix and leaderboard with brute force; the others are the same jobs over longer rows.
 """
 
 from __future__ import annotations

@@ -68,6 +68,19 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("hyp", hyp).select("doc_id", "id", "category", "source", "trust", "backend", "toks", "hyp", "gold", F.array_join("hyp", " ").alias("actual"), (((F.col("doc_id") * 37 + F.col("b") * 113) % 900) / 100.0).alias("seconds"), F.when((F.col("doc_id") + F.col("b")) % 41 == 0, "timeout").alias("error"), flags.alias("quality_flags"))
 
 
+def trapped_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """runs with failure_traps by number, as the given tables have none; a quarter of the clips have no trap."""
+    traps = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("noise"))).when(F.col("doc_id") % 4 == 1, F.array(F.lit("terms"), F.lit("noise"))).when(F.col("doc_id") % 4 == 3, F.array(F.lit("negation")))
+    return runs(spark, sf_dir).withColumn("failure_traps", traps)
+
+
+def corrected_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, line): conversations in which every third turn swaps the first two words of the one before it."""
+    two = F.lag(F.slice(tokens(F.col("text"), lower=False), F.lit(1), F.lit(2))).over(Window.partitionBy("conv_id").orderBy("turn"))
+    line = F.when((F.col("turn") % 3 == 2) & (F.size(two) == 2), F.concat_ws(" not ", two[1], two[0])).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line"))
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.create_map(*[F.lit(x) for x in ("view", "paste_attempted", "click", "finalizer_replaced", "purchase", "copy_fallback", "signup", "no_speech", "error", "failed")])
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("ordinal"), F.concat(F.lit("r"), "event_id").alias("run_id"), F.col("ts").alias("created_at"), "user_id", status[F.col("event_type")].alias("status"), F.col("event_type").isin("view", "click").alias("paste_success"), F.when(~F.col("event_type").isin("signup", "error"), F.col("value") / 50.0).alias("release_to_paste"), F.concat_ws(":", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("audio_path"))
