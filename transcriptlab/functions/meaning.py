@@ -186,7 +186,9 @@ def expected_terms(text: Column, terms: Column | None = None) -> Column:
 def aliases(term: Column) -> Column:
     """The ways in which a term is written: its own or those that the tables give, and other spellings."""
     table = lambda known: F.create_map(*[x for k, v in known.items() for x in (F.lit(k), listed(v))])
-    return F.concat(F.coalesce(table(ALIASES)[term], F.array(term)), F.coalesce(table(SPELLINGS)[term], listed([])))
+    known = F.concat(F.coalesce(table(ALIASES)[term], F.array(term)), F.coalesce(table(SPELLINGS)[term], listed([])))
+    # a literal map is searched entry by entry, a set of literals by hash: most terms are in neither table
+    return F.when(term.isin(*ALIASES, *SPELLINGS), known).otherwise(F.array(term))
 
 
 def scripts(text: Column) -> Column:
