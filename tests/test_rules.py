@@ -44,6 +44,7 @@ def test_rewrites(spark):
 def test_risks_and_plausibility(spark):
     risks = values(spark, [("", None), ("very unclear words here today", "x"), ("go go go go go go go go go go go go", None), ("a fine text of many words", None)], "t string, e string", R.fast_risks(F.col("t"), F.col("e")))
     assert [x for x, in risks] == [["fast_empty", "fast_too_short"], ["fast_error", "fast_unclear_marker"], ["fast_repetition"], []]
+    assert values(spark, [("㐀", None), ("豈", None), ("𠀀", "x"), ("あ", None)], "t string, e string", R.script_risks(F.col("t"), F.col("e"))) == [(["detector_chinese"],), (["detector_chinese"],), (["detector_error", "detector_chinese"],), ([],)]
     assert values(spark, [("नम 中", None)], "t string, e string", R.script_risks(F.col("t"), F.col("e"))) == [(["detector_devanagari", "detector_chinese"],)]
     plausible = values(spark, [("open the document in the office window and type", True), ("Thank you.", False), (" ", False), ("नमस्ते", False)], "t string, x boolean", R.plausibility(F.col("t"), F.col("x")))
     assert [x for x, in plausible] == [1.0, -0.45, -10.0, 0.05]

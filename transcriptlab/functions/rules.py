@@ -46,6 +46,8 @@ LEARNABLE = tuple(
 )
 EDGES = r"""[ \t\r\n.,:;!?()\[\]{}"']+"""
 INDIC = r"[\x{0900}-\x{097F}]"
+#: Han with its extensions and compatibility forms.
+HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2CEB0}-\x{2EBEF}]"
 POLARITY = tuple("not no never without avoid skip disabled mat nahi nahin".split())
 
 
@@ -134,7 +136,7 @@ def fast_risks(text: Column, error: Column) -> Column:
 
 def script_risks(text: Column, error: Column) -> Column:
     """Scripts that a detector's transcript shows."""
-    found = {"devanagari": INDIC, "arabic": r"[\x{0600}-\x{06FF}]", "chinese": r"[\x{4E00}-\x{9FFF}]"}
+    found = {"devanagari": INDIC, "arabic": r"[\x{0600}-\x{06FF}]", "chinese": HAN}
     return F.array_compact(F.array(F.when(X.filled(error) != "", "detector_error"), *[F.when(X.filled(text).rlike(p), f"detector_{n}") for n, p in found.items()]))
 
 

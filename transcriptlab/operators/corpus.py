@@ -126,12 +126,14 @@ def correction_context(turns: DataFrame) -> DataFrame:
     return found.filter(F.lower("right") != F.lower("wrong"))
 
 
-def weighted_rank(parts: DataFrame) -> DataFrame:
-    """Tools by their weighted ratings."""
-    rated = parts.groupBy(F.col("p_brand").alias("tool"), F.col("p_type").alias("axis")).agg(F.avg(F.col("p_size") / 10.0).alias("rating"))
-    weight = F.length("axis") % 5 + 1
-    totals = rated.groupBy("tool").agg(F.round(F.sum(F.col("rating") * weight) / F.sum(weight), 4).alias("score"))
-    return totals.withColumn("rank", F.rank().over(Window.orderBy(F.col("score").desc())))
+def weighted_rank(ratings: DataFrame, weights: DataFrame) -> DataFrame:
+    """(use, tool, score, rank) of ratings (tool, axis, rating) by weights (use, axis, weight): for each use the tools by their weighted mean.
+
+    Axes without a weight don't count for a use; ties go by the tool's name, whatever its case.
+    """
+    totals = ratings.join(weights, "axis").groupBy("use", "tool").agg(F.round(F.sum(F.col("rating") * F.col("weight")) / F.sum("weight"), 4).alias("score"))
+    order = Window.partitionBy("use").orderBy(F.col("score").desc(), F.lower("tool"), "tool")  # a row for each tool
+    return totals.withColumn("rank", F.row_number().over(order).cast("int"))
 
 
 def failure_traps(runs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import corpus, history, scoring
 from ..sources import views as v
 from . import sqltext as T
@@ -13,6 +15,15 @@ def _scored(s, d):
     return scoring.score_runs(v.runs(s, d))
 
 
+def _ratings(s, d):
+    """Brands as tools and types as axes, with two weightings; one of them leaves axes out."""
+    parts = v.table(s, d, "part")
+    rated = parts.groupBy(F.col("p_brand").alias("tool"), F.col("p_type").alias("axis")).agg(F.avg(F.col("p_size") / 10.0).alias("rating"))
+    uses = F.explode(F.array(*[F.struct(F.lit(u).alias("use"), w.alias("weight")) for u, w in (("dictation", F.length("axis") % 5 + 1), ("meetings", F.length("axis") % 3))]))
+    weights = rated.select("axis").distinct().select("axis", uses.alias("x")).select("axis", "x.use", "x.weight").filter("weight > 0")
+    return rated, weights
+
+
 QUERIES = {
     "leaderboard": lambda s, d: scoring.leaderboard(_scored(s, d)),
     "category_backend_summary": lambda s, d: scoring.category_summary(_scored(s, d)),
@@ -44,7 +55,7 @@ QUERIES = {
     "mine_terms": lambda s, d: corpus.mine_terms(v.spread(v.table(s, d, "documents"))),
     "vocabulary": lambda s, d: corpus.vocabulary(v.spread(v.table(s, d, "documents"))),
     "correction_context": lambda s, d: corpus.correction_context(v.corrected_turns(s, d)),
-    "weighted_rank": lambda s, d: corpus.weighted_rank(v.table(s, d, "part")),
+    "weighted_rank": lambda s, d: corpus.weighted_rank(*_ratings(s, d)),
 }
 
 #: Scores in SQL.  Tokens of a pair become characters from code 33 on, so that its bytewise distance counts tokens (at most 94 of them).
@@ -135,6 +146,7 @@ c AS (SELECT *, coalesce(turn % 3 = 2 AND len(p) = 2, false) AS corrects FROM t)
 a AS (SELECT *, last_value(CASE WHEN NOT corrects THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS about FROM c)
 SELECT conv_id, turn, p[2] AS "right", p[1] AS wrong, about FROM a WHERE corrects AND lower(p[1]) <> lower(p[2])""",
     "weighted_rank": """WITH r AS (SELECT p_brand AS tool, p_type AS axis, avg(p_size / 10.0) AS rating FROM part GROUP BY 1, 2),
-t AS (SELECT tool, round(sum(rating * (length(axis) % 5 + 1)) / sum(length(axis) % 5 + 1), 4) AS score FROM r GROUP BY 1)
-SELECT tool, score, rank() OVER (ORDER BY score DESC)::INT AS rank FROM t""",
+w AS (SELECT tool, rating, 'dictation' AS use, length(axis) % 5 + 1 AS weight FROM r UNION ALL SELECT tool, rating, 'meetings', length(axis) % 3 FROM r WHERE length(axis) % 3 > 0),
+t AS (SELECT use, tool, round(sum(rating * weight) / sum(weight), 4) AS score FROM w GROUP BY 1, 2)
+SELECT use, tool, score, row_number() OVER (PARTITION BY use ORDER BY score DESC, lower(tool), tool)::INT AS rank FROM t""",
 }

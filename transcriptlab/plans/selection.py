@@ -52,9 +52,17 @@ def _spoken(s, d):
     return v.table(s, d, "conversations").select("conv_id", "turn", X.spoken_form(X.plain_spacing(F.concat("text", tail))).alias("said"))
 
 
+#: What recognisers write for silence, and blanks.
+MARKS = ("[BLANK_AUDIO]", " (No  speech) ", " \n", "<|nospeech|>", "  no speech ", "")
+
+
 def _blank(s, d):
-    said = F.create_map(*[F.lit(x) for x in ("view", "[BLANK_AUDIO]", "click", "hello there", "purchase", " (No  speech) ", "signup", " \n", "error", "<|nospeech|>")])
-    return v.table(s, d, "events").select("event_type", X.no_speech(said[F.col("event_type")]).alias("blank")).groupBy("event_type", "blank").agg(F.count("*").alias("n"))
+    """Turns of conversations, some with what recognisers write for silence instead of or beside their text."""
+    marks = F.array(*map(F.lit, MARKS))
+    n = F.col("conv_id") + F.col("turn") * 3
+    mark = F.get(marks, (n % 9).cast("int"))
+    said = F.when(n % 9 >= len(MARKS), F.col("text")).when(n % 2 == 0, mark).otherwise(F.concat(mark, F.col("text")))
+    return v.table(s, d, "conversations").select("conv_id", "turn", X.no_speech(said).alias("blank"))
 
 
 def _candidates(s, d):
@@ -121,6 +129,7 @@ def _claims(s, d):
     parts = v.table(s, d, "part")
     values = parts.groupBy(F.col("p_brand").alias("selector")).agg(F.avg("p_size").alias("value"))
     evidence = values.select("selector", F.lit("size").alias("metric"), "value")
+    evidence = evidence.unionByName(evidence.filter(F.col("selector").endswith("3")))  # reported twice
     brands = parts.select(F.col("p_brand").alias("selector")).distinct()
     claims = brands.join(values, "selector").select(F.col("selector").alias("claim_id"), F.lit("size").alias("metric"), "selector", (F.round("value", 1)).alias("expected"))
     other = claims.withColumn("claim_id", F.concat(F.lit("x"), "claim_id")).withColumn("metric", F.lit("price"))
@@ -240,8 +249,11 @@ SELECT doc_id, backend, CASE WHEN len(h) = 0 THEN 0.0 ELSE round(list_max(list_t
   array_to_string(list_filter(r, lambda y: length(y) >= 5 AND NOT list_contains(h, y) AND (length(regexp_replace(y, '[^aeiou]', '', 'g'))::DOUBLE / length(y) < 0.20 OR length(regexp_replace(y, '[^aeiou]', '', 'g'))::DOUBLE / length(y) > 0.76)), ',') AS odd,
   c > 0 AND s >= 18 AND (c < greatest(120, floor(s * 4)) OR w < greatest(20, floor(s * 0.45)) OR (c < floor(s * 8) AND w < 55)) AS cut_short FROM u""",
     "spoken_form": f"""SELECT conv_id, turn, {_said()} AS said FROM (SELECT conv_id, turn, "text" || CASE turn % 3 WHEN 0 THEN ' [MUSIC] They can''t and DON''T' WHEN 1 THEN ' twenty one or thirty, cannot' ELSE ' <v A>is  not</v>' END AS x FROM conversations)""",
-    "blank_texts": r"""WITH t AS (SELECT event_type, lower(trim(CASE event_type WHEN 'view' THEN '[BLANK_AUDIO]' WHEN 'click' THEN 'hello there' WHEN 'purchase' THEN ' (No  speech) ' WHEN 'signup' THEN chr(10) WHEN 'error' THEN '<|nospeech|>' END, ' ' || chr(10))) AS x FROM events)
-SELECT event_type, x = '' OR x = '<|nospeech|>' OR trim(regexp_replace(regexp_replace(x, '^[\[\](){}<>._\- ]+|[\[\](){}<>._\- ]+$', '', 'g'), '[_ ]+', ' ', 'g')) IN ('blank', 'blank audio', 'silence', 'silent audio', 'no speech', 'no speech detected', 'inaudible', 'music', 'noise') AS blank, count(*) AS n FROM t GROUP BY 1, 2""",
+    "blank_texts": r"""WITH t AS (SELECT conv_id, turn, (conv_id + turn * 3) AS n, "text",
+  ['[BLANK_AUDIO]', ' (No  speech) ', ' ' || chr(10), '<|nospeech|>', '  no speech ', ''][(conv_id + turn * 3) % 9 + 1] AS mark FROM conversations),
+u AS (SELECT conv_id, turn, lower(trim(CASE WHEN n % 9 >= 6 THEN "text" WHEN n % 2 = 0 THEN mark ELSE mark || "text" END, ' ' || chr(9) || chr(10) || chr(13))) AS x FROM t)
+SELECT conv_id, turn, x = '' OR x = '<|nospeech|>' OR trim(regexp_replace(regexp_replace(x, '^[\[\](){}<>._\- ]+|[\[\](){}<>._\- ]+$', '', 'g'), '[_ ]+', ' ', 'g')) IN
+  ('blank', 'blank audio', 'silence', 'silent audio', 'no speech', 'no speech detected', 'inaudible', 'music', 'noise') AS blank FROM u""",
     "first_usable": v.with_views("clips", "runs")
     + f""", c AS (SELECT doc_id AS id, backend AS name, {_PLACE} AS place, error, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 AND backend = 'accurate' THEN 'so so so' ELSE actual END AS text, {_LISTS} FROM runs),
 e AS (SELECT *, error IS NULL AND text <> '' AND text <> 'so so so' AND NOT ({_thrice('h')}) AS good FROM c),
@@ -279,7 +291,7 @@ l AS (SELECT conv_id, k, x AS said FROM b WHERE k = 1 UNION ALL SELECT b.conv_id
 SELECT conv_id AS run, max(k)::INT AS chunks, array_to_string(arg_max(said, k), ' ') AS text FROM l GROUP BY 1""",
     "labelled_sources": """SELECT conv_id AS run, string_agg('[' || role || ']' || chr(10) || x, chr(10) || chr(10) ORDER BY role) AS text FROM (SELECT conv_id, role, regexp_replace(arg_min("text", turn), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS x FROM conversations GROUP BY 1, 2) WHERE x <> '' GROUP BY 1""",
     "claims_audit": """WITH v AS (SELECT p_brand AS b, avg(p_size) AS a FROM part GROUP BY 1)
-SELECT b AS claim_id, 'size' AS metric, CASE WHEN abs(a - round(a, 1)) <= 0.0005 THEN 'ok' ELSE 'off' END AS verdict FROM v UNION ALL SELECT 'x' || b, 'price', 'missing' FROM v""",
+SELECT b AS claim_id, 'size' AS metric, CASE WHEN b LIKE '%3' THEN 'ambiguous' WHEN abs(a - round(a, 1)) <= 0.0005 THEN 'ok' ELSE 'off' END AS verdict FROM v UNION ALL SELECT 'x' || b, 'price', 'missing' FROM v""",
     "best_or_unclear": _SCORED
     + """SELECT id, CASE WHEN useful_score < 0.7 OR repeat >= 0.3 THEN 'unclear' ELSE backend END AS name, useful_score AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY useful_score DESC, backend DESC) AS k FROM scored) WHERE k = 1""",
     "review_candidates": v.with_views("attempts")
