@@ -15,11 +15,27 @@ def dedupe_by_trust(clips: DataFrame) -> DataFrame:
     return best.select("x.id", "category", "x.trust", "copies")
 
 
+def placed(rows: DataFrame, by: str, order: str, ranges: int = 256) -> DataFrame:
+    """rows with ``place`` (from 0, by a whole number that is unique in a group) and ``n``, the size of its group.
+
+    A group is cut into ranges of that number; ranks within a range and counts of the ranges before give places, so no task sorts a group.
+    """
+    ends = rows.groupBy(F.col(by).alias("_by")).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count("*").alias("n"))
+    cut = rows.join(ends, F.col(by).eqNullSafe(F.col("_by")))
+    cut = cut.withColumn("_range", F.floor((F.col(order) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1.0) * ranges).cast("int"))
+    upto = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # at most a row for each range
+    sums = cut.groupBy(F.col("_by").alias("_of"), F.col("_range").alias("_at")).agg(F.count("*").alias("_m"))
+    starts = sums.select("_of", "_at", F.coalesce(F.sum("_m").over(upto), F.lit(0)).alias("_before"))
+    held = cut.join(starts, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at")))
+    place = F.row_number().over(Window.partitionBy("_by", "_range").orderBy(order)) - 1 + F.col("_before")
+    return held.select(*rows.columns, "n", place.cast("long").alias("place"))
+
+
 def number_repeats(clips: DataFrame) -> DataFrame:
     """Ids made from texts; the second and later clips of a text get a numbered suffix."""
-    n = F.row_number().over(Window.partitionBy("gold").orderBy("doc_id"))
-    base = F.concat(F.lit("t_"), F.substring(F.md5("gold"), 1, 8))
-    return clips.select("doc_id", F.when(n > 1, F.concat(base, F.lit("__dup"), n)).otherwise(base).alias("text_id"))
+    named = placed(clips.select("doc_id", F.md5("gold").alias("key")), "key", "doc_id")
+    base = F.concat(F.lit("t_"), F.substring("key", 1, 8))
+    return named.select("doc_id", F.when(F.col("place") > 0, F.concat(base, F.lit("__dup"), F.col("place") + 1)).otherwise(base).alias("text_id"))
 
 
 def first_wins(clips: DataFrame) -> DataFrame:
@@ -29,11 +45,10 @@ def first_wins(clips: DataFrame) -> DataFrame:
 
 def even_sample(clips: DataFrame, k: int) -> DataFrame:
     """k clips of each source, evenly spaced by id; the middle one for k = 1."""
-    by = Window.partitionBy("source")
-    rows = clips.select("source", "doc_id").withColumn("place", F.row_number().over(by.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(by))
+    rows = placed(clips.select("source", "doc_id"), "source", "doc_id")
     step = (F.col("n") - 1) / F.lit(max(k - 1, 1))
     wanted = F.array(*[F.bround(step * i, 0).cast("int") for i in range(k)]) if k > 1 else F.array(F.floor((F.col("n") - 1) / 2).cast("int"))
-    return rows.filter(F.array_contains(wanted, F.col("place").cast("int"))).select("source", "doc_id", "place")
+    return rows.filter(F.array_contains(wanted, F.col("place").cast("int"))).select("source", "doc_id", F.col("place").cast("int").alias("place"))
 
 
 def best_match(texts: DataFrame, prompts: DataFrame, least: float = 0.0) -> DataFrame:
