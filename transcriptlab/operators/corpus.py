@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import common_prefix, tokens
 
@@ -51,13 +55,22 @@ def even_sample(clips: DataFrame, k: int) -> DataFrame:
     return rows.filter(F.array_contains(wanted, F.col("place").cast("int"))).select("source", "doc_id", F.col("place").cast("int").alias("place"))
 
 
-def best_match(texts: DataFrame, prompts: DataFrame, least: float = 0.0) -> DataFrame:
-    """For each text the prompt with the largest overlap coefficient of distinct tokens.
+#: Prompts and their words, up to which the words' lists of prompts are broadcast; and pairs of a text and a prompt held at once.
+PROMPTS, PROMPT_WORDS, HELD = 20_000, 2_000_000, 2_000_000
 
-    Tokens of the prompts are an inverted index; texts meet it by an equi-join on tokens, so only pairs that share a token exist.
+
+def best_match(texts: DataFrame, prompts: DataFrame, least: float = 0.0, most_prompts: int = PROMPTS, most_words: int = PROMPT_WORDS) -> DataFrame:
+    """For each text the prompt with the largest overlap coefficient of distinct tokens, the smallest item_id on ties.
+
+    Few prompts go to all tasks as an inverted index, and a text's own tokens say how much it shares with each.  Of many, texts meet the
+    index by an equi-join on tokens, so only pairs that share a token exist.
     """
     words = lambda c: F.array_distinct(F.filter(tokens(F.col(c), "[A-Za-z0-9+#.]+"), lambda w: F.length(w) > 3))
-    index = prompts.select("item_id", words("text").alias("w")).select("item_id", F.size("w").alias("m"), F.explode("w").alias("token"))
+    known = prompts.select("item_id", words("text").alias("w"))
+    size = known.agg(F.count("*").alias("prompts"), F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("words")).first()
+    if 0 < size["words"] <= most_words and size["prompts"] <= most_prompts:
+        return _matched(texts.select("doc_id", words("text").alias("w")), known, least)
+    index = known.select("item_id", F.size("w").alias("m"), F.explode("w").alias("token"))
     asked = texts.select("doc_id", words("text").alias("w")).select("doc_id", F.size("w").alias("n"), F.explode("w").alias("token"))
     shared = asked.join(index, "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("m").alias("m"))
     score = F.round(F.col("common") / F.greatest(F.lit(1), F.least("n", "m")), 4)
@@ -65,6 +78,46 @@ def best_match(texts: DataFrame, prompts: DataFrame, least: float = 0.0) -> Data
     return best.select("doc_id", "x.item_id", "x.score")
 
 
+def _matched(texts: DataFrame, prompts: DataFrame, least: float) -> DataFrame:
+    """best_match of texts (doc_id, w) against prompts (item_id, w) that every task holds."""
+    held = prompts.orderBy("item_id").toArrow()
+    lists = held["w"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    ends = np.append(0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary))))
+    parts = (coded.dictionary, owner[order], ends, lists.value_lengths().to_numpy(), held["item_id"].to_numpy())
+    shared = texts.sparkSession.sparkContext.broadcast(parts)
+
+    @F.arrow_udf(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType())]))
+    def best(w: pa.Array) -> pa.Array:
+        vocabulary, owners, ends, sizes, ids = shared.value
+        n = w.value_lengths().to_numpy()
+        code = pc.fill_null(pc.index_in(w.flatten(), value_set=vocabulary), -1).to_numpy()
+        row = np.repeat(np.arange(len(w)), n)[code >= 0]
+        code = code[code >= 0]
+        many = ends[code + 1] - ends[code]
+        item, score = np.full(len(w), -1), np.zeros(len(w))
+        upto, start = np.cumsum(np.bincount(row, many, len(w))), 0
+        while start < len(w):  # whole texts, as many as keep the pairs within bounds
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + HELD, side="right")))
+            some = slice(*np.searchsorted(row, [start, stop]))
+            r, m = np.repeat(row[some], many[some]), many[some]
+            own = owners[np.repeat(ends[code[some]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+            pair, common = np.unique(r * len(ids) + own, return_counts=True)
+            r, own = pair // len(ids), pair % len(ids)
+            s = np.floor(common / np.maximum(np.minimum(n[r], sizes[own]), 1) * 1e4 + 0.5 + 1e-7) / 1e4
+            by = np.lexsort((own, -s, r))
+            first = by[np.append(True, r[by][1:] != r[by][:-1])] if len(by) else by
+            item[r[first]], score[r[first]] = own[first], s[first]
+            start = stop
+        gone = (item < 0) | (score <= least)
+        return pa.StructArray.from_arrays([pa.array(ids[item], pa.int64()), pa.array(score)], ["item_id", "score"], mask=pa.array(gone))
+
+    return texts.select("doc_id", best("w").alias("x")).filter("x IS NOT NULL").select("doc_id", "x.item_id", "x.score")
+
+
 def captions_in_window(captions: DataFrame, length: float = 12.0, cell: float = 8.0) -> DataFrame:
     """For each caption, how many captions of its recording overlap [start, start + length], ends included.
 
