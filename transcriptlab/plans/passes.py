@@ -111,7 +111,7 @@ def _replacement_audits(s, d):
     n = F.col("id")
     audit = policies.replacement_audit(F.col("draft"), F.col("candidate"), n % 5 != 0, F.when(n % 2 == 0, policies.SURE_ROUTES[0]))
     rows = v.second_decodings(s, d).select(audit.alias("a"))
-    return rows.groupBy("a.decision", "a.confidence").agg(F.count("*").alias("n"), F.round(F.avg("a.retained"), 4).alias("retained"), F.sum("a.new").alias("new"))
+    return rows.groupBy("a.decision", "a.confidence").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("a.retained") * 1000).cast("long")) / (F.count("*") * 1000) + 1e-9, 4).alias("retained"), F.sum("a.new").alias("new"))
 
 
 def _utterance_files(s, d):
@@ -266,7 +266,7 @@ kept AS (SELECT *, CASE WHEN len(d) = 0 THEN 1.0 ELSE len(list_intersect(d, f))
 audit AS (SELECT r, len(fresh) AS new, CASE WHEN NOT safe AND id % 2 = 0 THEN ['keep_fast', 'high'] WHEN NOT safe THEN ['keep_fast', 'medium'] WHEN lost > 0 THEN ['reject_drop', 'high']
   WHEN r < 0.78 AND r >= 0.65 AND value >= 5 THEN ['replace_candidate', 'medium'] WHEN r < 0.78 THEN ['reject_drop', 'medium'] WHEN len(fresh) = 0 AND r >= 0.95 THEN ['save_alternate', 'high']
   WHEN len(fresh) <= 2 AND r >= 0.90 AND len(list_filter(fresh, lambda w: length(w) > 4)) = 0 THEN ['save_alternate', 'medium'] WHEN r >= 0.82 THEN ['replace_candidate', 'medium'] ELSE ['needs_review', 'low'] END AS a FROM kept)
-SELECT a[1] AS decision, a[2] AS confidence, count(*) AS n, round(avg(round(r, 3)), 4) AS retained, CAST(sum(new) AS BIGINT) AS new FROM audit GROUP BY ALL""",
+SELECT a[1] AS decision, a[2] AS confidence, count(*) AS n, round(sum(CAST(round(round(r, 3) * 1000) AS BIGINT)) / (count(*) * 1000.0) + 1e-9, 4) AS retained, CAST(sum(new) AS BIGINT) AS new FROM audit GROUP BY ALL""",
     "utterance_files": """WITH ids AS (SELECT page_id, 'utt-' || page_id || '-' || regexp_replace(url, '[^a-z0-9]+', '-', 'g') AS id FROM pages),
 files AS (SELECT stem, min(page_id) AS place, arg_max(page_id, page_id) AS page FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN id WHEN 1 THEN substr(id, 3, 9) WHEN 2 THEN id || '-take' || page_id % 3 END AS stem FROM ids) WHERE stem <> '' GROUP BY stem),
 held AS (SELECT page_id, arg_min(page, place) AS page FROM ids JOIN files ON contains(id, stem) OR contains(stem, id) GROUP BY page_id)
