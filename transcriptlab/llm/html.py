@@ -89,6 +89,8 @@ class Block:
     where: int
     tag: str
     around: tuple[int, ...] = ()
+    #: How noisy the article itself is that it stands in.
+    base: int = CLEAN
     parts: list[str] = field(default_factory=list)
     links: int = 0
 
@@ -149,13 +151,14 @@ class Reader:
         self.articles = self.count = 0
         #: Blocks that go on behind an inline element that is noisier than they are, with its place in the stack.
         self.paused: list[tuple[int, Block]] = []
+        self.bases: dict[int, int] = {}  # noise of articles by number
         self.now = Block(CLEAN, 0, "")
 
     def block(self) -> Block:
         """An empty block of the innermost open element."""
         _, noise, where, _ = self.stack[-1] if self.stack else ("", CLEAN, 0, 0)
         tag = self.stack[self.blocks[-1]][0] if self.blocks else ""
-        return Block(noise, where, tag, tuple(self.stack[b][3] for b in self.blocks[-2:-7:-1]))
+        return Block(noise, where, tag, tuple(self.stack[b][3] for b in self.blocks[-2:-7:-1]), self.bases.get(where, CLEAN))
 
     def cut(self) -> None:
         self.out += [b for b in (*(b for _, b in self.paused), self.now) if b.parts]
@@ -192,6 +195,7 @@ class Reader:
             if noise < NEVERMORE:
                 noise = CLEAN if noise == SOFT or tag != "article" else noise
         noise = max(noise, noisy(tag, attributes, bool(where)))
+        self.bases.setdefault(where, noise)
         self.count += 1
         self.open.setdefault(tag, []).append(len(self.stack))
         if tag in BLOCKS:
@@ -264,8 +268,8 @@ def first_pass(block: Block, text: str, share: float, known: bool = True) -> str
 
 
 def outweighs(block: Block, text: str, share: float) -> bool:
-    """Whether a long text of sentences within an article is read whatever its element is called, but for the name of an advert."""
-    return bool(block.where) and block.noise <= HARD and len(text) >= LONG and share >= HIGH and block.links <= 0.1 * len(text)
+    """Whether a long text of sentences within a plain article is read whatever its element is called, but for the name of an advert."""
+    return bool(block.where) and block.base < SOFT and block.noise <= HARD and len(text) >= LONG and share >= HIGH and block.links <= 0.1 * len(text)
 
 
 def nearest(found: list[Block], labels: list[str], order: range) -> list[tuple[bool, int]]:

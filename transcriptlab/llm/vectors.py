@@ -90,7 +90,7 @@ def choose_pivots(rows: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
         share = F.when(F.col("dim") == dim, int(min(1.0, SAMPLE / n) * (1 << 30))).otherwise(share)
     drawn = sized.withColumn("draw", F.pmod(F.xxhash64("vec_id", "rid"), F.lit(1 << 30))).filter(F.col("draw") < share)
     sample: dict[int, list] = {}
-    for r in sorted(drawn.select("dim", "draw", "vec_id", "rid", "v").collect(), key=lambda r: (r["draw"], r["vec_id"], r["rid"])):
+    for r in sorted(drawn.select("dim", F.xxhash64("v").alias("order"), "vec_id", "v").collect(), key=lambda r: (r["order"], r["vec_id"])):
         sample.setdefault(r["dim"], []).append(r["v"])
     out = {}
     for dim in counts:
