@@ -4,9 +4,11 @@ import random
 import time
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from transcriptlab.functions import columns as C
 from transcriptlab.functions import meaning as M
+from transcriptlab.functions import texts as X
 from transcriptlab.operators import review
 
 
@@ -42,3 +44,15 @@ def test_concepts_of_several_arrays(spark):
     rows = spark.createDataFrame([(1, [["Zero", "to", "ONE"], ["understand", "Samajhna", "lengthy"], [], ["other"]], ["zero", "to", "one", "SAMAJH", "x"]), (2, [["a"]], None), (3, None, ["a"])], "i int, facts array<array<string>>, said array<string>")
     got = {r.i: r.x for r in rows.select("i", M.concept_coverage("facts", "said").alias("x")).collect()}
     assert got == {1: [1.0, 0.5, 1.0, 0.0], 2: None, 3: None}
+
+
+def test_runaway_of_many_long_texts(spark):
+    """Each block is compared with the next by numbers, once for each width, however long the text is."""
+    ask = lambda t: [w for w in t.split(" ") if w]
+    texts = {"": False, "a a": False, "a a a": True, "x a b a b a b": True, "a b a b a c": False, "a b c a b c a b c": True, "a b c d e " * 3: False, "a b c d " * 3: True, "a a b b a a b b": False}
+    rows = spark.createDataFrame([(t, ask(t)) for t in texts] + [(None, None)], "t string, w array<string>")
+    assert {r.t: r.x for r in rows.select("t", X.looped(F.col("w")).alias("x")).collect()} == texts | {None: False}
+    long = spark.range(200).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.concat(F.lit("w"), i % 5003)).alias("w"))
+    long.cache().count()
+    began = time.time()
+    assert long.filter(X.looped(F.col("w"))).count() == 0 and time.time() - began < 15
