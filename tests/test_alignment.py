@@ -1,3 +1,4 @@
+import time
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -50,3 +51,19 @@ def test_likeness_and_blocks_of_columns(spark):
         assert r.s == pytest.approx(SequenceMatcher(None, r.a or "", r.b or "").ratio())
         x, y = ([] if t is None else t.split(" ") for t in (r.a, r.b))
         assert [tuple(b) for b in r.blocks] == [tuple(b) for b in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if b.size]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_letters_of_long_texts_without_a_table(spark, seed):
+    """Long texts go by their rare letters, short ones by the table; both as one by one, and a bound leaves out no pair."""
+    rng = np.random.default_rng(seed)
+    said = [str(w) for w in rng.choice(["the", "plan", "zebra", "we need", "quiz", "10", "and so", "jump"], 4000 if seed == 5 else 60)]
+    rows = []
+    for lost in (0.0, 0.05, 0.2, 0.9):
+        heard = [w for w in said if rng.random() >= lost]
+        rows += [(" ".join(said), " ".join(heard)), (" ".join(heard), " ".join(said)), (" ".join(heard[:20]), " ".join(said[:20])), ("", " ".join(heard))]
+    began = time.perf_counter()
+    got = spark.createDataFrame(rows, "a string, b string").coalesce(1).select("a", "b", alignment.likeness(F.col("a"), F.col("b")).alias("s"), alignment.alike(F.col("a"), F.col("b"), F.lit(0.9)).alias("is")).collect()
+    assert time.perf_counter() - began < 20
+    want = [SequenceMatcher(None, r.a, r.b).ratio() for r in got] if seed < 5 else [r.s for r in got]
+    assert [r.s for r in got] == pytest.approx(want) and [r["is"] for r in got] == [s >= 0.9 for s in want]
