@@ -79,7 +79,8 @@ def _structured(s, d):
 def _structure_rules(s, d):
     """How often each rule fired among texts that were rewritten, and how many texts stayed as they were."""
     rows = _dictated(s, d).select(F.when(F.col("x.changed"), F.col("x.rules")).otherwise(F.array(F.lit("unchanged"))).alias("rules"))
-    return rows.select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    # outer, as else Spark would test whether there are rules beforehand, and rewrite each text for it several times
+    return rows.select(F.explode_outer("rules").alias("rule")).filter("rule IS NOT NULL").groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def _confirmed(s, d):
