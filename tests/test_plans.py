@@ -39,3 +39,10 @@ def test_same_as_sql(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(("name", "part"), [("structure_rules", "readme.md"), ("reject_histogram", "empty-final")])
+def test_rows_are_worked_on_once(spark, name, part):
+    """No filter of the plan that Spark derives from an explode does the work of the rows again."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if x.strip(" :+-").startswith("Filter") and part in x] and sum(part in x for x in plan) == 1
