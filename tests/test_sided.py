@@ -43,6 +43,14 @@ def test_what_both_begin_and_end_with_goes_quickly():
     assert time.time() - began < 0.5
 
 
+def test_drafts_are_not_sorted_for_their_references(spark):
+    drafts = spark.createDataFrame([(1, 1500, ["a", "b"]), (1, 3000, ["A", "x", "c"]), (2, 1500, [])], "doc_id long, t_ms long, words array<string>")
+    clips = spark.createDataFrame([(1, ["a", "b", "c"]), (2, []), (3, ["z"])], "doc_id long, toks array<string>")
+    got = selection.prefix_quality(drafts.repartition("doc_id"), clips)
+    assert "ShuffledHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1500, 2, 0.0), (3000, 1, 0.333)]
+
+
 def test_fields_count_each_row_once(spark):
     rows = [("a b c d", "A b c d", None, "a a x y"), ("", "", "q", " ")]
     got = {r.field: r[1:] for r in selection.field_scorecard(spark.createDataFrame(rows, "gold string, f string, g string, h string"), ["f", "g", "h"]).collect()}
