@@ -17,3 +17,14 @@ def test_rows_beyond_the_start_count(spark):
     assert right > 0.97
     again = toxicity.train(data.repartition(7), labels, c)
     assert abs(again.embedding - model.embedding).max() < 1e-9 and abs(again.shift - model.shift) < 1e-6
+
+
+def test_rows_without_a_label_are_sorted_out(spark, monkeypatch):
+    """All rows of the ids stay, hardly any other does; also where the map is nearly full, or a key is null."""
+    rows = spark.range(200_000).select(F.when(F.col("id") > 0, F.col("id") - 5).alias("doc_id"), F.lit("x").alias("text"))
+    ids = rows.filter("doc_id % 10 = 3").select("doc_id")
+    got = {r.doc_id for r in toxicity.perhaps_among(rows, ids).collect()}
+    want = {r.doc_id for r in ids.collect()}
+    assert want <= got and len(got) < 1.05 * len(want)
+    monkeypatch.setattr(toxicity, "MAP_BITS", 1 << 15)
+    assert want <= {r.doc_id for r in toxicity.perhaps_among(rows, ids).collect()}

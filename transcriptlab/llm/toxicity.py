@@ -229,6 +229,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+#: Bits of the map by which rows are sorted out before a join, and those of each of its pages, 4 KB.
+MAP_BITS, PAGE_BITS = 1 << 25, 1 << 15
+
+
+def perhaps_among(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is among ids', and a few others, at most one of so many as ids fill of the map: a join of these moves few texts in vain.
+
+    The map is broadcast, 4 MB however many ids there are.
+    """
+    if rows.schema[key].dataType != ids.schema[key].dataType:
+        return rows
+    h = F.pmod(F.xxhash64(key), F.lit(MAP_BITS))
+    maps = ids.select(h.alias("_h")).groupBy(F.floor(F.col("_h") / PAGE_BITS).alias("_page")).agg(F.bitmap_construct_agg(F.col("_h") % PAGE_BITS).alias("_map"))
+    page, place = F.floor(h / PAGE_BITS), (h % PAGE_BITS).cast("int")
+    met = rows.withColumn("_page", page).join(F.broadcast(maps), "_page")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, place % 8) == 1).select(*rows.columns)
+
+
 def sampled_texts(docs: DataFrame, sample: DataFrame, to_buckets) -> DataFrame:
     """(doc_id, lang, toxic, draw, ids): each different text of a sampled doc_id once, however many rows repeat it; of their languages the first."""
     once = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang").join(sample, "doc_id").groupBy("doc_id", "toxic", "draw", "text").agg(F.min("lang").alias("lang"))
@@ -347,8 +366,9 @@ def train(docs: DataFrame, labels: DataFrame, config: Config | None = None) -> M
     kinds = {r.toxic: r.n for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     more = fits is not begun or kinds.get(1, 0) > c.sample_toxic or kinds.get(0, 0) > c.sample_clean
     if more and 0 < toxic[kept].sum() < kept.sum():
-        # a table of known size, so that Spark doesn't shuffle all texts for the labels of a few
-        return train_on_all(model, learnt, toxic[kept], sampled_texts(docs, stash(drawn), to_buckets))
+        # a table of known size, so that Spark doesn't shuffle texts for the labels of a few; where there are many, only texts that have one
+        known = stash(drawn)
+        return train_on_all(model, learnt, toxic[kept], sampled_texts(perhaps_among(docs.select("doc_id", "text", "lang"), known), known, to_buckets))
     # Cuts use the rows kept from training; where there are none, all sampled rows.
     cal = ~kept if (~kept).any() else kept
     if cal.any():
