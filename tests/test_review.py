@@ -2,10 +2,11 @@ import re
 from collections import defaultdict
 from difflib import SequenceMatcher
 
+import duckdb
 from pyspark.sql import functions as F
 
 from transcriptlab.operators import consensus, review
-from transcriptlab.plans.review import QUERIES, WEIGHTS
+from transcriptlab.plans.review import QUERIES, SQL, WEIGHTS
 from transcriptlab.sources import views
 
 DATA = "/root/testdata/sf0.001"
@@ -76,6 +77,22 @@ def test_term_variants(spark):
     assert [(list(r[0]), r[1]) for r in got] == [(["goal"], 0.5), ([], 0.0), ([], 0.0), ([], None), (["stories"], 0.333)]
 
 
+def test_ordered_checks_without_words(spark, tmp_path):
+    """A document without words has no first term, so its checks are unknown, as in SQL."""
+    texts = ["", None, "...", "one", "a b c", "b before a"]
+    spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(SQL["ordered_checks"]).fetchall()
+    assert sorted(map(tuple, QUERIES["ordered_checks"](spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+    assert sum(x[2] is None and x[3] is None for x in want) == 9
+    rows = spark.createDataFrame([("b only", None, "a"), ("b only", None, "b"), (None, "a", None)], "actual string, first string, second string")
+    got = rows.select(review.out_of_order(F.col("actual"), F.col("first"), F.col("second")), review.wrong_change(F.col("actual"), F.col("first"), F.col("second"))).collect()
+    assert list(map(tuple, got)) == [(True, None), (None, None), (True, True)]
+
+
 def test_quota_sample_cases(spark):
     rows = spark.range(100).withColumnRenamed("id", "doc_id")
     got = review.quota_sample(rows, [("low", F.col("doc_id") < 10, 3), ("even", F.col("doc_id") % 2 == 0, 2)], 6).collect()
